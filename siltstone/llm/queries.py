@@ -8,12 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import curriculum, packing
+from siltstone.llm import curriculum, line_quality, packing, toxicity
 from siltstone.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_quality.judge(docs, line_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix_plan(table(spark, sf_dir, "documents")).drop("source")
 
@@ -23,6 +33,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op6_line_quality": op6_line_quality,
     "op9_mixture": op9_mixture,
     "op10_packing": op10_packing,
 }

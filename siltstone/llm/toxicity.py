@@ -1,9 +1,10 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
 
 Every word of a text, with white space around it, is a window. Both dictionaries compress it; the bytes that the toxic
-one saves over the ordinary one are the window's gain. A document is told by how many of its windows gain at least
-each of ``THRESHOLDS`` bytes, in number and as a share, and by its greatest gain; a logistic calibration turns that
-into a score.
+one saves over the ordinary one are the window's gain. A window that the toxic dictionary has whole takes ``WHOLE``
+bytes there at most. A document is told by how many of its windows gain at least each of ``THRESHOLDS`` bytes, in
+number and as a share, among all windows and among those that are whole, and by its greatest gain; a logistic
+calibration turns that into a score.
 
 Windows are short, so three things keep their compressed lengths apart: both dictionaries are raw content without
 entropy tables and start with the same ordinary text, to which the toxic one adds what was trained on toxic windows;
@@ -12,8 +13,8 @@ last bytes of its input; and the frame holds neither its size nor a checksum.
 
 Training takes a bounded sample: up to ``SAMPLE`` labelled documents of each class, by a hash of the id, of at most
 ``SAMPLE_CHARS`` characters, of which documents with the same opening words count once. The toxic dictionary is
-trained on those windows of toxic documents whose words stand out against ordinary ones. The calibration uses scores
-out of fold. Without documents of both classes every score is 0.
+trained on those windows of toxic documents whose words stand out against ordinary ones, and ends with the most
+frequent of these windows. The calibration uses scores out of fold. Without documents of both classes every score is 0.
 
 Scoring is one pass without a shuffle. A task keeps the gains of up to ``CACHE`` words.
 
@@ -40,6 +41,7 @@ SAMPLE, SAMPLE_CHARS = 3000, 50_000
 CACHE = 1_000_000
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 8192
 THRESHOLDS = (2, 3, 4, 6)
+WHOLE = 3
 #: How far (in standard errors) a word's share of toxic documents must be above its share of ordinary ones.
 STANDS_OUT = 4.0
 LEVEL = 3
@@ -55,7 +57,7 @@ class Model(NamedTuple):
 
 
 class Gains(dict):
-    """Bytes that the toxic dictionary saves on a word's window."""
+    """Bytes that the toxic dictionary saves on a word's window, and whether it has the window whole."""
 
     def __init__(self, model: Model):
         super().__init__()
@@ -67,23 +69,25 @@ class Gains(dict):
             return zstandard.ZstdCompressor(dict_data=held, compression_params=options).compress
 
         self.plain, self.foul = sizes(model.ordinary + CARRIER), sizes(model.ordinary + model.toxic + CARRIER)
+        self.least = len(self.foul(b" " + CARRIER)) + WHOLE
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, bool]:
         if len(word) > 64:
             return max(self[word[i : i + 48]] for i in range(0, len(word), 48))
-        window = b" " + word.encode("utf-8", "surrogatepass") + b" " + CARRIER
+        window = b" " + word.strip(EDGES).encode("utf-8", "surrogatepass") + b" " + CARRIER
         if len(self) >= CACHE:
             self.clear()
-        gain = self[word] = len(self.plain(window)) - len(self.foul(window))
-        return gain
+        foul = len(self.foul(window))
+        found = self[word] = len(self.plain(window)) - foul, foul <= self.least
+        return found
 
 
 def features(gains: Gains, text: str) -> tuple[list[float], int, int]:
     """What the calibration sees, the number of windows and the greatest gain."""
     words = text.lower().split()
     found = Counter(map(gains.__getitem__, words))
-    n, top = len(words), max(found, default=0)
-    counts = [sum(c for g, c in found.items() if g >= t) for t in THRESHOLDS]
+    n, top = len(words), max((g for g, _ in found), default=0)
+    counts = [sum(c for (g, whole), c in found.items() if g >= t and (whole or not only)) for only in (False, True) for t in THRESHOLDS]
     return [1.0, max(0, min(top, 10)) / 10, *(math.log1p(c) for c in counts), *(math.log1p(100 * c / max(n, 1)) for c in counts)], n, top
 
 
@@ -107,7 +111,9 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> Model | None:
     plain = [t[i : i + 400].lower().encode("utf-8", "surrogatepass") for t in ordinary for i in range(0, len(t), 400)]
     if not windows or not plain:
         return None
-    return Model(_trained(plain, ORDINARY_BYTES, 48), _trained(windows, TOXIC_BYTES, 16), [])
+    common = Counter(f" {x.strip(EDGES)} ".encode("utf-8", "surrogatepass") for t in toxic for x in t.lower().split() if x.strip(EDGES) in marks)
+    whole = b"".join(w for w, _ in sorted(common.items(), key=lambda x: (x[1], x[0])))[-TOXIC_BYTES:]
+    return Model(_trained(plain, ORDINARY_BYTES, 48), _trained(windows, TOXIC_BYTES, 16) + whole, [])
 
 
 def _trained(samples: list[bytes], size: int, segment: int) -> bytes:

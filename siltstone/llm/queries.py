@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import curriculum, line_quality, packing, toxicity
-from siltstone.llm.common import table
+from siltstone.llm import curriculum, license_join, line_quality, packing, toxicity, warc
+from siltstone.llm.common import shared_path, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,11 +19,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc")).drop("payload", "url")
+
+
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_quality.judge(docs, line_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix_plan(table(spark, sf_dir, "documents")).drop("source")
 
@@ -34,7 +42,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_warc": op3_warc,
     "op6_line_quality": op6_line_quality,
+    "op8_license": op8_license,
     "op9_mixture": op9_mixture,
     "op10_packing": op10_packing,
 }

@@ -9,7 +9,7 @@ Reading: a task takes an archive, lists as candidates every place where a record
 offset at which the next record must start, by the candidate's own length field. Candidates inside payloads look like
 any other. Pointer jumping then marks, from the file's start, the records reached: with each round the marked set is
 moved along pointers that are twice as long, so a chain of n records takes log2(n) rounds. What isn't reached, such as
-a magic inside a payload, is dropped; where a chain breaks off (a truncated file), the record it breaks at is dropped.
+a magic inside a payload, is dropped, and so is a record that the file's end cuts short.
 
 An archive is held in memory by the task that reads it; the writer's archives have about ``ARCHIVE_ROWS`` records.
 

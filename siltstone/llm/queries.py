@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import curriculum, license_join, line_quality, packing, toxicity, warc
+from siltstone.llm import curriculum, html_extract, license_join, line_quality, packing, toxicity, warc
 from siltstone.llm.common import shared_path, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,10 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(docs, line_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_warc": op3_warc,
     "op6_line_quality": op6_line_quality,
+    "op7_main_text": op7_main_text,
     "op8_license": op8_license,
     "op9_mixture": op9_mixture,
     "op10_packing": op10_packing,

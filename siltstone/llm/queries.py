@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import curriculum, html_extract, license_join, line_quality, packing, toxicity, warc
+from siltstone.llm import curriculum, html_extract, license_join, line_quality, packing, toxicity, vamana, warc
 from siltstone.llm.common import shared_path, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc")).drop("payload", "url")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_quality.judge(docs, line_quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -47,6 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_warc": op3_warc,
+    "op5_neighbours": op5_neighbours,
     "op6_line_quality": op6_line_quality,
     "op7_main_text": op7_main_text,
     "op8_license": op8_license,

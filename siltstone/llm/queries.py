@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import curriculum, html_extract, license_join, line_quality, packing, suffix_dedup, toxicity, vamana, warc
+from siltstone.llm import bagminhash, curriculum, html_extract, license_join, line_quality, packing, suffix_dedup, toxicity, vamana, warc
 from siltstone.llm.common import shared_path, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc")).drop("payload", "url")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vamana.search(table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_warc": op3_warc,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_neighbours": op5_neighbours,
     "op6_line_quality": op6_line_quality,
     "op7_main_text": op7_main_text,

@@ -125,7 +125,7 @@ class Rolling:
     """Hashes of any ranges of a text, by prefix sums of a polynomial modulo 2^64 over scrambled bytes."""
 
     def __init__(self, text: np.ndarray, base: int):
-        self.up, self.down = _powers(base, SLICE + 4 * LENGTH)
+        self.up, self.down = _powers(base, max(SLICE + 4 * LENGTH, 1 << len(text).bit_length()))
         scrambled = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))[text]
         self.sums = np.zeros(len(text) + 1, np.uint64)
         np.cumsum(scrambled * self.up[: len(text)], out=self.sums[1:])

@@ -3,7 +3,8 @@
 Writing is a plain Spark text sink, one archive per task, so the commit protocol keeps whole files only and a lost
 task writes its archive again. Each record is an HTTP response in UTF-8; a page whose payload equals that of a page
 with a smaller id is a ``revisit`` that holds the HTTP header alone and points to that page. Payload classes are found
-on digests: they are summed up before anything is shuffled, and joined on the digest, which splits where it's hot.
+on digests: they are summed up before anything is shuffled, and joined on the digest, which splits where it's hot. An
+archive is a gzip file.
 
 Reading: a task takes an archive, lists as candidates every place where a record's magic starts, and for each the
 offset at which the next record must start, by the candidate's own length field. Candidates inside payloads look like
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC = b"WARC/1.1\r\n"
-ARCHIVE_ROWS = 4096
+ARCHIVE_ROWS = 2048
 SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 #: The digits of base 32 as Spark's conv writes them, and as RFC 4648 does.
@@ -72,7 +74,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, rows: int = ARCHIVE
     )
     # The sink ends each row by a line feed, the last of the record's "\r\n\r\n".
     record = F.concat(head, http, F.when(again, "").otherwise(F.col("html")), F.lit("\r\n\r"))
-    held.select(record.alias("value")).write.option("compression", "none").option("lineSep", "\n").option("maxRecordsPerFile", rows).text(path)
+    held.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", rows).text(path)
 
 
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -150,7 +152,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, held = [], 0
-                for row in records(batch.column(0)[i].as_py()):
+                for row in records(zlib.decompress(batch.column(0)[i].as_py(), 31)):
                     rows.append(row)
                     held += len(row[-1])
                     if held > 8 << 20:

@@ -69,4 +69,77 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+#: Each character of RFC 4648's base 32 is five bits of the digest; hexadecimal digits are four each.
+OP3 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+b AS (SELECT *, array_to_string(list_transform(string_split(sha1(html), ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), '') AS bits FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('{warc.BASE32}', CAST(1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+
+def _op8() -> str:
+    """Every place of every phrase, and every line against every template."""
+    sets = license_join._sets(license_join.TEMPLATES, license_join.THRESHOLD)
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    split = f"regexp_extract_all(translate({{0}}, '{license_join.UPPER}', '{license_join.LOWER}'), '{word}')"
+    places = " UNION ALL ".join(
+        f"SELECT k, unnest(list_filter(range(1, len(w) + 1), lambda i: list_slice(w, i, i + {len(p.split()) - 1}) = {_list(p.split())})) - 1 AS place, '{label}' AS label FROM d" for p, label in license_join.PHRASES.items()
+    )
+    templates = " UNION ALL ".join(f"SELECT '{label}' AS label, {_list(ws)} AS ws, {need} AS need" for _, label, ws, need in sets)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, {split.format("coalesce(text, '')")} AS w FROM documents),
+p AS ({places}),
+base AS (SELECT k, count(*) AS n, min(place) AS a, max(place) AS z, list_distinct(list(label)) AS labels FROM p GROUP BY k),
+l AS (SELECT k, {split.format('line')} AS ws FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d)),
+t AS ({templates}),
+m AS (SELECT k, label, max(len(list_intersect(l.ws, t.ws)) / len(t.ws)) AS c FROM l, t WHERE len(list_intersect(l.ws, t.ws)) >= need GROUP BY k, label),
+own AS (SELECT k, list(label) AS labels, max(c) AS c FROM m GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0) END AS score
+FROM d LEFT JOIN base ON d.k = base.k LEFT JOIN own ON d.k = own.k
+"""
+
+
+def _op9() -> str:
+    """The shares by a loop over sources in the order in which they reach their caps, the rest by running sums."""
+    weight = "CASE " + " ".join(f"WHEN k % {len(curriculum.WEIGHTS)} = {i} THEN {float(w)}" for i, w in enumerate(curriculum.WEIGHTS)) + " END"
+    when = []
+    for place, knots in enumerate(curriculum.SCHEDULES):
+        sums = curriculum.integral(knots)
+        arms = []
+        for i, ((t, w), (t2, w2)) in enumerate(zip(knots, knots[1:])):
+            left = f"greatest(share * {sums[-1]} - {sums[i]}, 0)"
+            at = f"least({t} + {left} * 2 / ({w} + sqrt({w * w} + {left} * {2 * (w2 - w) / (t2 - t)})), {t2})"
+            arms.append(f"WHEN share * {sums[-1]} < {sums[i + 1]} THEN {at}")
+        when.append(f"WHEN {place} THEN CASE {' '.join(arms)} ELSE {float(knots[-1][0])} END")
+    n, most = len(curriculum.WEIGHTS), curriculum.MAX_EPOCHS
+    return f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+s AS (SELECT source, sum(size) AS own FROM d GROUP BY source),
+w AS (SELECT *, k % {n} AS place, {weight} AS weight FROM (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS k FROM s)),
+u AS (SELECT max(x.own * {most} / x.weight) AS full FROM w x),
+f AS (SELECT a.source, (SELECT sum(own) FROM w) - coalesce(sum(b.own * {most}) FILTER (b.own * {most} / b.weight < a.own * {most} / a.weight), 0) AS rest,
+  sum(b.weight) FILTER (b.own * {most} / b.weight >= a.own * {most} / a.weight) AS others, any_value(a.own * {most} / a.weight) AS cap FROM w a CROSS JOIN w b GROUP BY a.source),
+unit AS (SELECT min(rest / others) FILTER (rest / others <= cap) AS unit, arg_min(rest / others, cap) FILTER (rest / others <= cap) AS first FROM f),
+g AS (SELECT source, place, own AS source_size, least(own * {most}, coalesce(first, 0) * weight)::DOUBLE AS target FROM w, unit),
+e AS (SELECT d.*, g.place, g.source_size, g.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0,
+  CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+x AS (SELECT *, target - whole * source_size AS part, CASE WHEN pos0 + size / 2 < target - whole * source_size AND whole < {most} THEN 1 ELSE 0 END AS extra FROM e),
+y AS (SELECT *, sum(extra * size) OVER (PARTITION BY source) AS took FROM x),
+z AS (SELECT source, first(key ORDER BY abs(part - took - CASE WHEN extra = 1 THEN -size ELSE size END), key, doc_id) AS swap, min(abs(part - took - CASE WHEN extra = 1 THEN -size ELSE size END)) AS gap, max(abs(part - took)) AS now
+  FROM y WHERE size > 0 AND whole < {most} GROUP BY source),
+v AS (SELECT y.*, CAST(whole + CASE WHEN gap < now AND key = swap THEN 1 - extra ELSE extra END AS INT) AS copies, CASE WHEN target > 0 THEN least(pos0 / target, 1.0) ELSE 0 END AS share FROM y LEFT JOIN z ON y.source IS NOT DISTINCT FROM z.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(copies * size AS BIGINT) AS taken, copies, CASE WHEN copies > 0 THEN round(CASE place {' '.join(when)} END, 6) END AS first_position FROM v
+"""
+
+
+ORACLES: dict[str, str] = {"op3_warc": OP3, "op8_license": _op8(), "op9_mixture": _op9()}

@@ -14,20 +14,17 @@ def clean_number(raw: Column) -> Column:
     to the number parser, so 1.250 is 1.25 and 1.250.000 is null.
     """
     kept = F.regexp_replace(raw, r"[^\p{Nd}.,\-]", "")
-    negative = kept.startswith("-")
-    rest = F.when(negative, F.substring(kept, F.lit(2), F.length(kept))).otherwise(kept)
+    rest = F.regexp_replace(kept, "^-", "")
     comma, dot = F.contains(rest, F.lit(",")), F.contains(rest, F.lit("."))
-    comma_last = F.instr(F.reverse(rest), F.lit(",")) < F.instr(F.reverse(rest), F.lit("."))
+    comma_last = F.regexp_like(rest, F.lit(r"\..*,[^.]*$"))
     plain = (
-        F.when(comma & dot & comma_last, F.translate(F.translate(rest, ".", ""), ",", "."))
-        .when(comma & dot, F.translate(rest, ",", ""))
-        .when(comma & F.regexp_like(rest, F.lit(r"^[^,]*,[^,]{1,2}$")), F.translate(rest, ",", "."))
+        F.when(comma_last, F.translate(F.translate(rest, ".", ""), ",", "."))
+        .when(~dot & F.regexp_like(rest, F.lit(r"^[^,]*,[^,]{1,2}$")), F.translate(rest, ",", "."))
         .when(comma, F.translate(rest, ",", ""))
         .otherwise(rest)
     )
-    # The number parser takes an optional sign, digits and a dot, with a digit on one side of it.
-    value = F.when(F.regexp_like(plain, F.lit(r"^-?(\d+\.?\d*|\.\d+)$")), plain.try_cast("double"))
-    return F.when(negative, -value).otherwise(value)
+    # Only digits, dots and minus signs are left, of which the cast reads what a number parser does.
+    return plain.try_cast("double") * F.when(kept.startswith("-"), -1).otherwise(1)
 
 
 def clean_text(raw: Column) -> Column:

@@ -113,7 +113,7 @@ SELECT l_orderkey AS call_id, l_linenumber AS criterion_order, concat('criterion
   CASE l_returnflag WHEN 'A' THEN 'not_applicable' WHEN 'R' THEN 'insufficient_evidence' ELSE 'scored' END AS status,
   CASE WHEN l_returnflag NOT IN ('A', 'R') THEN CAST(l_linenumber % 3 + 1 + CAST(l_quantity AS INT) % (l_linenumber + 1) AS DOUBLE) END AS score,
   l_linenumber = 3 OR l_partkey % 19 = 0 AS human_review_required, CAST(l_suppkey % 3 AS INT) AS spans, l_partkey % 6 = 0 AS absence, l_shipdate AS evaluated_at, l_suppkey AS seller_id
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS pick FROM lineitem) x WHERE pick = 1""",
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_shipdate) AS pick FROM lineitem) x WHERE pick = 1""",
     "knowledge_sources": """
 SELECT r_regionkey AS source_id, r_name AS title, CASE WHEN r_regionkey % 3 = 2 THEN 'draft' ELSE 'approved' END AS status FROM region""",
     "knowledge_sections": """

@@ -9,8 +9,9 @@ meet. Neighbouring strings mostly share their anchor; such a run of strings is o
 1. Each task lists the stretches of its documents: the anchor's hash, a digest of the whole stretch, its place.
    Stretches equal within a batch of rows are collapsed at once: all but the first repeat it wholly. What's left is
    packed by anchor and shuffled, without texts.
-2. Stretches with equal digests are collapsed in the same way. An anchor that still has two or more different
-   stretches is open: some of their strings may be equal, others not. Any other anchor is settled.
+2. Stretches with equal digests are collapsed in the same way. A string that two different stretches share has at
+   least half of its bytes beside the anchor on one side; so a stretch is open if, with its anchor, it shares the hash
+   of that many bytes to the left, or to the right, with another one. Any other is settled.
 3. The texts of open stretches are fetched by document and dealt by anchor. There they are joined into texts whose
    suffix array is built by linear grouping (``suffix_array``); strings that are equal are neighbours in it, and all
    but the first of them repeat.
@@ -55,7 +56,7 @@ PACKED = "bucket int, kind int, data binary"
 STRETCH, RUN, OPEN, STRING = 0, 1, 2, 3
 
 FIELDS = {
-    STRETCH: (("key", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("count", "u1")),
+    STRETCH: (("key", "<u8"), ("digest", "<u8"), ("left", "<u4"), ("right", "<u4"), ("doc", "<i8"), ("at", "<i4"), ("count", "u1")),
     RUN: (("doc", "<i8"), ("at", "<i4"), ("end", "<i4")),
     OPEN: (("doc", "<i8"), ("at", "<i4"), ("count", "u1"), ("hot", "u1"), ("key", "<u8")),
     STRING: (("hash", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("at", "<i4")),
@@ -138,11 +139,14 @@ BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
 def stretches(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Of documents text[starts:ends]: key, digest, document number, first byte of the first string, number of strings."""
+    """Of documents text[starts:ends]: key, digest, left, right, document number, first string's first byte, number of strings.
+
+    left and right: hashes of the anchor with half of a string's other bytes before or after it; 0 if no string has them.
+    """
     n, width = len(text), length - anchor + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none, none, none
     first = Rolling(text, BASES[0])
     at = np.arange(n - anchor + 1)
     hashed = first.of(at, at + anchor)
@@ -157,7 +161,7 @@ def stretches(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
     counts = np.maximum(ends - starts - length + 1, 0)
     total = int(counts.sum())
     if not total:
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none, none, none
     doc = np.repeat(np.arange(len(starts)), counts)
     string = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
     anchors = anchors[string]
@@ -167,7 +171,12 @@ def stretches(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
     count = np.diff(np.append(begin, total))
     a = string[begin]
     digest = Rolling(text, BASES[1]).of(a, a + count + (length - 1))
-    return hashed[anchors[begin]], digest, doc[begin], a, count
+    p, half = anchors[begin], -(-(length - anchor) // 2)
+    before, behind = a <= p - half, a + count + (length - 1) >= p + anchor + half
+    left, right = np.zeros(len(p), np.uint64), np.zeros(len(p), np.uint64)
+    left[before] = first.of(p[before] - half, p[before] + anchor) >> np.uint64(32) | np.uint64(1)
+    right[behind] = first.of(p[behind], p[behind] + anchor + half) >> np.uint64(32) | np.uint64(1)
+    return hashed[p], digest, left, right, doc[begin], a, count
 
 
 def merged(doc: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,6 +204,14 @@ def _later(columns: dict[str, np.ndarray], keys: tuple[str, ...]) -> tuple[np.nd
     return order, after
 
 
+def _times(x: np.ndarray) -> np.ndarray:
+    """How often each value occurs."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    _, number, many = np.unique(x, return_inverse=True, return_counts=True)
+    return many[number]
+
+
 def _listing(length: int, anchor: int, anchors: int, buckets: int):
     """Step 1."""
 
@@ -211,9 +228,9 @@ def _listing(length: int, anchor: int, anchors: int, buckets: int):
                     text = np.frombuffer(b"".join(b for _, _, b in held), np.uint8)
                     ends = np.cumsum([len(b) for _, _, b in held])
                     starts = ends - [len(b) for _, _, b in held]
-                    key, digest, doc, a, count = stretches(text, starts, ends, length, anchor)
+                    key, digest, left, right, doc, a, count = stretches(text, starts, ends, length, anchor)
                     offset = np.array([o for _, o, _ in held]) - starts
-                    parts.append((key, digest, np.array([i for i, _, _ in held], np.int64)[doc], a + offset[doc], count))
+                    parts.append((key, digest, left, right, np.array([i for i, _, _ in held], np.int64)[doc], a + offset[doc], count))
                 held.clear()
                 size = 0
 
@@ -229,8 +246,8 @@ def _listing(length: int, anchor: int, anchors: int, buckets: int):
             flush()
             if not parts:
                 continue
-            key, digest, doc, at, count = (np.concatenate(x) for x in zip(*parts))
-            columns = {"key": key, "digest": digest, "doc": doc, "at": at, "count": count}
+            key, digest, left, right, doc, at, count = (np.concatenate(x) for x in zip(*parts))
+            columns = {"key": key, "digest": digest, "left": left, "right": right, "doc": doc, "at": at, "count": count}
             order, after = _later(columns, ("key", "digest"))
             again, first = order[after], order[~after]
             rows = list(dealt(STRETCH, {k: v[first] for k, v in columns.items()}, (key[first] % np.uint64(anchors)).astype(np.int32)))
@@ -252,10 +269,12 @@ def _settling(length: int, buckets: int, hot: int):
         d, s, e = merged(doc, at, at + count + (length - 1))
         yield from dealt(RUN, {"doc": d, "at": s, "end": e}, doc_bucket(d, buckets))
         columns = {k: v[~after] for k, v in columns.items()}
-        _, number, many = np.unique(columns["key"], return_inverse=True, return_counts=True)
-        many = many[number] if len(number) else np.zeros(0, np.int64)
-        left = many > 1
-        columns = {k: v[left] for k, v in columns.items()} | {"hot": (many[left] > hot)}
+        open_ = np.zeros(len(columns["key"]), bool)
+        for side in ("left", "right"):
+            beside = columns[side].astype(np.uint64)
+            open_ |= (beside > 0) & (_times(mixed(columns["key"] + beside * np.uint64(0x9E3779B97F4A7C15))) > 1)
+        columns = {k: v[open_] for k, v in columns.items()}
+        columns["hot"] = _times(columns["key"]) > hot
         yield from dealt(OPEN, columns, doc_bucket(columns["doc"], buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,7 +502,7 @@ def remove(docs: DataFrame, **options) -> DataFrame:
     place = lambda *by: F.row_number().over(W.partitionBy("_id", "_hash").orderBy(*by))
     rest = [c for c in names if c not in ("doc_id", "text", "n_chars")]
     other = docs.select(F.col("doc_id").alias("_doc_id"), *rest, F.col("doc_id").cast("long").alias("_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("_hash"))
-    other = other.withColumn("_place", place(*(rest or ["_doc_id"])))
+    other = other.withColumn("_place", place(F.to_json(F.struct(*(rest or ["_doc_id"])))))
     kept = kept.withColumn("_place", place("_cut", "_kept")).withColumnRenamed("_id", "_id2").withColumnRenamed("_hash", "_hash2").withColumnRenamed("_place", "_place2")
     out = other.join(kept, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")) & (F.col("_place") == F.col("_place2")))
     columns = {"doc_id": F.col("_doc_id"), "text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}

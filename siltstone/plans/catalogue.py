@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import alignment, catalog, contracts, orchestration, roles, rubric, scoring, store
+from siltstone.operators import alignment, catalog, contracts, orchestration, roles, rubric, scoring, store, validation
 from siltstone.sources.tables import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -586,3 +586,101 @@ def call_idempotency(spark, sf_dir):
 SELECT call_id, outcome, CASE WHEN outcome = 'updated' THEN old + 1 ELSE old END AS revision FROM x""")
 def revision_update(spark, sf_dir):
     return store.update(view(spark, sf_dir, "stored_calls"), view(spark, sf_dir, "incoming_calls"), "call_id", RECORD)
+
+
+# --- constraints -----------------------------------------------------------------------------------------------------
+
+
+def rules_sql(key: str, source: str, rules: dict[str, str]) -> str:
+    """Every rule as a filter of its own."""
+    return " UNION ALL ".join(f"SELECT {key}, '{name}' AS rule FROM {source} WHERE {condition}" for name, condition in rules.items())
+
+
+@query(rules_sql("call_id", "call_records", {
+    "blank_seller": "trim(seller_number) = ''", "duration_invalid": "duration_seconds IS NULL OR duration_seconds < 0", "hash_invalid": "length(content_hash) <> 64", "revision_invalid": "revision < 1", "source_unknown": "source_type = 'upload'",
+}))
+def call_violations(spark, sf_dir):
+    return validation.calls(view(spark, sf_dir, "call_records"))
+
+
+@query("""WITH s AS (SELECT call_id, unit_order AS segment_order, text, start_seconds, CASE WHEN call_id % 3 = 0 THEN NULL WHEN call_id % 7 = 0 THEN start_seconds - 1 ELSE end_seconds END AS end_seconds, lag(start_seconds) OVER (PARTITION BY call_id ORDER BY unit_order) AS b FROM units)
+""" + rules_sql("call_id, segment_order", "s", {"blank_text": "text IS NULL OR trim(text) = ''", "end_before_start": "end_seconds < start_seconds", "start_not_monotonic": "start_seconds < b", "unpaired_times": "end_seconds IS NULL"}))
+def segment_violations(spark, sf_dir):
+    end = F.when(F.col("call_id") % 3 == 0, None).when(F.col("call_id") % 7 == 0, F.col("start_seconds") - 1).otherwise(F.col("end_seconds"))
+    return validation.segments(view(spark, sf_dir, "units").withColumnRenamed("unit_order", "segment_order").withColumn("end_seconds", end))
+
+
+@query(f"WITH {CROSS}, {candidates_sql('units', 'unit_order')}, q AS (SELECT call_id, unit_order, count(*) AS n FROM c GROUP BY call_id, unit_order), "
+  "e AS (SELECT d.call_id, d.unit_order, CASE WHEN d.call_id % 5 = 0 THEN 'ambiguous' ELSE d.status END AS status, CASE WHEN d.status = 'assigned' THEN CASE WHEN d.call_id % 7 = 0 THEN 'SPEAKER_1' ELSE best END END AS label, best, coalesce(n, 0) AS n FROM d LEFT JOIN q ON d.call_id = q.call_id AND d.unit_order = q.unit_order) "
+  + rules_sql("call_id, unit_order", "e", {"ambiguous_with_label": "status = 'ambiguous' AND label IS NOT NULL", "ambiguous_without_two": "status = 'ambiguous' AND n < 2", "assigned_not_top": "status = 'assigned' AND label IS DISTINCT FROM best",
+    "label_invalid": "label = 'SPEAKER_1'", "unassigned_with_label": "status = 'unassigned' AND label IS NOT NULL"}))
+def decision_violations(spark, sf_dir):
+    """Decisions of which some are made wrong."""
+    units, turns = view(spark, sf_dir, "units"), view(spark, sf_dir, "turns")
+    each = alignment.candidates(units, turns)
+    top = each.groupBy("call_id", "unit_order").agg(F.count("*").alias("n_candidates"), F.min_by("speaker_label", F.struct(-F.col("overlap_ratio"), -F.col("overlap_seconds"), F.col("speaker_label"))).alias("top_label"))
+    held = alignment.assign(units, turns).join(top, ["call_id", "unit_order"], "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+    wrong = F.when((F.col("call_id") % 7 == 0) & F.col("speaker_label").isNotNull(), "SPEAKER_1").otherwise(F.col("speaker_label"))
+    held = held.withColumn("speaker_label", wrong).withColumn("status", F.when(F.col("call_id") % 5 == 0, "ambiguous").otherwise(F.col("status")))
+    return validation.decisions(held)
+
+
+@query(ROLES.format(**ON) + ", m AS (SELECT call_id, speaker_label, CASE WHEN call_id % 5 = 0 THEN 'assigned' ELSE status END AS status, role, CASE WHEN call_id % 7 = 0 THEN '' ELSE evidence_ids END AS ids FROM ra) "
+  + rules_sql("call_id, speaker_label", "m", {"assigned_unknown": "status = 'assigned' AND role = 'unknown'", "assigned_without_evidence": "status = 'assigned' AND ids = ''",
+    "conflict_without_two": "status = 'conflicted' AND NOT contains(ids, ',')", "unresolved_with_role": "status <> 'assigned' AND role <> 'unknown'"}))
+def role_violations(spark, sf_dir):
+    """Role assignments of which some are made wrong."""
+    held = roles.assign(_speakers(spark, sf_dir), view(spark, sf_dir, "role_evidence"))
+    held = held.withColumn("status", F.when(F.col("call_id") % 5 == 0, "assigned").otherwise(F.col("status"))).withColumn("evidence_ids", F.when(F.col("call_id") % 7 == 0, "").otherwise(F.col("evidence_ids")))
+    return validation.role_assignments(held)
+
+
+@query("""SELECT criterion_order, 'not_increasing' AS rule FROM (SELECT criterion_order, score <= lag(score) OVER (PARTITION BY criterion_order ORDER BY level_order) AS flat FROM levels) GROUP BY criterion_order HAVING bool_or(flat)
+UNION ALL SELECT criterion_order, 'weight_not_positive' FROM criteria WHERE weight - 1.5 <= 0""")
+def scale_violations(spark, sf_dir):
+    criteria = view(spark, sf_dir, "criteria").withColumn("weight", F.col("weight") - 1.5)  # some weights are made wrong
+    return validation.scales(criteria, view(spark, sf_dir, "levels"))
+
+
+SEGMENT_WORDS = "sw AS (SELECT call_id, unit_order, count(*) AS words FROM unit_words GROUP BY call_id, unit_order)"
+
+
+@query(ROLES.format(**ON) + f", {SEGMENT_WORDS}, z AS (SELECT s.*, sw.words, ra.role AS own FROM spans s LEFT JOIN sw ON s.call_id = sw.call_id AND s.segment_order = sw.unit_order LEFT JOIN ra ON ra.call_id = s.call_id AND ra.speaker_label = s.speaker_label) "
+  + rules_sql("call_id, criterion_order", "z", {"role_mismatch": "own <> speaker_role", "unknown_segment": "words IS NULL", "unknown_speaker": "own IS NULL", "word_range_invalid": "word_end < word_start", "words_outside_segment": "word_start < 0 OR word_end >= words"}))
+def span_violations(spark, sf_dir):
+    words = view(spark, sf_dir, "unit_words").groupBy("call_id", F.col("unit_order").alias("segment_order")).agg(F.count("*").alias("words"))
+    return validation.spans(view(spark, sf_dir, "spans"), words, roles.assign(_speakers(spark, sf_dir), view(spark, sf_dir, "role_evidence")))
+
+
+@query("SELECT call_id, criterion_order, segment_order, CAST(unnest(range(word_start, word_end + 1)) AS INT) AS word_order FROM spans")
+def span_words(spark, sf_dir):
+    return validation.span_words(view(spark, sf_dir, "spans"))
+
+
+@query("""WITH r AS (SELECT *, unnest([unit_order, unit_order + 1]) AS seg FROM absences),
+j AS (SELECT DISTINCT r.call_id, r.criterion_order, CASE WHEN u.call_id IS NULL THEN 'unknown_segment' ELSE 'segment_outside_scope' END AS rule FROM r LEFT JOIN units u ON u.call_id = r.call_id AND u.unit_order = r.seg
+  WHERE u.call_id IS NULL OR NOT (u.start_seconds < r.scope_end AND r.scope_start < u.end_seconds))
+SELECT * FROM j UNION ALL SELECT call_id, criterion_order, 'scope_empty' FROM absences WHERE scope_end <= scope_start""")
+def absence_violations(spark, sf_dir):
+    """Absence evidence that was reviewed in a unit and the next one."""
+    rows = view(spark, sf_dir, "absences").withColumn("reviewed", F.array(F.col("unit_order"), F.col("unit_order") + 1)).drop("unit_order")
+    return validation.absences(rows, view(spark, sf_dir, "units").withColumnRenamed("unit_order", "segment_order"))
+
+
+@query("SELECT e.call_id AS call_id, e.criterion_order AS criterion_order, e.score AS score, max(l.level_order) AS level_order FROM evaluations e LEFT JOIN levels l ON l.criterion_order = e.criterion_order AND l.score = e.score WHERE e.status = 'scored' GROUP BY ALL")
+def score_levels(spark, sf_dir):
+    levels = view(spark, sf_dir, "levels").groupBy("criterion_order", "score").agg(F.max("level_order").alias("level_order"))
+    return validation.score_levels(view(spark, sf_dir, "evaluations").filter("status = 'scored'"), levels).select("call_id", "criterion_order", "score", "level_order")
+
+
+@query(SCORED + ", y AS (SELECT call_id, criterion_order, status, CASE WHEN call_id % 11 = 0 THEN 0.5 ELSE normal END AS n, normal * weight AS p, weight FROM each) "
+  + rules_sql("call_id, criterion_order", "y", {"points_mismatch": "abs(p - n * weight) > 1e-12", "score_missing": "status = 'scored' AND n IS NULL", "score_out_of_range": "n < 0 OR n > 1", "score_unexpected": "status <> 'scored' AND n IS NOT NULL"}))
+def contribution_violations(spark, sf_dir):
+    """Contributions of which some are made wrong."""
+    held = scoring.contributions(view(spark, sf_dir, "evaluations"), view(spark, sf_dir, "criteria"))
+    return validation.contributions(held.withColumn("normalized_score", F.when(F.col("call_id") % 11 == 0, 0.5).otherwise(F.col("normalized_score"))))
+
+
+@query("SELECT source_type, count(*) AS files, count(DISTINCT content_hash) AS contents FROM stored_calls GROUP BY source_type")
+def cache_stats(spark, sf_dir):
+    return view(spark, sf_dir, "stored_calls").groupBy("source_type").agg(F.count("*").alias("files"), F.count_distinct("content_hash").alias("contents"))

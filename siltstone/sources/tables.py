@@ -128,6 +128,23 @@ FROM supplier""",
 SELECT concat('rubric-', CAST(p_partkey % 40 AS STRING)) AS rubric_id, concat(CAST(p_size % 4 AS STRING), '.', CAST(p_partkey % 13 AS STRING), '.', CAST(p_partkey % 7 AS STRING), CASE WHEN p_partkey % 31 = 0 THEN '-rc' ELSE '' END) AS version,
   CASE p_partkey % 3 WHEN 0 THEN 'draft' WHEN 1 THEN 'approved' ELSE 'retired' END AS status, p_partkey AS revision
 FROM part""",
+    "levels": """
+SELECT c.criterion_order AS criterion_order, CAST(i AS INT) AS level_order, CASE WHEN c.criterion_order = 6 AND i = 2 THEN c.scale_min ELSE c.scale_min + i END AS score
+FROM criteria c JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) n ON i <= c.criterion_order""",
+    # Evidence spans of conversations' criteria, some of them wrong.
+    "spans": """
+SELECT conv_id AS call_id, CAST(turn % 7 + 1 AS INT) AS criterion_order, CAST(turn + CASE WHEN conv_id % 13 = 0 THEN 50 ELSE 0 END AS INT) AS segment_order, CAST(conv_id % 5 AS INT) AS word_start, CAST((conv_id + turn) % 11 AS INT) AS word_end,
+  CASE role WHEN 'user' THEN 'SPEAKER_00' WHEN 'assistant' THEN 'SPEAKER_01' ELSE 'SPEAKER_07' END AS speaker_label, CASE WHEN conv_id % 4 = 0 THEN 'seller' ELSE 'customer' END AS speaker_role
+FROM conversations""",
+    "absences": """
+SELECT call_id, CAST(unit_order % 7 + 1 AS INT) AS criterion_order, unit_order, start_seconds + 0.5 AS scope_start, end_seconds - CASE WHEN call_id % 6 = 0 THEN 100 ELSE 0 END AS scope_end
+FROM units""",
+    # Recordings' records, some of them wrong.
+    "call_records": """
+SELECT o_orderkey AS call_id, CASE WHEN o_custkey % 17 = 0 THEN ' ' ELSE CAST(o_custkey AS STRING) END AS seller_number, CASE WHEN o_orderkey % 19 = 0 THEN -1.0 WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_totalprice END AS duration_seconds,
+  CASE WHEN o_orderkey % 29 = 0 THEN 'abc' ELSE concat('0123456789abcdef0123456789abcdef0123456789abcdef0123456789abcd', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0')) END AS content_hash,
+  CASE o_orderkey % 7 WHEN 0 THEN 'upload' WHEN 1 THEN 'cdr_software' ELSE 'recorder_app' END AS source_type, CAST(o_orderkey % 5 AS INT) AS revision
+FROM orders""",
     # Which artifacts a call has.
     "artifacts": """
 SELECT o_orderkey AS call_id, kind FROM orders CROSS JOIN (SELECT 0 AS k, 'transcription' AS kind UNION ALL SELECT 1, 'diarization' UNION ALL SELECT 2, 'alignment' UNION ALL SELECT 3, 'role_assignment' UNION ALL SELECT 4, 'evaluation' UNION ALL SELECT 5, 'aggregation') s

@@ -39,22 +39,25 @@ def pieces(body: Column, limit: int = MAX_CHUNK) -> Column:
     return F.aggregate(F.split(body, SENTENCE), start, step, end)
 
 
-def sections(text: Column) -> Column:
-    """array<struct<heading, body>>: text before the first header (no heading), then each header's; empty bodies go."""
+def sections(docs: DataFrame) -> DataFrame:
+    """doc_id, own: array<struct<heading, body>> of a cleaned text (doc_id, text).
+
+    Text before the first header has no heading, then comes each header's; empty bodies go. The headers and bodies are
+    columns of their own before they're zipped, so that each text is split once.
+    """
     pattern = rf"(?mdU)^{HEADER}"
-    heads = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    bodies = F.split(text, pattern)
-    one = lambda i: F.struct(F.when(i > 0, strip(F.get(heads, i - 1))).alias("heading"), strip(F.get(bodies, i)).alias("body"))
-    every = F.transform(F.sequence(F.lit(0), F.size(heads)), one)
-    plain = F.array(F.struct(F.lit(None).cast("string").alias("heading"), text.alias("body")))
-    return F.when(F.size(heads) == 0, plain).otherwise(F.filter(every, lambda x: x["body"] != ""))
+    cut = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("heads"), F.split("text", pattern).alias("bodies"))
+    heads = F.concat(F.array(F.lit(None).cast("string")), F.transform("heads", strip))
+    every = F.zip_with(heads, F.transform("bodies", strip), lambda h, b: F.struct(h.alias("heading"), b.alias("body")))
+    plain = F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.col("text").alias("body")))
+    return cut.select("doc_id", F.when(F.size("heads") == 0, plain).otherwise(F.filter(every, lambda x: x["body"] != "")).alias("own"))
 
 
 def chunks(docs: DataFrame, limit: int = MAX_CHUNK) -> DataFrame:
     """doc_id, chunk_index, heading, text of every document's chunks. Texts are cleaned first."""
-    held = docs.select("doc_id", F.explode(F.transform(F.array(sections(break_headers(clean_document(F.col("text"))))), lambda s: s)).alias("own"))
+    clean = docs.select("doc_id", clean_document(F.col("text")).alias("text")).select("doc_id", break_headers(F.col("text")).alias("text"))
     cut = lambda s: F.transform(F.when(F.length(s["body"]) <= limit, F.array(s["body"])).otherwise(pieces(s["body"], limit)), lambda t: F.struct(s["heading"].alias("heading"), t.alias("text")))
-    rows = held.select("doc_id", F.posexplode(F.flatten(F.transform("own", cut))).alias("chunk_index", "chunk"))
+    rows = sections(clean).select("doc_id", F.posexplode(F.flatten(F.transform("own", cut))).alias("chunk_index", "chunk"))
     out = rows.select("doc_id", "chunk_index", "chunk.heading", strip(F.col("chunk.text")).alias("text"))
     return out.filter("text <> ''")
 

@@ -44,6 +44,8 @@ THRESHOLDS = (2, 3, 4, 6)
 WHOLE = 3
 #: How far (in standard errors) a word's share of toxic documents must be above its share of ordinary ones.
 STANDS_OUT = 4.0
+#: Folds of the training sample, and how much more a toxic document counts in the calibration than an ordinary one.
+FOLDS, TOXIC_WEIGHT = 5, 2.0
 LEVEL = 3
 CARRIER = b"0123456789_=+/ABCDEFGHIJ"
 EDGES = ".,;:!?\"'()[]"
@@ -125,12 +127,12 @@ def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> np.ndarray:
-    """Newton's method."""
-    w = np.zeros(x.shape[1])
+    """Newton's method; rows of class 1 count TOXIC_WEIGHT times."""
+    w, times = np.zeros(x.shape[1]), np.where(y > 0, TOXIC_WEIGHT, 1.0)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - ridge * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        slope = x.T @ (times * (y - p)) - ridge * w
+        curve = (x * (times * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-8:
@@ -151,12 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         found.append(list({" ".join(r[0].split()[:6]): r[0] for r in rows}.values()))
     ordinary, toxic = found
     xs, ys = [], []
-    for fold in (0, 1):
-        part = _dictionaries(toxic[fold::2], ordinary[fold::2])
+    for fold in range(FOLDS):
+        part = _dictionaries(*[[t for i, t in enumerate(texts) if i % FOLDS != fold] for texts in (toxic, ordinary)])
         if part is None:
             continue
         gains = Gains(part)
-        for y, rest in ((1.0, toxic[1 - fold :: 2]), (0.0, ordinary[1 - fold :: 2])):
+        for y, rest in ((1.0, toxic[fold::FOLDS]), (0.0, ordinary[fold::FOLDS])):
             xs += [features(gains, t)[0] for t in rest]
             ys += [y] * len(rest)
     whole = _dictionaries(toxic, ordinary)

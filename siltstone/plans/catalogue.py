@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import alignment, catalog, contracts, orchestration, roles, rubric, scoring, store, validation
+from siltstone.operators import alignment, calls, catalog, contracts, orchestration, roles, rubric, scoring, store, validation
 from siltstone.sources.tables import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -684,3 +684,108 @@ def contribution_violations(spark, sf_dir):
 @query("SELECT source_type, count(*) AS files, count(DISTINCT content_hash) AS contents FROM stored_calls GROUP BY source_type")
 def cache_stats(spark, sf_dir):
     return view(spark, sf_dir, "stored_calls").groupBy("source_type").agg(F.count("*").alias("files"), F.count_distinct("content_hash").alias("contents"))
+
+
+# --- more of calls ---------------------------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT call_id, unit_order, word_order, CASE word_order % 4 WHEN 1 THEN ' ' ELSE 'w' || word_order END AS text, start_seconds, CASE WHEN call_id % 4 = 1 AND word_order = 2 THEN NULL ELSE end_seconds END AS end_seconds FROM unit_words)
+SELECT call_id, unit_order, CAST(row_number() OVER (PARTITION BY call_id, unit_order ORDER BY word_order) - 1 AS INT) AS word_order, text,
+  CASE WHEN (SELECT bool_and(x.start_seconds IS NOT NULL AND x.end_seconds IS NOT NULL) FROM w x WHERE x.call_id = w.call_id AND x.unit_order = w.unit_order AND trim(x.text) <> '') THEN start_seconds END AS start_seconds,
+  CASE WHEN (SELECT bool_and(x.start_seconds IS NOT NULL AND x.end_seconds IS NOT NULL) FROM w x WHERE x.call_id = w.call_id AND x.unit_order = w.unit_order AND trim(x.text) <> '') THEN end_seconds END AS end_seconds
+FROM w WHERE trim(text) <> ''""")
+def transcript_words(spark, sf_dir):
+    """Words of which some are blank and some lack a time."""
+    text = F.when(F.col("word_order") % 4 == 1, " ").otherwise(F.concat(F.lit("w"), F.col("word_order").cast("string")))
+    end = F.when((F.col("call_id") % 4 == 1) & (F.col("word_order") == 2), None).otherwise(F.col("end_seconds"))
+    return calls.transcript_words(view(spark, sf_dir, "unit_words").withColumn("text", text).withColumn("end_seconds", end))
+
+
+@query(r"""SELECT call_id, string_agg(text, '' ORDER BY unit_order) AS text, count(*) AS segments FROM units WHERE NOT regexp_full_match(text, '\s*') GROUP BY call_id""")
+def full_text(spark, sf_dir):
+    return calls.full_text(view(spark, sf_dir, "units"))
+
+
+@query(DECIDED + """, t AS (SELECT c.call_id, c.unit_order, c.speaker_label, sum(overlap_seconds) AS total FROM c GROUP BY ALL),
+f AS (SELECT t.*, u.end_seconds - u.start_seconds AS long, e.speaker_label AS own FROM t JOIN units u ON u.call_id = t.call_id AND u.unit_order = t.unit_order LEFT JOIN decided e ON e.call_id = t.call_id AND e.unit_order = t.unit_order WHERE u.end_seconds > u.start_seconds),
+h AS (SELECT call_id, unit_order, speaker_label, own, round(least(total, long), 9) AS overlap_seconds, round(least(total / long, 1), 9) AS overlap_ratio FROM f)
+SELECT call_id, unit_order, speaker_label, overlap_seconds, overlap_ratio, CAST(row_number() OVER (PARTITION BY call_id, unit_order ORDER BY coalesce(speaker_label = own, false) DESC, overlap_ratio DESC, overlap_seconds DESC, speaker_label) AS INT) AS place FROM h""")
+def segment_candidates(spark, sf_dir):
+    units, turns, words = view(spark, sf_dir, "units"), view(spark, sf_dir, "turns"), view(spark, sf_dir, "unit_words")
+    each = alignment.candidates(words, turns, ("unit_order", "word_order"))
+    return calls.segment_candidates(units, each, _decided(spark, sf_dir))
+
+
+@query(ROLES.format(**ON) + """SELECT call_id, coalesce(string_agg(speaker_label, ',' ORDER BY speaker_label) FILTER (role = 'seller'), '') AS sellers, coalesce(string_agg(speaker_label, ',' ORDER BY speaker_label) FILTER (role = 'customer'), '') AS customers,
+  count(*) FILTER (role = 'seller') = 1 AS one_seller, count(*) FILTER (role = 'customer') = 1 AS one_customer FROM ra GROUP BY call_id""")
+def role_labels(spark, sf_dir):
+    return calls.role_labels(roles.assign(_speakers(spark, sf_dir), view(spark, sf_dir, "role_evidence")))
+
+
+@query("""WITH f AS (SELECT user_id AS call_id, upper(event_type) AS code, min(event_id) AS k FROM events GROUP BY ALL) SELECT call_id, string_agg(code, ',' ORDER BY k) AS codes FROM f GROUP BY call_id""")
+def warning_codes(spark, sf_dir):
+    return calls.warnings(view(spark, sf_dir, "events").select(F.col("user_id").alias("call_id"), F.col("event_id").alias("at"), F.upper("event_type").alias("code")))
+
+
+@query("""SELECT section_id, source_id, ordinal, heading FROM knowledge_sections WHERE section_id < 10
+UNION ALL SELECT section_id, source_id, ordinal, heading FROM knowledge_sections WHERE section_id BETWEEN 10 AND 14""")
+def section_append(spark, sf_dir):
+    """A batch that is sound, and then one with an unknown source, which changes nothing."""
+    rows = view(spark, sf_dir, "knowledge_sections").select("section_id", "source_id", "ordinal", "heading")
+    sources = view(spark, sf_dir, "knowledge_sources")
+    held = calls.append_sections(rows.filter("section_id < 10 "), rows.filter("section_id BETWEEN 10 AND 14"), sources)
+    return calls.append_sections(held, rows.filter("section_id > 14"), sources)
+
+
+@query("""SELECT error_kind, CASE error_kind WHEN 'provider_timeout' THEN 504 WHEN 'provider_unavailable' THEN 503 WHEN 'repository_unavailable' THEN 503 ELSE 502 END AS http_status, count(*) AS errors FROM stage_errors GROUP BY error_kind""")
+def http_status(spark, sf_dir):
+    held = view(spark, sf_dir, "stage_errors").withColumn("f", orchestration.failure(F.col("error_kind")))
+    return held.groupBy("error_kind", calls.http_status(F.col("f.retry"), F.col("f.reason")).alias("http_status")).agg(F.count("*").alias("errors"))
+
+
+@query("""WITH l AS (SELECT rubric_id, revision, status, lag(status) OVER (PARTITION BY rubric_id ORDER BY revision) AS old FROM rubrics)
+SELECT rubric_id, revision, old, status AS new FROM l WHERE old <> status AND old || status NOT IN ('draftapproved', 'draftretired', 'approvedretired')""")
+def rubric_transition_violations(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    held = view(spark, sf_dir, "rubrics").withColumn("old", F.lag("status").over(W.partitionBy("rubric_id").orderBy("revision"))).filter("old <> status")
+    return held.filter(~calls.rubric_change_legal(F.col("old"), F.col("status"))).select("rubric_id", "revision", "old", F.col("status").alias("new"))
+
+
+@query("""SELECT doc_id, lang IS NULL OR (lang IN ('en', 'de', 'fr') AND (doc_id % 2 = 0 OR lang = 'en')) AS accepted FROM documents""")
+def language_acceptance(spark, sf_dir):
+    model = F.when(F.col("doc_id") % 2 == 0, "small").otherwise("small.en")
+    return view(spark, sf_dir, "documents").select("doc_id", calls.language_accepted(F.col("lang"), model, ("en", "de", "fr")).alias("accepted"))
+
+
+@query("SELECT doc_id, chunk_index, 'Clause ' || (chunk_index + 1) AS heading, replace(clause_type, '_', ' ') AS clause FROM verdicts")
+def clause_headings(spark, sf_dir):
+    held = view(spark, sf_dir, "verdicts")
+    return held.select("doc_id", "chunk_index", calls.heading(F.lit(None).cast("string"), F.col("chunk_index")).alias("heading"), F.replace("clause_type", F.lit("_"), F.lit(" ")).alias("clause"))
+
+
+@query("SELECT call_id || '/' || criterion_id || '/' || status AS evaluation_key, count(*) AS rows_ FROM evaluations GROUP BY 1")
+def evaluation_keys(spark, sf_dir):
+    return view(spark, sf_dir, "evaluations").groupBy(calls.key("call_id", "criterion_id", "status").alias("evaluation_key")).agg(F.count("*").alias("rows_"))
+
+
+@query("SELECT '{\"call_id\":' || call_id || ',\"source_type\":\"' || source_type || '\",\"revision\":' || revision || '}' AS json FROM call_records")
+def public_calls(spark, sf_dir):
+    """Neither the seller's number nor the hash leaves the store."""
+    return calls.public(view(spark, sf_dir, "call_records"), ("call_id", "source_type", "revision", "stage"))
+
+
+@query("""WITH d AS (SELECT call_id, max(end_seconds) AS duration_seconds FROM units GROUP BY call_id) SELECT t.call_id AS call_id, t.turn_order AS turn_order FROM turns t JOIN d ON t.call_id = d.call_id WHERE t.end_seconds > d.duration_seconds""")
+def turns_outside_audio(spark, sf_dir):
+    length = view(spark, sf_dir, "units").groupBy("call_id").agg(F.max("end_seconds").alias("duration_seconds"))
+    return calls.turns_outside_audio(view(spark, sf_dir, "turns"), length)
+
+
+@query("""WITH l AS (SELECT call_id, turn_order, coalesce(lag(turn_order) OVER (PARTITION BY call_id ORDER BY turn_order) + 1, 0) AS due FROM turns) SELECT call_id, turn_order FROM l WHERE turn_order <> due""")
+def turn_index_violations(spark, sf_dir):
+    return calls.index_violations(view(spark, sf_dir, "turns"), "call_id", "turn_order")
+
+
+@query(CHECKED + """SELECT clause_type, doc_id, count(*) OVER (PARTITION BY clause_type ORDER BY doc_id) AS done, count(*) OVER (PARTITION BY clause_type) AS total, count(error) OVER (PARTITION BY clause_type ORDER BY doc_id) AS failed FROM v""")
+def analysis_progress(spark, sf_dir):
+    return calls.progress(contracts.check_verdicts(view(spark, sf_dir, "verdicts")), "clause_type", "doc_id")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from siltstone.llm import chain
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-SEED, PAGES = 7, 400
+SEED, PAGES = 7, 1000
+#: Labelled pages that a feature must be in to have a weight.
+SEEN = 4
 
 #: HTML elements that start a block, that hold no text of the page, and that have no end tag.
 BLOCKS = frozenset(
@@ -158,20 +161,20 @@ def features(page: list[tuple[str, frozenset, int, str]]) -> list[list[str]]:
 @lru_cache(maxsize=1)
 def trained() -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """Feature numbers, weights and transitions, learnt from the labelled pages."""
-    pages = labelled_pages(PAGES, SEED)
-    names: dict[str, int] = {}
     held = []
-    for page, marks in pages:
+    for page, marks in labelled_pages(PAGES, SEED):
         own = features(blocks(page))
         assert len(own) == len(marks), page
-        held.append([[names.setdefault(x, len(names)) for x in f] for f in own])
+        held.append((own, np.array(marks)))
+    often = Counter(x for own, _ in held for x in {x for f in own for x in f})
+    names = {x: k for k, x in enumerate(sorted(x for x, n in often.items() if n >= SEEN))}
     rows = []
-    for page in held:
-        x = np.zeros((len(page), len(names)))
-        for i, f in enumerate(page):
-            x[i, f] = 1
+    for own, _ in held:
+        x = np.zeros((len(own), len(names)), np.float32)
+        for i, f in enumerate(own):
+            x[i, [names[w] for w in f if w in names]] = 1
         rows.append(x)
-    weights, moves = chain.train(rows, [np.array(m) for _, m in pages], steps=150)
+    weights, moves = chain.train(rows, [marks for _, marks in held], steps=160, ridge=3e-5)
     return names, weights, moves
 
 
@@ -296,20 +299,20 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
             marks.append(1)
         for _ in range(rng.choice((1, 1, 2, 3, 5, 9))):
             kind = rng.random()
-            if kind < 0.7:
+            if kind < 0.66:
                 open_b = rng.random() < 0.1
                 out.append(f"<p>{'<b>' if open_b else ''}{inline(prose())}{'<br>' if open_b else '</p>'}")
                 marks.append(1)
-            elif kind < 0.78:
+            elif kind < 0.73:
                 t = rng.choice(("h2", "h3", "h4"))
                 out.append(f"<{t}>{phrase(1, 6)}</{t}>")
                 marks.append(1)
-            elif kind < 0.86:
+            elif kind < 0.80:
                 n = rng.randint(1, 4)
                 t = rng.choice(("ul", "ol"))
                 out.append(f"<{t}>" + "".join(f"<li>{inline(prose())}</li>" for _ in range(n)) + f"</{t}>")
                 marks += [1] * n
-            elif kind < 0.92:
+            elif kind < 0.87:
                 t = rng.choice(("blockquote", "pre", "figcaption", "div", "td"))
                 own = f"<{t}>{inline(prose())}</{t}>"
                 out.append(f"<table><tr>{own}</tr></table>" if t == "td" else own)

@@ -308,3 +308,24 @@ def test_nothing_else_imports_this_subpackage():
     root = Path(__file__).resolve().parents[2] / "siltstone"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "siltstone.llm" in p.read_text()]
     assert sys.modules
+
+
+def test_targets_are_reshared_until_none_is_above(spark):
+    rng = random.Random(9)
+    for trial in range(4):
+        sizes = {f"s{i:02d}": rng.choice((0, 1, 5, 50, 1000, 20000)) for i in range(rng.randint(1, 12))} | ({None: 30} if trial % 2 else {})
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        weights = {s: curriculum.WEIGHTS[k % 3] for k, s in enumerate(order)}
+        total, target, open_ = sum(sizes.values()), {}, set(order)
+        while open_:
+            rest = total - sum(target.values())
+            share = {s: rest * weights[s] / sum(weights[x] for x in open_) for s in open_}
+            above = {s for s in open_ if share[s] > 3 * sizes[s]}
+            if not above:
+                target |= share
+                break
+            target |= {s: 3.0 * sizes[s] for s in above}
+            open_ -= above
+        rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+        got = {r["source"]: r["target"] for r in curriculum.targets(rows).collect()}
+        assert got.keys() == target.keys() and all(abs(got[s] - target[s]) < 1e-6 for s in got), (sizes, got, target)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, SAMPLE_CHARS = 3000, 50_000
-CACHE = 1_000_000
+CACHE = 400_000
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 8192
 THRESHOLDS = (2, 3, 4, 6)
 WHOLE = 3

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import alignment, calls, catalog, contracts, orchestration, roles, rubric, scoring, store, validation
-from siltstone.sources.tables import view, with_views
+from siltstone.sources.tables import VIEWS, table, view, with_views
+from siltstone.streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -789,3 +790,26 @@ def turn_index_violations(spark, sf_dir):
 @query(CHECKED + """SELECT clause_type, doc_id, count(*) OVER (PARTITION BY clause_type ORDER BY doc_id) AS done, count(*) OVER (PARTITION BY clause_type) AS total, count(error) OVER (PARTITION BY clause_type ORDER BY doc_id) AS failed FROM v""")
 def analysis_progress(spark, sf_dir):
     return calls.progress(contracts.check_verdicts(view(spark, sf_dir, "verdicts")), "clause_type", "doc_id")
+
+
+# --- streams (additions; each gives what its batch form gives) -----------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return intake.read(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema)
+
+
+@query("""WITH l AS (SELECT *, lag(status) OVER (PARTITION BY call_id ORDER BY ts, event_id) AS old FROM status_log)
+SELECT call_id, old, status AS new FROM l WHERE old <> status AND old || '>' || status NOT IN ('received>validated', 'received>rejected', 'received>failed', 'validated>transcribed', 'validated>failed', 'transcribed>diarized', 'transcribed>failed',
+  'diarized>roles_assigned', 'diarized>failed', 'roles_assigned>evaluated', 'roles_assigned>failed')""")
+def stream_status_violations(spark, sf_dir):
+    """The state of each call is its last status."""
+    log = spark.sql(VIEWS["status_log"].replace("FROM events", "FROM {events}"), events=_stream(spark, sf_dir, "events"))
+    return intake.drained(intake.illegal_changes(log))
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_first_seen(spark, sf_dir):
+    """A key that comes again within the watermark is dropped; here the watermark spans all events."""
+    events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return intake.drained(intake.first_seen(events, "user_id", late="3650 days").select("user_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,8 +15,12 @@ from siltstone.operators.orchestration import TRANSITIONS
 
 
 def read(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 100) -> DataFrame:
-    """A stream of the Parquet files that arrive under path."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A stream of the Parquet files that arrive under path, or of the one file that path is."""
+    held = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return held.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return held.parquet(path)
 
 
 def first_seen(stream: DataFrame, key: str, ts: str = "ts", late: str = "1 day") -> DataFrame:
@@ -48,3 +54,16 @@ def illegal_changes(stream: DataFrame) -> DataFrame:
 def write(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Run what is there through the stream and stop: exactly once, by the checkpoint."""
     return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A path of its own in the folder that driver and executors share; a temporary one only where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-")
+    return f"{shared.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """All that a stream gives for what is there, as a table."""
+    spark, path = stream.sparkSession, scratch(stream.sparkSession)
+    write(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.shipping import ship
+
 #: Tries of a request, and the seconds before the second, doubled before each further one.
 TRIES, DELAY = 3, 2.0
 
@@ -49,6 +51,7 @@ def call(rows: DataFrame, factory: Callable[[], Provider], tries: int = TRIES, d
                 errors.append(error)
             yield batch.assign(answer=pd.Series(answers, dtype=object, index=batch.index), error=pd.Series(errors, dtype=object, index=batch.index))[[*columns, "answer", "error"]]
 
+    ship(rows.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInPandas(run, f"{kinds}, answer string, error string")
 

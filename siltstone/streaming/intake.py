@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siltstone.sources.shipping import ship
 from siltstone.operators.orchestration import TRANSITIONS
 
 
@@ -48,6 +49,7 @@ def illegal_changes(stream: DataFrame) -> DataFrame:
         state.update((old,))
         yield pd.DataFrame(bad, columns=["call_id", "old", "new"])
 
+    ship(stream.sparkSession)
     return stream.groupBy("call_id").applyInPandasWithState(step, "call_id long, old string, new string", "status string", "append", "NoTimeout")
 
 

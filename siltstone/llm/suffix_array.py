@@ -88,6 +88,7 @@ def suffix_array(text: Sequence[int]) -> list[int]:
                         place[q], place[p] = k, last
                     group[p] = fresh
                 size[fresh] = len(ps)
+    del order, place, size, by_symbol
     free = list(range(n))  # of a group: its next free place
     out = [-1] * n
     out[0] = n - 1

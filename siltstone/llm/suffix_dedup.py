@@ -19,8 +19,9 @@ meet. Neighbouring strings mostly share their anchor; such a run of strings is o
 
 An anchor may be hot (a passage in a third of all documents, with as many different surroundings). One with over
 ``hot`` different stretches isn't sent to one suffix array: its strings are counted one by one, by a 128-bit hash of
-their bytes, which is pre-aggregated in each task and finds the same repeats. Buckets of documents hold about
-``bucket_bytes`` of text, so their number grows with the corpus, and no task ever holds more than a bucket.
+their bytes, which is pre-aggregated in each task and finds the same repeats. Anchors and documents are dealt to
+buckets, each of about a thousandth of the corpus but between ``BUCKET_BYTES`` of text; a task
+holds one bucket of documents at a time, or the packed stretches of about ``TASK_BYTES`` of text.
 
 Digests have 64 bits and are compared only between stretches whose anchors' hashes (64 bits) are equal.
 
@@ -43,14 +44,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.sources.shipping import ship
 from siltstone.llm.common import cut
 from siltstone.llm.suffix_array import suffix_array
 
 LENGTH, ANCHOR = 100, 40
-HOT = 4096
-BUCKET_BYTES = 8 << 20
+HOT = 1024
+#: Least and most text of a bucket, and of what one task gets of them.
+BUCKET_BYTES, TASK_BYTES = (2 << 20, 256 << 20), 64 << 20
 #: Bytes of text handled at once, and bytes of stretches in one suffix array.
 SLICE, ARRAY_BYTES = 1 << 19, 1 << 16
+#: Bytes of text whose stretches are collapsed and packed together.
+LISTED_BYTES = 12 << 20
 PACKED = "bucket int, kind int, data binary"
 #: Kinds of packed rows: stretches by anchor; runs of repeated bytes, open stretches and strings of hot anchors, by document.
 STRETCH, RUN, OPEN, STRING = 0, 1, 2, 3
@@ -215,45 +220,52 @@ def _times(x: np.ndarray) -> np.ndarray:
 def _listing(length: int, anchor: int, anchors: int, buckets: int):
     """Step 1."""
 
+    def emitted(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, digest, left, right, doc, at, count = (np.concatenate(x) for x in zip(*parts))
+        columns = {"key": key, "digest": digest, "left": left, "right": right, "doc": doc, "at": at, "count": count}
+        order, after = _later(columns, ("key", "digest"))
+        again, first = order[after], order[~after]
+        rows = list(dealt(STRETCH, {k: v[first] for k, v in columns.items()}, (key[first] % np.uint64(anchors)).astype(np.int32)))
+        d, s, e = merged(doc[again], at[again], at[again] + count[again] + (length - 1))
+        rows += dealt(RUN, {"doc": d, "at": s, "end": e}, doc_bucket(d, buckets))
+        return batch_of(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            parts: list[tuple[np.ndarray, ...]] = []
-            held: list[tuple[int, int, bytes]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[int, int, bytes]] = []
+        size = listed = 0
+
+        def flush() -> None:
+            nonlocal size, listed
+            if held:
+                text = np.frombuffer(b"".join(b for _, _, b in held), np.uint8)
+                ends = np.cumsum([len(b) for _, _, b in held])
+                starts = ends - [len(b) for _, _, b in held]
+                key, digest, left, right, doc, a, count = stretches(text, starts, ends, length, anchor)
+                offset = np.array([o for _, o, _ in held]) - starts
+                parts.append((key, digest, left.astype(np.uint32), right.astype(np.uint32), np.array([i for i, _, _ in held], np.int64)[doc], (a + offset[doc]).astype(np.int32), count.astype(np.int32)))
+                listed += size
+            held.clear()
             size = 0
 
-            def flush() -> None:
-                nonlocal size
-                if held:
-                    text = np.frombuffer(b"".join(b for _, _, b in held), np.uint8)
-                    ends = np.cumsum([len(b) for _, _, b in held])
-                    starts = ends - [len(b) for _, _, b in held]
-                    key, digest, left, right, doc, a, count = stretches(text, starts, ends, length, anchor)
-                    offset = np.array([o for _, o, _ in held]) - starts
-                    parts.append((key, digest, left, right, np.array([i for i, _, _ in held], np.int64)[doc], a + offset[doc], count))
-                held.clear()
-                size = 0
-
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tolist()
             texts = batch.column(1)
-            for i in range(batch.num_rows):
+            for i, doc in enumerate(ids):
                 data = texts[i].as_py()
                 for at in range(0, max(len(data) - length + 1, 0), SLICE):
                     piece = data[at : at + SLICE + length - 1]
                     if size + len(piece) > SLICE + length - 1:
                         flush()
-                    held.append((int(ids[i]), at, piece))
+                        if listed >= LISTED_BYTES:
+                            yield emitted(parts)
+                            parts.clear()
+                            listed = 0
+                    held.append((doc, at, piece))
                     size += len(piece)
-            flush()
-            if not parts:
-                continue
-            key, digest, left, right, doc, at, count = (np.concatenate(x) for x in zip(*parts))
-            columns = {"key": key, "digest": digest, "left": left, "right": right, "doc": doc, "at": at, "count": count}
-            order, after = _later(columns, ("key", "digest"))
-            again, first = order[after], order[~after]
-            rows = list(dealt(STRETCH, {k: v[first] for k, v in columns.items()}, (key[first] % np.uint64(anchors)).astype(np.int32)))
-            d, s, e = merged(doc[again], at[again], at[again] + count[again] + (length - 1))
-            rows += dealt(RUN, {"doc": d, "at": s, "end": e}, doc_bucket(d, buckets))
-            yield batch_of(rows)
+        flush()
+        if parts:
+            yield emitted(parts)
 
     return run
 
@@ -278,29 +290,25 @@ def _settling(length: int, buckets: int, hot: int):
         yield from dealt(OPEN, columns, doc_bucket(columns["doc"], buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        held: list[bytes] = []
         for batch in batches:
             rows = []
             for bucket, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == STRETCH:
-                    held.setdefault(bucket, []).append(data)
+                    held.append(data)
                 else:
                     rows.append((bucket, kind, data))
             if rows:
                 yield batch_of(rows)
-        for blocks in held.values():
-            rows = list(settle(blocks))
-            if rows:
-                yield batch_of(rows)
+        rows = list(settle(held))
+        if rows:
+            yield batch_of(rows)
 
     return run
 
 
-OPENED = "key long, text binary, doc long, at int"
-
-
 def _fetching(length: int, strings: int):
-    """Step 3, by bucket of documents: open stretches' texts (kind OPEN: OPENED), and strings of hot anchors, packed."""
+    """Step 3, by bucket of documents: open stretches' texts (kind 0), and strings of hot anchors, packed."""
 
     def run(docs: pa.Table, blocks: pa.Table) -> pa.Table:
         columns = unpack(OPEN, blocks.column("data").to_pylist())
@@ -416,19 +424,21 @@ def numbered(docs: DataFrame) -> DataFrame:
     return held.withColumn("doc", base * most + place)
 
 
-def runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame, int]:
+def runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, bucket_bytes: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(zipped documents by bucket, packed runs of repeated bytes by bucket, number of buckets). docs: see numbered()."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-int(total) // bucket_bytes))
-    wide = max(buckets // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ship(spark)
+    total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    least, most = BUCKET_BYTES
+    buckets = max(1, -(-total // (bucket_bytes or min(max(total // 1000, least), most))))
+    wide = max(min(buckets, -(-total // TASK_BYTES)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     data = F.encode("text", "UTF-8")
     listed = docs.filter(F.octet_length("text") >= length).select("doc", data.alias("data")).mapInArrow(_listing(length, anchor, buckets, buckets), PACKED)
     settled = cut(listed.repartition(wide, "bucket", "kind").mapInArrow(_settling(length, buckets, hot), PACKED), "settled")
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             doc = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             data = pa.array([tool.compress(x.as_py()) for x in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(doc_bucket(doc, buckets), pa.int32()), batch.column(0), batch.column(1), data], names=["bucket", "doc_id", "doc", "data"])

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.shipping import ship
 from siltstone.llm import chain
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -206,6 +207,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(x.as_py() or "", model) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
+    ship(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, SCHEMA)
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.shipping import ship
 from siltstone.llm import chain
 
 #: Labelled documents of each class to train on, and the most characters one may have.
@@ -134,11 +135,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
 def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, share: float = SHARE) -> DataFrame:
     """SCHEMA, one row per document."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_judging(model, share, False), SCHEMA)
 
 
 def keep(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, share: float = SHARE) -> DataFrame:
     """The documents kept, with all their columns."""
+    ship(docs.sparkSession)
     return docs.mapInArrow(_judging(model, share, True), docs.schema)
 
 

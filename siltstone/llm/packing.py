@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.shipping import ship
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Fixed value: how the vocabulary's public pre-tokenizer splits a text.
@@ -184,4 +186,5 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int =
         if out:
             yield flush()
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

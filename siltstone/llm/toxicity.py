@@ -37,6 +37,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.shipping import ship
+
 SAMPLE, SAMPLE_CHARS = 3000, 50_000
 CACHE = 400_000
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 8192
@@ -187,4 +189,5 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 names=[x.split()[0] for x in SCHEMA.split(", ")],
             )
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

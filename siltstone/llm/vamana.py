@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.sources.shipping import ship
 from siltstone.llm.common import cut
 
 SHARD_ROWS, DEGREE, ALPHA, BUILD_BEAM, BEAM = 4096, 32, 1.2, 64, 128
@@ -163,6 +164,7 @@ def take_part(vectors: DataFrame) -> DataFrame:
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by every."""
+    ship(vectors.sparkSession)
     held = take_part(vectors)
     # Equal vectors are one node with its k + 1 smallest ids; the rank filter prunes each task's rows before the shuffle.
     place = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.shipping import ship
+
 MAGIC = b"WARC/1.1\r\n"
 ARCHIVE_ROWS = 2048
 SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -161,6 +163,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*rows), kinds)], names=names)
 
+    ship(spark)
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return archives.mapInArrow(run, SCHEMA)
 

@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession
 
 #: Settings whose defaults let a batch of long texts fill a task's memory, and what replaces these defaults.
 BATCHES = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
-    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216"),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608"),
 }
 
 

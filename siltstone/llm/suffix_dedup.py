@@ -21,7 +21,7 @@ An anchor may be hot (a passage in a third of all documents, with as many differ
 ``hot`` different stretches isn't sent to one suffix array: its strings are counted one by one, by a 128-bit hash of
 their bytes, which is pre-aggregated in each task and finds the same repeats. Anchors and documents are dealt to
 buckets, each of about a thousandth of the corpus but between ``BUCKET_BYTES`` of text; a task
-holds one bucket of documents at a time, or the packed stretches of about ``TASK_BYTES`` of text.
+holds one bucket at a time, and the packed stretches of about ``TASK_BYTES`` of text.
 
 Digests have 64 bits and are compared only between stretches whose anchors' hashes (64 bits) are equal.
 
@@ -53,9 +53,9 @@ HOT = 1024
 #: Least and most text of a bucket, and of what one task gets of them.
 BUCKET_BYTES, TASK_BYTES = (2 << 20, 256 << 20), 64 << 20
 #: Bytes of text handled at once, and bytes of stretches in one suffix array.
-SLICE, ARRAY_BYTES = 1 << 19, 1 << 16
+SLICE, ARRAY_BYTES = 1 << 17, 1 << 16
 #: Bytes of text whose stretches are collapsed and packed together.
-LISTED_BYTES = 12 << 20
+LISTED_BYTES = 6 << 20
 PACKED = "bucket int, kind int, data binary"
 #: Kinds of packed rows: stretches by anchor; runs of repeated bytes, open stretches and strings of hot anchors, by document.
 STRETCH, RUN, OPEN, STRING = 0, 1, 2, 3
@@ -273,34 +273,39 @@ def _listing(length: int, anchor: int, anchors: int, buckets: int):
 def _settling(length: int, buckets: int, hot: int):
     """Step 2."""
 
-    def settle(blocks: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    def settle(blocks: list[bytes]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        """Runs, and open stretches, of the anchors in one bucket."""
         columns = unpack(STRETCH, blocks)
         order, after = _later(columns, ("key", "digest"))
-        columns = {k: v[order] for k, v in columns.items()}
-        doc, at, count = columns["doc"][after], columns["at"][after], columns["count"][after].astype(np.int64)
-        d, s, e = merged(doc, at, at + count + (length - 1))
-        yield from dealt(RUN, {"doc": d, "at": s, "end": e}, doc_bucket(d, buckets))
-        columns = {k: v[~after] for k, v in columns.items()}
-        open_ = np.zeros(len(columns["key"]), bool)
+        again, first = order[after], order[~after]
+        d, s, e = merged(columns["doc"][again], columns["at"][again], columns["at"][again] + columns["count"][again].astype(np.int64) + (length - 1))
+        columns = {k: v[first] for k, v in columns.items()}
+        open_ = np.zeros(len(first), bool)
         for side in ("left", "right"):
             beside = columns[side].astype(np.uint64)
             open_ |= (beside > 0) & (_times(mixed(columns["key"] + beside * np.uint64(0x9E3779B97F4A7C15))) > 1)
-        columns = {k: v[open_] for k, v in columns.items()}
+        columns = {k: columns[k][open_] for k in ("doc", "at", "count", "key")}
         columns["hot"] = _times(columns["key"]) > hot
-        yield from dealt(OPEN, columns, doc_bucket(columns["doc"], buckets))
+        return {"doc": d, "at": s, "end": e}, columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
             rows = []
             for bucket, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == STRETCH:
-                    held.append(data)
+                    held.setdefault(bucket, []).append(data)
                 else:
                     rows.append((bucket, kind, data))
             if rows:
                 yield batch_of(rows)
-        rows = list(settle(held))
+        found = [settle(held.pop(bucket)) for bucket in sorted(held)]
+        if not found:
+            return
+        rows = []
+        for kind, parts in zip((RUN, OPEN), zip(*found)):
+            columns = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+            rows += dealt(kind, columns, doc_bucket(columns["doc"].astype(np.int64), buckets))
         if rows:
             yield batch_of(rows)
 

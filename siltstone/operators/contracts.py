@@ -24,19 +24,28 @@ def break_headers(text: Column) -> Column:
 
 
 def pieces(body: Column, limit: int = MAX_CHUNK) -> Column:
-    """Whole sentences packed greedily into pieces of at most limit characters; a longer sentence is a piece."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(held: Column, sentence: Column) -> Column:
-        joined = F.when(held["open"] == "", sentence).otherwise(strip(F.concat(held["open"], F.lit(" "), sentence)))
-        full = (F.length(joined) > limit) & (held["open"] != "")
-        return F.struct(
-            F.when(full, F.array_append(held["done"], held["open"])).otherwise(held["done"]).alias("done"),
-            F.when(full, sentence).otherwise(joined).alias("open"),
-        )
-
-    end = lambda x: F.when(x["open"] == "", x["done"]).otherwise(F.array_append(x["done"], x["open"]))
-    return F.aggregate(F.split(body, SENTENCE), start, step, end)
+    """Whole sentences packed greedily into pieces of at most limit characters; a longer sentence is a piece.
+
+    The fold runs over lengths and notes where pieces start; texts are joined once, at the end. A transform over an array
+    of one element names a value, so that it's made once.
+    """
+
+    def packed(parts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+        def step(held: Column, n: Column) -> Column:
+            fresh = (held["at"] == 0) | (held["size"] + 1 + n > limit)
+            return F.struct(
+                F.when(fresh, n).otherwise(held["size"] + 1 + n).alias("size"),
+                (held["at"] + 1).alias("at"),
+                F.when(fresh, F.array_append(held["starts"], held["at"])).otherwise(held["starts"]).alias("starts"),
+            )
+
+        starts = F.aggregate(F.transform(parts, F.length), start, step, lambda x: x["starts"])
+        joined = lambda at: F.transform(at, lambda b, i: F.array_join(F.slice(parts, b + 1, F.coalesce(F.get(at, i + 1), F.size(parts)) - b), " "))
+        return F.get(F.transform(F.array(starts), joined), F.lit(0))
+
+    return F.get(F.transform(F.array(F.split(strip(body), SENTENCE)), packed), F.lit(0))
 
 
 def sections(docs: DataFrame) -> DataFrame:

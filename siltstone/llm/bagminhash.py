@@ -12,13 +12,14 @@ above w is dropped. The earliest point of each component is kept, so two signatu
 probability equal to the weighted Jaccard similarity, and one costs about m log m points whatever a text's length.
 
 Exact copies are collapsed before anything else is joined. Of what's left, documents that agree in a band of
-``ROWS`` components are candidates. A band's bucket of up to ``SMALL`` texts is compared in full. A larger one may
-hold any share of the corpus, so its pairs are never listed: its members are compared with its hubs, the few that have
-most company over all their bands, and with the hub of those that agree with them in the next band too. Links are
-verified on the texts; components are found by alternating large and small stars. Then large buckets whose members
-still lie in different components get more hubs, a few a round, as long as at least one in ``YIELD`` pairs is a link.
-So work is linear in a bucket's size. Hubs may miss a text whose only links are to texts that are no hubs, in a large
-bucket: README has the measured recall.
+``ROWS`` components are candidates, and every candidate pair is verified on the texts, however large its bucket. A
+band's bucket of up to ``SMALL`` texts lists its pairs. A larger one is put in order of size and dealt into blocks of
+at most ``BLOCK`` texts; two blocks whose sizes can hold a similar pair are a cell, and a cell counts its overlaps by
+products of 0/1 matrices over the shingles it holds. A pair belongs to the first band that it agrees in, or to the list
+of pairs if it meets in a small bucket, so it counts once. A cell returns each text's number of links and a spanning
+forest of them, so what is written is linear in a bucket's size; the comparisons in a bucket are all its pairs that
+sizes allow. Components are found by alternating large and small stars. Only banding can miss a link: at similarity s,
+two documents agree in no band with probability (1 - s^ROWS)^BANDS, 3e-7 at the threshold.
 
 Defined results: a null, empty or blank text is a class of its own, with its own doc_id; copies and repeated rows are
 in one class; the class is named by its smallest doc_id; a class of null doc_ids alone has a null name; a text of any
@@ -43,8 +44,10 @@ from siltstone.llm.suffix_dedup import Rolling, mixed
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 21, 3
-#: Texts of a bucket that is compared in full; hubs of a larger one at first, and more each round; links that a round must find.
-SMALL, HUBS, MORE, YIELD = 16, 2, 4, 100
+#: Texts of a bucket whose pairs are listed; texts of a block of a larger one, and shingles of a block (its last text may exceed them).
+SMALL, BLOCK, BLOCK_SIZE = 16, 1000, 400_000
+#: Shingles of a matrix; pairs a text up to which a cell compares them one by one.
+STRIP, FEW = 4096, 4
 SLICE = 1 << 17
 SKETCH = "doc_id long, node binary, bands array<long>"
 
@@ -219,7 +222,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def zipped(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, zipped: one text of each of these nodes (distinct)."""
+    """node, zipped, size (its shingles): one text of each of these nodes (distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=1).compress
@@ -228,9 +231,10 @@ def zipped(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             names = [hashlib.blake2b(t, digest_size=16).digest() if t else None for t in texts]
             # Copies in one batch are sent once.
             rows = {n: t for n, t in zip(names, texts) if n}
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array([tool(t) for t in rows.values()], pa.binary())], names=["node", "zipped"])
+            size = pa.array([max(1, t.count(b" ") + 2 - SHINGLE) for t in rows.values()], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array([tool(t) for t in rows.values()], pa.binary()), size], names=["node", "zipped", "size"])
 
-    every = docs.select(F.col("text").cast("string")).mapInArrow(run, "node binary, zipped binary")
+    every = docs.select(F.col("text").cast("string")).mapInArrow(run, "node binary, zipped binary, size long")
     return every.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -261,46 +265,128 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def overlaps(doc: np.ndarray, code: np.ndarray, weight: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """rows x cols: shingles in common, with weights, of these documents. doc, code, weight: as shingles returns them."""
+    of = np.repeat(np.arange(len(doc)), weight)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(weight) - weight, weight)
+    # A shingle of weight w is w elements, so that common weight is a count.
+    _, element, count = np.unique(mixed(code[of] + nth.astype(np.uint64) * _MIX[0]), return_inverse=True, return_counts=True)
+    shared = count > 1
+    on = shared[element]
+    element, owner = (np.cumsum(shared) - 1)[element[on]], doc[of[on]]
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    n = int(doc.max()) + 1 if len(doc) else 0
+    row, col = np.full(n, -1), np.full(n, -1)
+    row[rows], col[cols] = np.arange(len(rows)), np.arange(len(cols))
+    out = np.zeros((len(rows), len(cols)))
+    for at in range(0, int(shared.sum()), STRIP):
+        lo, hi = np.searchsorted(element, [at, at + STRIP])
+        x, y = np.zeros((len(rows), STRIP), np.float32), np.zeros((len(cols), STRIP), np.float32)
+        for held, place in ((x, row[owner[lo:hi]]), (y, col[owner[lo:hi]])):
+            held[place[place >= 0], element[lo:hi][place >= 0] - at] = 1
+        out += x @ y.T
+    return out
+
+
+def linked(texts: list[bytes], rows: np.ndarray, cols: np.ndarray, todo: np.ndarray, threshold: float) -> np.ndarray:
+    """rows x cols: those pairs of todo that are similar enough. rows, cols: numbers of texts."""
+    doc, code, weight = shingles(texts)
+    size = np.bincount(doc, weights=weight, minlength=len(texts))
+    small, big = np.minimum.outer(size[rows], size[cols]), np.maximum.outer(size[rows], size[cols])
+    todo = todo & (small >= (threshold - 1e-9) * big)
+    out = np.zeros(todo.shape, bool)
+    x, y = np.flatnonzero(todo.any(1)), np.flatnonzero(todo.any(0))
+    if todo.sum() <= FEW * (len(x) + len(y)):
+        at = np.searchsorted(doc, np.arange(len(texts) + 1))
+        bag = lambda i: (code[at[i] : at[i + 1]], weight[at[i] : at[i + 1]])
+        for i, j in zip(*np.nonzero(todo)):
+            out[i, j] = similarity(bag(rows[i]), bag(cols[j])) >= threshold - 1e-12
+        return out
+    both = overlaps(doc, code, weight, rows[x], cols[y])
+    out[np.ix_(x, y)] = both / (np.add.outer(size[rows[x]], size[cols[y]]) - both) >= threshold - 1e-12
+    return out & todo
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what a symmetric matrix of links connects, and no more than that takes."""
+    fresh, out = near.any(1), []
+    while fresh.any():
+        stack = [int(np.argmax(fresh))]
+        fresh[stack[0]] = False
+        while stack:
+            i = stack.pop()
+            found = np.flatnonzero(near[i] & fresh)
+            fresh[found] = False
+            out += [(i, int(j)) for j in found]
+            stack += found.tolist()
+    return out
+
+
+def cell_links(cells: DataFrame, threshold: float) -> DataFrame:
+    """a, b, n: edges that connect what a cell's links connect (n is 0), and links of a by cell (b is null).
+
+    cells: band, i, j (the cell), block, node, zipped, bands, large (those of its bands whose buckets are large).
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        unzip = zstandard.ZstdDecompressor().decompress
+        band, i, j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
+        nodes, block = table.column("node").to_pylist(), table.column("block").to_numpy()
+        codes = np.array(table.column("bands").to_pylist(), np.int64)
+        large = np.isin(codes, np.unique(np.concatenate([np.array(x, np.int64) for x in table.column("large").to_pylist()])))
+        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        own = int(np.flatnonzero((codes == band).all(0))[0])
+        # Pairs that agree in an earlier band are that band's; those that meet in a small bucket are listed.
+        todo = np.triu(np.ones((len(rows), len(cols)), bool), 1) if i == j else np.ones((len(rows), len(cols)), bool)
+        for k in range(codes.shape[1]):
+            if k != own:
+                same = codes[rows, k][:, None] == codes[cols, k][None]
+                todo &= ~(same if k < own else same & ~large[rows, k][:, None])
+        near = np.zeros((len(nodes), len(nodes)), bool)
+        if todo.any():
+            near[np.ix_(rows, cols)] = linked([unzip(z) for z in table.column("zipped").to_pylist()], rows, cols, todo, threshold)
+            near |= near.T
+        edges, n = forest(near), near.sum(1)
+        some = np.flatnonzero(n)
+        a = [nodes[x] for x, _ in edges] + [nodes[x] for x in some]
+        b = [nodes[y] for _, y in edges] + [None] * len(some)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array([0] * len(edges) + n[some].tolist(), pa.int64())})
+
+    return cells.groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary, n long")
+
+
 def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(edges a, b that are verified; node, root of all nodes with any). nodes: node, bands; distinct."""
+    """(node, n_links; node, root) of all nodes with any link. nodes: node, bands; distinct."""
     spark = nodes.sparkSession
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    shared = rows.join(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band")
-    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
-    shared = cut(shared.join(company, "node"), "shared")  # node, band, n, company
-    crowded = shared.filter(F.col("n") > SMALL).groupBy("node").agg(F.first("company").alias("company"))
-    both = F.transform("bands", lambda x, i: F.xxhash64(x, F.get("bands", (i + 1) % F.size("bands")), i))
-    finer = nodes.join(crowded, "node").select("node", F.explode(both).alias("band"), "company")
-    finer = finer.join(finer.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band")
-    large = F.col("n") > SMALL
-    held = shared.withColumn("hubs", F.when(large, HUBS).otherwise(SMALL)).unionByName(finer.withColumn("hubs", F.lit(1)))
-    order = W.partitionBy("band").orderBy(F.desc("company"), "node")
-    ranked = lambda x, upto: x.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= upto)
-    hub = ranked(held, SMALL).filter(F.col("place") <= F.col("hubs")).select("band", F.col("node").alias("hub"))
+    shared = cut(rows.join(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band"), "shared")  # band, node, n
     texts = cut(zipped(docs, shared.select("node").distinct()), "texts")
-    # Hubs are written, so that the join with them shuffles by itself and splits where a band is hot.
-    pairs = held.select("band", "node").join(cut(hub, "hubs"), "band").filter(F.col("node") != F.col("hub"))
-    edges = spark.createDataFrame([], "a binary, b binary")
-    roots = spark.createDataFrame([], "node binary, root binary")
-    tested = HUBS
-    most = int(shared.agg(F.max("n")).first()[0] or 0)
-    while True:
-        pairs = cut(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-        found = cut(verified(pairs, texts, threshold), "links")
-        links_, tries = found.count(), pairs.count()
-        if links_:
-            edges = edges.unionByName(found)
-            roots = cut(components(edges), "roots")
-        if not links_ or links_ * YIELD < tries or tested >= most or most <= SMALL:
-            return edges, roots
-        # More hubs for large buckets whose members lie in different components.
-        part = F.coalesce("root", "node").alias("part")
-        own = shared.filter(large).join(roots, "node", "left").select("band", "node", "company", part)
-        split = own.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("band")
-        own = own.join(split, "band")
-        hub = ranked(own, tested + MORE).filter(F.col("place") > tested).select("band", F.col("node").alias("hub"), F.col("part").alias("of"))
-        pairs = own.join(cut(hub, "hubs"), "band").filter(F.col("part") != F.col("of"))
-        tested += MORE
+    few = shared.filter(F.col("n") <= SMALL)
+    pairs = few.select("band", F.col("node").alias("a")).join(few.select("band", F.col("node").alias("b")), "band").filter("a < b")
+    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
+    found = cut(verified(pairs, texts, threshold), "links")
+    edges = found
+    degree = found.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
+    many = shared.filter(F.col("n") > SMALL).select("band", "node")
+    if not many.limit(1).isEmpty():
+        unit = BLOCK_SIZE // BLOCK
+        before = F.sum(F.col("size") + unit).over(W.partitionBy("band").orderBy("size", "node").rowsBetween(W.unboundedPreceding, -1))
+        placed = many.join(texts.select("node", "size"), "node").withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_SIZE).cast("long"))
+        placed = cut(placed, "blocks")
+        sizes = placed.groupBy("band", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+        other = sizes.select("band", F.col("block").alias("j"), F.col("least").alias("from"))
+        cells = sizes.withColumnRenamed("block", "i").join(other, "band").filter((F.col("i") <= F.col("j")) & (F.col("most") >= (threshold - 1e-9) * F.col("from")))
+        cells = cells.select("band", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        large = placed.groupBy("node").agg(F.collect_list("band").alias("large"))
+        own = cut(texts.select("node", "zipped").join(large, "node").join(nodes, "node"), "members")
+        held = placed.select("band", "block", "node").join(cut(cells, "cells"), ["band", "block"]).join(own, "node")
+        more = cut(cell_links(held.select("band", "i", "j", "block", "node", "zipped", "bands", "large"), threshold), "cell_links")
+        edges = edges.unionByName(more.filter("b IS NOT NULL").select("a", "b"))
+        degree = degree.unionByName(more.filter("b IS NULL").select(F.col("a").alias("node"), "n"))
+    roots = spark.createDataFrame([], "node binary, root binary") if edges.isEmpty() else cut(components(edges), "roots")
+    return degree.groupBy("node").agg(F.sum("n").alias("n_links")), roots
 
 
 RESULT = "doc_id, class_id, n_links"
@@ -310,9 +396,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id, n_links (verified links of its text to different texts)."""
     drawn = cut(sketch(docs), "sketch")
     nodes = drawn.filter("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
-    edges, roots = links(nodes, docs, threshold)
-    both = edges.select("a").unionByName(edges.select(F.col("b").alias("a")))
-    degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+    degree, roots = links(nodes, docs, threshold)
     names = drawn.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = names.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named, "named")

@@ -129,6 +129,36 @@ def test_near_duplicates_in_a_large_bucket(spark):
     assert links > 500 and np.mean([got[i] == want[i] for i in docs]) >= 0.98
 
 
+@pytest.mark.parametrize("block", [1000, 50])
+def test_near_duplicates_of_large_buckets_are_exact(spark, monkeypatch, block):
+    """Chains of near copies among many texts that only share a passage with them: a large bucket of mostly no links."""
+    monkeypatch.setattr(bagminhash, "BLOCK", block)
+    monkeypatch.setattr(bagminhash, "BLOCK_SIZE", block * 400)
+    rng = random.Random(5)
+    passage = [f"w{k}" for k in range(120)]
+    docs, i = {}, 0
+    for _ in range(150):
+        docs[i] = " ".join(passage + [f"x{rng.randrange(10**6)}" for _ in range(rng.randint(60, 110))])
+        i += 1
+    for _ in range(12):
+        tail = [f"y{rng.randrange(10**6)}" for _ in range(80)]
+        for _ in range(6):
+            docs[i] = " ".join(passage + tail)
+            i += 1
+            at = rng.randrange(0, 68)
+            tail = tail[:at] + [f"z{rng.randrange(10**6)}" for _ in range(12)] + tail[at + 12 :]
+    base = [f"v{rng.randrange(5000)}" for _ in range(150)]
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.randint(1, 5)):
+            own[rng.randrange(150)] = f"u{rng.randrange(9999)}"
+        docs[i] = " ".join(own)
+        i += 1
+    want, _ = near(docs)
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_bagminhash_agrees_with_weighted_jaccard():
     rng, agree, true = np.random.default_rng(0), 0.0, 0.0
     for t in range(40):

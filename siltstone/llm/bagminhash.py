@@ -393,7 +393,7 @@ RESULT = "doc_id, class_id, n_links"
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links (verified links of its text to different texts)."""
+    """One row per document: doc_id, class_id, n_links (all verified links of its text to different texts, each text once)."""
     drawn = cut(sketch(docs), "sketch")
     nodes = drawn.filter("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
     degree, roots = links(nodes, docs, threshold)

@@ -129,6 +129,16 @@ def test_near_duplicates_in_a_large_bucket(spark):
     assert links > 500 and np.mean([got[i] == want[i] for i in docs]) >= 0.98
 
 
+def degrees(docs: dict[int, str], threshold: float = 0.8) -> Counter:
+    """Links by document to different texts, from all pairs; no two documents have equal words."""
+    held, out = bags(docs), Counter()
+    for i in held:
+        for j in held:
+            both = (held[i] & held[j]).total()
+            out[i] += i != j and both >= threshold * (held[i].total() + held[j].total() - both) - 1e-9
+    return out
+
+
 @pytest.mark.parametrize("block", [1000, 50])
 def test_near_duplicates_of_large_buckets_are_exact(spark, monkeypatch, block):
     """Chains of near copies among many texts that only share a passage with them: a large bucket of mostly no links."""
@@ -155,8 +165,9 @@ def test_near_duplicates_of_large_buckets_are_exact(spark, monkeypatch, block):
         docs[i] = " ".join(own)
         i += 1
     want, _ = near(docs)
-    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
-    assert got == want
+    n = degrees(docs)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in bagminhash.classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert max(n.values()) > 16 and got == {d: (want[d], n[d]) for d in docs}
 
 
 def test_bagminhash_agrees_with_weighted_jaccard():

@@ -1,9 +1,12 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates. SQL functions only.
 
-A block is a line of a text; its set is its distinct words. A template is found in a block if the block holds at
-least ``threshold`` of the template's distinct words. The join is that of prefix filtering, for containment:
+A block is a line of a text, or a run of as many words as a template has, over any line breaks; its set is its distinct
+words. A template is found in a block if the block holds at least ``threshold`` of the template's distinct words. A text
+whose words all together hold too few of every template is done with. In the others each template that has enough is
+tried on every run that starts with one of its words (others hold no more than the next such run), and lines are joined
+by prefix filtering, for containment:
 
-* Tokens are ordered by how many blocks of the whole corpus hold them, rarest first (ties by token). Words that no
+* Tokens are ordered by how many of these lines of the whole corpus hold them, rarest first (ties by token). Words that no
   template has can match nothing, so a block's set keeps the templates' words only; its size stays exact for the
   overlap, which is all that containment asks of it.
 * Prefix: a template of n words needs an overlap of c = ceil(threshold * n), so one of its n - c + 1 rarest words is in
@@ -13,9 +16,9 @@ least ``threshold`` of the template's distinct words. The join is that of prefix
   min(n - i, m - j) words can follow and the first shared word has none before it, so 1 + min(...) >= c.
 * What is left is verified by the overlap itself.
 
-Blocks with the same set of template words are one row, made before the shuffle; the templates' side is as small as
+Lines with the same set of template words are one row, made before the shuffle; the templates' side is as small as
 the list of templates and is broadcast (its words times templates, fixed by the parameter). The frequencies are
-counts over all blocks by template word: as many rows as the templates have words. Nothing is sampled or capped.
+counts over these lines by template word: as many rows as the templates have words. Nothing is sampled or capped.
 
 Defined results: a null text counts as empty, has no words, no labels and score 0; a text of any length is read whole;
 repeated rows get equal results; a null doc_id is carried through; an empty table gives no rows; a template without
@@ -107,6 +110,12 @@ def _sets(templates: Mapping[str, tuple[str, ...]], threshold: float) -> list[tu
     return [(i, label, ws, max(1, math.ceil(threshold * len(ws) - 1e-9))) for i, label, ws in found if ws]
 
 
+def _sets_and_spans(templates: Mapping[str, tuple[str, ...]], threshold: float) -> list[tuple[str, str, list[str], int, int]]:
+    """_sets with the number of words, repeated ones too."""
+    spans = {f"{label}/{k}": len(template_words(t)) for label, group in templates.items() for k, t in enumerate(group)}
+    return [(*x, spans[x[0]]) for x in _sets(templates, threshold)]
+
+
 def _strings(values: Iterable[str]) -> Column:
     """An array of strings; an empty one too."""
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
@@ -144,6 +153,18 @@ def block_matches(rows: DataFrame, sets: list[tuple[str, str, list[str], int]])
     return rows.filter(F.size("set") >= least).join(found, "set").groupBy("_row", "label").agg(F.max("containment").alias("containment"))
 
 
+def wrapped(tokens: Column, known: Column, templates: Mapping[str, tuple[str, ...]], threshold: float) -> Column:
+    """(label, containment) of every template that a run of its length among a text's words holds. known: the text's template words."""
+    found = []
+    for _, label, ws, need, span in _sets_and_spans(templates, threshold):
+        own = _strings(ws)
+        at = F.transform(tokens, lambda w, i: F.when(F.array_contains(own, w), F.size(F.array_intersect(F.slice(tokens, i + 1, F.lit(span)), own))))  # noqa: B023
+        best = F.when(F.size(F.array_intersect(known, own)) >= need, F.array_max(at))
+        found.append(F.struct(F.lit(label).alias("label"), F.when(best >= need, best / F.lit(len(ws))).alias("containment")))
+    none = F.array().cast("array<struct<label:string,containment:double>>")
+    return F.filter(F.array(*found), lambda x: x["containment"].isNotNull()) if found else none
+
+
 def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -156,12 +177,16 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
     id_of = F.col("doc_id").cast("long")
     key = F.struct(id_of.isNull(), F.coalesce(id_of, F.lit(0)), F.xxhash64(text), F.octet_length(text))
     lines = docs.select(id_of.alias("doc_id"), key.alias("_row"), F.transform(F.split(text, "\n"), words).alias("_lines"))
+    lines = lines.select("*", F.flatten("_lines").alias("_words")).withColumn("_known", F.array_intersect("_words", known))
+    some = reduce(lambda a, b: a | b, [F.size(F.array_intersect("_known", _strings(ws))) >= need for _, _, ws, need in sets], F.lit(False))
     own = F.filter(F.transform("_lines", lambda x: F.array_sort(F.array_intersect(x, known))), lambda x: F.size(x) > 0)
-    held = lines.select("doc_id", "_row", F.flatten("_lines").alias("_words"), own.alias("_sets"))
-    held = held.select("doc_id", "_row", "_sets", F.size("_words").cast("long").alias("n_words"), F.concat(F.lit("|"), F.array_join("_words", "||"), F.lit("|")).alias("_text"))
+    own = F.when(some, own).otherwise(F.array().cast("array<array<string>>"))
+    held = lines.select("doc_id", "_row", "_words", own.alias("_sets"), wrapped(F.col("_words"), F.col("_known"), templates, threshold).alias("_runs"))
+    held = held.select("doc_id", "_row", "_sets", "_runs", F.size("_words").cast("long").alias("n_words"), F.concat(F.lit("|"), F.array_join("_words", "||"), F.lit("|")).alias("_text"))
     base = phrase_columns(F.col("_text"), phrases)
-    held = cut(held.select("doc_id", "_row", "_sets", "n_words", *[c.alias(k) for k, c in base.items()]), "blocks")
+    held = cut(held.select("doc_id", "_row", "_sets", "_runs", "n_words", *[c.alias(k) for k, c in base.items()]), "blocks")
     matches = block_matches(held.select("_row", F.explode("_sets").alias("set")), sets)
+    matches = matches.unionByName(held.select("_row", F.inline("_runs")))
     best = matches.groupBy("_row").agg(F.collect_set("label").alias("_own"), F.max("containment").alias("_score"))
     out = held.join(best, "_row", "left")
     own = F.coalesce(F.col("_own"), _strings(()))

@@ -119,6 +119,19 @@ def test_license(spark):
     assert license_join.scan(docs, templates={}).count() == docs.count()
 
 
+def test_license_wrapped(spark):
+    """Notices in their usual wrapping, after a comment sign, and a word a line, and over empty lines; a template's words far apart are none."""
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License"
+    mit = "Intro.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"
+    split = "Permission is hereby granted, free of charge,\n\nto any person obtaining a copy\n\nof this software and associated documentation files"
+    apart = "Released late.\n" + "filler words go on and on " * 4 + "\nunder the\n" + "filler words go on and on " * 4 + "\nlicense"
+    texts = [gpl, mit, bsd, bsd.replace("\n", "\n# "), mit.replace(" ", "\n"), split, apart]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in license_join.scan(docs).collect()}
+    assert out == {0: ("gpl,gpl-notice", 1.0), 1: ("mit-text", 1.0), 2: ("bsd", 1.0), 3: ("bsd", 1.0), 4: ("mit-text", 1.0), 5: ("mit-text", 1.0), 6: ("", 0.0)}
+
+
 def test_mixing(spark):
     docs = documents(spark)
     out = curriculum.mix_plan(docs).collect()

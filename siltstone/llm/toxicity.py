@@ -1,10 +1,9 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
 
-Every word of a text, with white space around it, is a window. Both dictionaries compress it; the bytes that the toxic
-one saves over the ordinary one are the window's gain. A window that the toxic dictionary has whole takes ``WHOLE``
-bytes there at most. A document is told by how many of its windows gain at least each of ``THRESHOLDS`` bytes, in
-number and as a share, among all windows and among those that are whole, and by its greatest gain; a logistic
-calibration turns that into a score.
+A text's words, and runs of three of them that share one word with the next (``SPANS``), are windows, with white space around. Both
+dictionaries compress it; the bytes that the toxic one saves over the ordinary one are the window's gain. A document is
+told by its greatest gain and by how many of its windows gain at least each of ``THRESHOLDS`` bytes, in number and as a
+share, for either length of window; a logistic calibration turns that into a score.
 
 Windows are short, so three things keep their compressed lengths apart: both dictionaries are raw content without
 entropy tables and start with the same ordinary text, to which the toxic one adds what was trained on toxic windows;
@@ -12,16 +11,18 @@ every window is followed by the same carrier, which both dictionaries end with,
 last bytes of its input; and the frame holds neither its size nor a checksum.
 
 Training takes a bounded sample: up to ``SAMPLE`` labelled documents of each class, by a hash of the id, of at most
-``SAMPLE_CHARS`` characters, of which documents with the same opening words count once. The toxic dictionary is
-trained on those windows of toxic documents whose words stand out against ordinary ones, and ends with the most
-frequent of these windows. The calibration uses scores out of fold. Without documents of both classes every score is 0.
+``SAMPLE_CHARS`` characters, of which documents with the same opening words count once. A toxic document is mostly
+ordinary text, and a dictionary of all of it tells little (README has figures), so the toxic dictionary is trained on
+those windows of toxic documents whose words stand out against ordinary ones, and ends with the most frequent of these
+windows. The calibration uses scores out of fold. Without documents of both classes every score is 0.
 
 Scoring is one pass without a shuffle. A task keeps the gains of up to ``CACHE`` words.
 
 Defined results: null and empty texts have no windows and score what the calibration gives those; a text of any
-length is read whole, and a word longer than 64 characters in pieces of 48; repeated rows score alike; an id that is
-labelled twice counts as toxic if one label says so; a null doc_id is carried through, not held out and never learnt
-from; an empty table gives no rows; other columns are ignored.
+length is read whole, and what stands between white space counts as words of ``LONGEST`` characters, so that a text
+without white space has windows like any other; repeated rows score alike; an id that is labelled twice counts as toxic
+if one label says so; a null doc_id is carried through, not held out and never learnt from; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,20 +35,22 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.sources.shipping import ship
+from siltstone.llm.common import held_out, labelled
 
 SAMPLE, SAMPLE_CHARS = 3000, 50_000
 CACHE = 400_000
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 8192
 THRESHOLDS = (2, 3, 4, 6)
-WHOLE = 3
+#: Words of a window, and characters of a word.
+SPANS, LONGEST = (1, 3), 64
 #: How far (in standard errors) a word's share of toxic documents must be above its share of ordinary ones.
 STANDS_OUT = 4.0
 #: Folds of the training sample, and how much more a toxic document counts in the calibration than an ordinary one.
-FOLDS, TOXIC_WEIGHT = 5, 2.0
+FOLDS, TOXIC_WEIGHT = 5, 3.0
 LEVEL = 3
 CARRIER = b"0123456789_=+/ABCDEFGHIJ"
 EDGES = ".,;:!?\"'()[]"
@@ -61,7 +64,7 @@ class Model(NamedTuple):
 
 
 class Gains(dict):
-    """Bytes that the toxic dictionary saves on a word's window, and whether it has the window whole."""
+    """Bytes that the toxic dictionary saves on windows; those of single words are kept."""
 
     def __init__(self, model: Model):
         super().__init__()
@@ -73,31 +76,43 @@ class Gains(dict):
             return zstandard.ZstdCompressor(dict_data=held, compression_params=options).compress
 
         self.plain, self.foul = sizes(model.ordinary + CARRIER), sizes(model.ordinary + model.toxic + CARRIER)
-        self.least = len(self.foul(b" " + CARRIER)) + WHOLE
 
-    def __missing__(self, word: str) -> tuple[int, bool]:
-        if len(word) > 64:
-            return max(self[word[i : i + 48]] for i in range(0, len(word), 48))
+    def __missing__(self, word: str) -> int:
         window = b" " + word.strip(EDGES).encode("utf-8", "surrogatepass") + b" " + CARRIER
         if len(self) >= CACHE:
             self.clear()
-        foul = len(self.foul(window))
-        found = self[word] = len(self.plain(window)) - foul, foul <= self.least
+        found = self[word] = len(self.plain(window)) - len(self.foul(window))
         return found
 
+    def of(self, words: list[str], span: int) -> Counter:
+        """How many windows of span words have each gain. Of longer windows each shares its last word with the next."""
+        if span == 1:
+            return Counter(map(self.__getitem__, words))
+        plain, foul = self.plain, self.foul
+        held = [w.encode("utf-8", "surrogatepass") for w in words]
+        windows = (b" " + b" ".join(held[i : i + span]) + b" " + CARRIER for i in range(0, len(held), span - 1))
+        return Counter(len(plain(w)) - len(foul(w)) for w in windows)
 
-def features(gains: Gains, text: str) -> tuple[list[float], int, int]:
-    """What the calibration sees, the number of windows and the greatest gain."""
+
+def words_of(text: str) -> list[str]:
+    """A text's words in lower case, cut where they're longer than LONGEST."""
     words = text.lower().split()
-    found = Counter(map(gains.__getitem__, words))
-    n, top = len(words), max((g for g, _ in found), default=0)
-    counts = [sum(c for (g, whole), c in found.items() if g >= t and (whole or not only)) for only in (False, True) for t in THRESHOLDS]
-    return [1.0, max(0, min(top, 10)) / 10, *(math.log1p(c) for c in counts), *(math.log1p(100 * c / max(n, 1)) for c in counts)], n, top
+    if words and max(map(len, words)) > LONGEST:
+        return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return words
 
 
-def held_out(doc_id: str | Column = "doc_id") -> Column:
-    """Whether a document's label may not be learnt from."""
-    return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
+def features(gains: Gains, text: str) -> tuple[list[float], int, int]:
+    """What the calibration sees, the number of words and the greatest gain of a word."""
+    words = words_of(text)
+    out, first = [1.0], 0
+    for span in SPANS:
+        found = gains.of(words, span)
+        n, top = max(1, found.total()), max(found, default=0)
+        first = top if span == SPANS[0] else first
+        counts = [sum(c for g, c in found.items() if g >= t) for t in THRESHOLDS]
+        out += [max(0, min(top, 12)) / 10, *(math.log1p(c) for c in counts), *(math.log1p(100 * c / n) for c in counts)]
+    return out, len(words), first
 
 
 def _dictionaries(toxic: list[str], ordinary: list[str]) -> Model | None:
@@ -145,15 +160,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Dictionaries and calibration from the labelled rows that aren't held out; None without both classes."""
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out())
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
-    found: list[list[str]] = []
-    for toxic in (0, 1):
-        ids = marked.filter(F.col("toxic") == toxic).orderBy(order, "doc_id").limit(sample).select("doc_id")
-        rows = texts.join(F.broadcast(ids), "doc_id").orderBy(order, "doc_id", "text").limit(sample).select("text").collect()
-        found.append(list({" ".join(r[0].split()[:6]): r[0] for r in rows}.values()))
-    ordinary, toxic = found
+    rows = labelled(docs, marked.groupBy("doc_id").agg(F.max("toxic").alias("label")), sample, SAMPLE_CHARS)
+    ordinary, toxic = (list({" ".join(t.split()[:6]): t for y, t in rows if y == label}.values()) for label in (0, 1))
     xs, ys = [], []
     for fold in range(FOLDS):
         part = _dictionaries(*[[t for i, t in enumerate(texts) if i % FOLDS != fold] for texts in (toxic, ordinary)])

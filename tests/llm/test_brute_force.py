@@ -277,7 +277,6 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(TOKENIZER)
-    tool.encode_special_tokens = True
     ids = {i: np.array([*tool.encode(t, add_special_tokens=False).ids, 0], np.uint32) for i, t in texts(spark).items()}
     rows = QUERIES["op10_packing"](spark, SF).collect()
     parts, windows = defaultdict(list), defaultdict(list)
@@ -303,7 +302,6 @@ def test_both_tokenizers_agree(text):
     global _TOOL
     if "_TOOL" not in globals():
         _TOOL = Tokenizer.from_file(TOKENIZER)
-        _TOOL.encode_special_tokens = True
     assert packing.encoder(TOKENIZER)([text])[0].tolist() == _TOOL.encode(text, add_special_tokens=False).ids
 
 
@@ -313,6 +311,35 @@ def test_both_tokenizers_agree_on_common_letters(text):
     test_both_tokenizers_agree.hypothesis.inner_test(text)
 
 
+def test_special_tokens_in_texts(spark):
+    """Ids of the unmodified tokenizer, also where a text holds the file's added tokens."""
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(TOKENIZER)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "plain", "a <|endoftext|> é<|endoftext|>", "<|endoftext|", "漢<|endoftext|>"]
+    assert [x.tolist() for x in packing.encoder(TOKENIZER)(texts)] == [tool.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.encoder(TOKENIZER)(texts)[0].tolist() == [64, 50256, 65]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER).collect()
+    want = {i: np.array([*tool.encode(t, add_special_tokens=False).ids, 0], np.uint32) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {i: len(x) for i, x in want.items()}
+    assert all(r["ids_crc32"] == zlib.crc32(want[r["doc_id"]][r["start"] : r["start"] + r["length"]].astype("<u4").tobytes()) for r in rows)
+
+
+def test_open_windows_are_carried_on(spark, monkeypatch):
+    """Small partitions pack by the rule nearly as well as one: few documents are cut. A task holds at most OPEN windows."""
+    docs = spark.read.parquet(f"{MORE}/documents.parquet").select("doc_id", "text")
+    cut = []
+    for n, most in ((1, 16_384), (32, 16_384), (2, 50)):
+        monkeypatch.setattr(packing, "OPEN", most)
+        rows = packing.pack(docs.repartition(n), TOKENIZER).collect()
+        cut.append(sum(r["length"] < 1024 and r["start"] + r["length"] < r["doc_tokens"] for r in rows))
+        windows = defaultdict(int)
+        for r in rows:
+            windows[r["sequence_id"]] += r["length"]
+        assert all(n == 1024 or n & (n - 1) == 0 and n < 1024 for n in windows.values())
+    assert max(cut) <= 1.5 * min(cut) + 20
+
+
 def test_sum_of_squares_places():
     bins = packing.SumOfSquares(8)
     for size, level in ((3, 0), (5, 3), (3, 0), (3, 3), (2, 6), (4, 0), (4, 4)):

@@ -24,6 +24,9 @@ two documents agree in no band with probability (1 - s^ROWS)^BANDS, 3e-7 at the
 Defined results: a null, empty or blank text is a class of its own, with its own doc_id; copies and repeated rows are
 in one class; the class is named by its smallest doc_id; a class of null doc_ids alone has a null name; a text of any
 length is read whole; an empty table gives no rows; other columns are ignored by ``classes`` and kept by ``keep``.
+Classes are of texts: rows that repeat a doc_id with different texts may be in different classes, each of which keeps a
+row. ``keep`` keeps the row of the smallest doc_id of each class (null ids come last; of one id's texts the one of the
+smallest MD5; of rows equal in both the one whose other columns come first as JSON), and all rows without words.
 """
 
 from __future__ import annotations
@@ -34,12 +37,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.sources.shipping import ship
-from siltstone.llm.common import cut, drop_path, shared_path
+from siltstone.llm.common import WORD, cut, drop_path, shared_path
 from siltstone.llm.suffix_dedup import Rolling, mixed
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -49,7 +52,7 @@ SMALL, BLOCK, BLOCK_SIZE = 16, 1000, 400_000
 #: Shingles of a matrix; pairs a text up to which a cell compares them one by one.
 STRIP, FEW = 4096, 4
 SLICE = 1 << 17
-SKETCH = "doc_id long, node binary, bands array<long>"
+SKETCH = "doc_id long, text_key binary, node binary, bands array<long>"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -167,11 +170,11 @@ def plain(text: str | None) -> bytes:
 
 
 def sketch(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """SKETCH, one row per document. node: what equal multisets' texts share; null for a text without words."""
+    """SKETCH, one row per document. text_key: its text's MD5; node: what texts of equal words share, null for one without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, keys = batch.columns
             at = 0
             while at < batch.num_rows:
                 held, size, first = [], 0, at
@@ -183,10 +186,15 @@ def sketch(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 found = bands(signatures(doc, code, weight, len(held), n_bands * rows), rows)
                 nodes = [hashlib.blake2b(t, digest_size=16).digest() if t else None for t in held]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * n_bands, pa.int32()), pa.array(found.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, at - first), pa.array(nodes, pa.binary()), lists], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, at - first), keys.slice(first, at - first), pa.array(nodes, pa.binary()), lists], names=["doc_id", "text_key", "node", "bands"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key(F.col("text")).alias("text_key")).mapInArrow(run, SKETCH)
+
+
+def text_key(text: Column) -> Column:
+    """The MD5 of a text; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -389,31 +397,43 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> tu
     return degree.groupBy("node").agg(F.sum("n").alias("n_links")), roots
 
 
-RESULT = "doc_id, class_id, n_links"
+def resolved(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, node of every document; node, root, n_links of every text with words)."""
+    drawn = cut(sketch(docs), "sketch")
+    nodes = drawn.filter("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("least"))
+    degree, roots = links(nodes.select("node", "bands"), docs, threshold)
+    named = nodes.select("node", "least").join(roots, "node", "left").join(degree, "node", "left")
+    named = named.select("node", "least", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return drawn.select("doc_id", "text_key", "node"), cut(named, "named")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id, n_links (all verified links of its text to different texts, each text once)."""
-    drawn = cut(sketch(docs), "sketch")
-    nodes = drawn.filter("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
-    degree, roots = links(nodes, docs, threshold)
-    names = drawn.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = names.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = cut(named, "named")
-    first = cut(named.groupBy("root").agg(F.min("least").alias("class_id")), "first")  # written, as hubs are
-    named = named.join(first, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    drawn, named = resolved(docs, threshold)
+    first = cut(named.groupBy("root").agg(F.min("least").alias("class_id")), "first")  # written, so that the join with it splits
+    named = named.join(first, "root").select("node", "class_id", "n_links")
     out = drawn.select("doc_id", "node").join(named, "node", "left")
     alone = F.when(F.col("node").isNull(), F.col("doc_id"))
     return out.select("doc_id", F.coalesce("class_id", alone).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep(docs: DataFrame, **options) -> DataFrame:
-    """The documents that name their class, one of each; all columns. Documents with a null doc_id stay."""
+def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class, and every row without words; all columns."""
     names = docs.columns
-    first = classes(docs, **options).filter("doc_id = class_id").select("doc_id").distinct()
-    own = docs.filter("doc_id IS NOT NULL")
-    again = not own.groupBy("doc_id").count().filter("count > 1").limit(1).isEmpty()
-    kept = own.join(first, "doc_id", "left_semi")
-    if again:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*names).unionByName(docs.filter("doc_id IS NULL").select(*names))
+    drawn, named = resolved(docs, threshold)
+    held = drawn.filter("node IS NOT NULL").join(named.select("node", "root"), "node")
+    # By root, id and text: a row each, with the number of rows that are equal in all of it.
+    rows = held.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n")).alias("pick"))
+    first = cut(first.select(F.col("pick.doc_id").alias("_pick_id"), F.col("pick.text_key").alias("_pick_key"), F.col("pick.n").alias("_pick_n")), "kept")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    own = own.withColumn("_key", text_key(F.col("_text")))
+    same = F.col("_id").eqNullSafe(F.col("_pick_id")) & (F.col("_key") == F.col("_pick_key"))
+    single = own.join(first.filter("_pick_n = 1"), same, "left_semi").select("_row")
+    again = first.filter("_pick_n > 1")
+    if not again.limit(1).isEmpty():
+        rest = F.to_json(F.struct(*[F.col(f"_row.`{c}`") for c in names if c not in ("doc_id", "text")], F.lit(0).alias("_")))
+        repeats = own.join(again, same, "left_semi").groupBy("_id", "_key").agg(F.min_by("_row", rest).alias("_row"))
+        single = single.unionByName(repeats.select("_row"))
+    wordless = own.filter(~F.rlike(F.coalesce("_text", F.lit("")), F.lit(WORD))).select("_row")
+    return single.unionByName(wordless).select("_row.*")

@@ -26,9 +26,9 @@ holds one bucket at a time, and the packed stretches of about ``TASK_BYTES`` of
 Digests have 64 bits and are compared only between stretches whose anchors' hashes (64 bits) are equal.
 
 Defined results: a null text counts as empty; a text shorter than ``length`` loses nothing; a text of any length is
-processed whole; rows that repeat a doc_id are ordered by a hash of their texts, and equal rows are copies of which
-one stays whole; rows with a null doc_id come after all others; an empty table gives no rows; other columns of the
-input are ignored by ``find`` and kept by ``remove``.
+processed whole; rows that repeat a doc_id are ordered by the MD5 of their texts, and equal rows are copies of which
+one stays whole; rows with a null doc_id come after all others, whatever ids these have; an empty table gives no rows;
+other columns of the input are ignored by ``find`` and kept by ``remove``.
 """
 
 from __future__ import annotations
@@ -416,17 +416,28 @@ def _sorting(length: int, buckets: int):
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, doc, text: doc is a number of its own for each row, in the order of doc_id. Row order comes from ids alone if they're distinct."""
+    """doc_id, doc, text: doc is a number of its own for each row, in the order of doc_id, nulls last.
+
+    Distinct ids are their own numbers. Else rows are counted by id, text and input partition, and get consecutive
+    numbers from running sums of these counts: by ranges of ids, then inside each range, without any text.
+    """
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    times = held.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.max(F.col("doc_id").isNull()).alias("null")).first()
-    if (times["most"] or 1) == 1 and not times["null"]:
+    once = held.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).isEmpty()
+    if once:
         return held.withColumn("doc", F.col("doc_id"))
-    # Ids that repeat: leave room for as many rows as the most frequent id has.
-    most = int(times["most"])
-    hashed = F.xxhash64("text")
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy(hashed, "text")) - 1
-    base = F.coalesce(F.col("doc_id"), F.lit((1 << 62) // most))
-    return held.withColumn("doc", base * most + place)
+    held = cut(held.select("*", F.md5(F.col("text").cast("binary")).alias("key"), F.spark_partition_id().alias("part")), "rows")
+    by = ("doc_id", "key", "part")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("key"), F.col("part")]
+    counts = held.groupBy(*by).agg(F.count("*").alias("n")).repartitionByRange(*order)
+    counts = cut(counts.withColumn("range", F.spark_partition_id()), "counts")
+    ranges = counts.groupBy("range").agg(F.sum("n").alias("total"))  # a row a partition
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("range", before("total", W.orderBy("range")).alias("begin"))
+    base = counts.withColumn("inside", before("n", W.partitionBy("range").orderBy(*order))).join(ranges, "range")
+    base = base.select(*[F.col(c).alias(f"_{c}") for c in by], (F.col("begin") + F.col("inside")).alias("base"))
+    place = F.row_number().over(W.partitionBy(*by).orderBy("key")) - 1  # rows of a group are equal
+    met = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key") == F.col("_key")) & (F.col("part") == F.col("_part"))
+    return cut(held.withColumn("place", place).join(base, met).select("doc_id", "text", (F.col("base") + F.col("place")).cast("long").alias("doc")), "numbered")
 
 
 def runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, bucket_bytes: int | None = None) -> tuple[DataFrame, DataFrame, int]:

@@ -15,9 +15,9 @@ third of all rows is spread over ``SLICES`` groups; only counts of words are shu
 
 Defined results: a null text has size 0; null sources are one source, ordered last; a null doc_id is ordered as the
 empty text; repeated rows are separate documents; a source without words has target 0 and takes nothing (copies 0),
-as does an empty table; rows whose key is wholly equal share their result's order, which changes no value; columns
-of the input other than doc_id, text and source pass through ``mix`` unchanged unless they clash with a result's name,
-which then replaces them.
+as does an empty table; rows whose key is wholly equal share their result's order, which changes no value; all columns
+of the input, whatever their names, pass through ``mix`` unchanged. Rows that agree in doc_id, source and text but not in
+other columns share out their copies in the order of these columns as JSON.
 """
 
 from __future__ import annotations
@@ -153,20 +153,35 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, **options) -> DataFrame:
-    """The mix itself: each document as often as it's taken, sorted by training position. Columns of docs, then _position."""
-    names = [c for c in docs.columns if not c.startswith("_")]
-    held = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text").cast("string")).alias("size"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text"))
-    took = plan(cut(held, "sizes"), schedules=schedules, **options).filter("copies > 0")
-    copies = took.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("_position", copy_position(F.col("_copy"), schedules))
-    # Repeated rows are told apart by neither side, so each side has one row for all of them, with the copies' positions.
-    per = copies.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_text").alias("_hash")).agg(F.sort_array(F.collect_list("_position")).alias("_positions"))
-    keyed = docs.select(*names, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text"))
-    keyed = keyed.dropDuplicates(["doc_id", "source", "_text"]) if _repeats(held) else keyed
-    on = keyed["doc_id"].eqNullSafe(per["_id"]) & keyed["source"].eqNullSafe(per["_source"]) & (keyed["_text"] == per["_hash"])
-    out = keyed.join(per, on).withColumn("_position", F.explode("_positions")).select(*names, "_position")
-    return out.repartitionByRange(F.col("_position"), F.col("doc_id")).sortWithinPartitions("_position", "doc_id")
-
-
-def _repeats(held: DataFrame) -> bool:
-    """Whether any (doc_id, source, text) occurs twice."""
-    return not held.groupBy("doc_id", "source", "_text").count().filter("count > 1").limit(1).isEmpty()
+    """The mix itself: each document as often as it's taken, sorted by training position. Columns of docs, then _position.
+
+    A docs column of that name stays, and the position's own gets a further underscore in front.
+
+    Positions, and the ranges of positions that partitions get, are found on ids and sizes alone. Texts are joined with
+    them once, and copied on the way to their partition.
+    """
+    names, last = docs.columns, "_position"
+    while last in names:
+        last = f"_{last}"
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    held = cut(docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text").cast("string")).alias("size"), text_hash.alias("_text")), "sizes")
+    key = ("doc_id", "source", "_text")
+    took = plan(held, schedules=schedules, **options)
+    again = not held.groupBy(*key).count().filter("count > 1").limit(1).isEmpty()
+    place = lambda *by: (F.row_number().over(W.partitionBy(*key).orderBy(*by)) if again else F.lit(1))
+    took = took.withColumn("_place", place("_at")).filter("copies > 0")
+    took = took.withColumn("_positions", F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: copy_position(c, schedules)))
+    took = cut(took.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], "_place", "_positions"), "positions")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = took.select(F.explode("_positions").alias("p")).agg(F.percentile_approx("p", [k / parts for k in range(1, parts)] or [1.0], 10 * parts)).first()[0]  # a number a partition
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    own = docs.select(row.alias("_row"), "doc_id", "source", text_hash.alias("_text"))
+    rest = [F.col(f"_row.`{c}`") for c in names if c not in ("doc_id", "source", "text")]
+    own = own.withColumn("_n", place(F.to_json(F.struct(*rest, F.lit(0).alias("_")))))
+    met = own["doc_id"].eqNullSafe(took["_k0"]) & own["source"].eqNullSafe(took["_k1"]) & (own["_text"] == took["_k2"]) & (own["_n"] == took["_place"])
+    out = own.join(took, met).select("_row", F.explode("_positions").alias("_position"))
+    # The range that a position lies in, so that partitions follow one another as positions do.
+    limits = F.array(*[F.lit(float(b)) for b in bounds or []]).cast("array<double>")
+    out = out.withColumn("_range", F.size(F.filter(limits, lambda b: b < F.col("_position"))))
+    out = out.repartitionById(parts, F.col("_range"))
+    return out.sortWithinPartitions("_position", "_row.doc_id").select("_row.*", F.col("_position").alias(last))

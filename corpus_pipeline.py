@@ -32,7 +32,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, sorted by training position."""
-    return curriculum.mix(docs).select(*docs.columns)
+    return curriculum.mix(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

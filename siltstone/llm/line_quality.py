@@ -3,19 +3,27 @@
 The lines of a document are one sequence. A linear-chain conditional random field sees each line's make-up (length,
 shares of digits, capitals, symbols and repeated words, whether the line came before, and so on); Viterbi decoding
 marks the lines, and a document is kept if at least ``share`` of its words stand in content lines, unless a base rule
-rejects it first. The model is trained on a bounded sample of labelled documents (``SAMPLE`` rows of each class, by a
-hash of the id): lines of good documents are content, lines of bad ones boilerplate. Without labelled rows of both
-classes every line counts as content, so the base rules alone decide.
+rejects it first.
+
+The model is trained on a bounded sample of labelled documents (``SAMPLE`` rows of each class, by a hash of the id, of
+at most ``SAMPLE_CHARS`` characters; never held-out ids). Labels are of documents, not lines, so two things make line
+labels of them. Training documents are also mixed from runs of lines of a good and of a bad one, from a fixed seed, so
+that labels change within a sequence, as they do in documents that are partly spoilt. And a first model, trained with
+the lines of bad documents as boilerplate, marks those of their lines that, each on its own, are like good documents'
+lines; the second model, which is used, learns these as content. Sequences are cut every ``PIECE`` lines for training only. Without
+labelled rows of both classes every line counts as content, so the base rules alone decide.
 
 One pass over the documents, without a shuffle; a task holds one batch of rows at a time.
 
 Defined results: a null text has no words, and like an empty one fails the base rules; a text of any length is read
-whole; lines without a word are skipped; repeated rows are judged one by one; null doc_ids are carried through; an
-empty table gives no rows; other columns of the input are ignored, or kept as they are by ``keep``.
+whole; lines without a word are skipped; repeated rows are judged one by one; null doc_ids are carried through; an id
+that is labelled twice counts as bad if one label says so; an empty table gives no rows; other columns of the input are
+ignored, or kept as they are by ``keep``.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +33,12 @@ from pyspark.sql import functions as F
 
 from siltstone.sources.shipping import ship
 from siltstone.llm import chain
+from siltstone.llm.common import held_out, labelled
 
-#: Labelled documents of each class to train on, and the most characters one may have.
-SAMPLE, SAMPLE_CHARS = 1500, 50_000
+#: Labelled documents of each class to train on, and the most characters one may have; lines of a training sequence.
+SAMPLE, SAMPLE_CHARS, PIECE = 1500, 50_000, 200
+#: Seed of the mixed training documents, and the most lines of a run in them.
+SEED, RUN = 11, 12
 SHARE = 0.5
 MIN_WORDS, MAX_REPEATS = 50, 50
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
@@ -111,26 +122,49 @@ def lines_of(text: str) -> tuple[list[tuple], list[int], int, list[bytes]]:
     return rows, counts, repeats, words
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
-    """A chain model of the labelled sample; None if a class is missing."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    order = F.xxhash64(F.col("doc_id"))
-    texts: dict[int, list[str]] = {}
-    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["doc_id"])
-    for good in (0, 1):
-        ids = marked.filter(F.col("quality") == good).orderBy(order, "doc_id").limit(sample)
-        found = docs.filter(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(ids.select("doc_id")), "doc_id").orderBy(order, "doc_id", "text").limit(sample).select("text")
-        texts[good] = [r[0] for r in found.collect()]
+def mixed(good: list[str], bad: list[tuple[str, int]], rng: random.Random) -> list[tuple[str, int]]:
+    """Lines of a document that takes turns between runs of good lines and of another document's lines with their marks."""
+    held = [[(x, 1) for x in good], list(bad)]
+    side, out = rng.randrange(2), []
+    while held[0] or held[1]:
+        run = rng.randint(1, RUN)
+        out += held[side][:run]
+        del held[side][:run]
+        side = 1 - side
+    return out
+
+
+def sequences(documents: list[list[tuple[str, int]]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Features and marks of lines (line, mark) with a word, by pieces of PIECE lines."""
     rows, marks = [], []
-    for good, held in texts.items():
-        for text in dict.fromkeys(held):
-            feats = lines_of(text)[0][:400]
-            if feats:
-                rows.append(np.array(feats))
-                marks.append(np.full(len(feats), good))
-    if len({int(m[0]) for m in marks}) < 2:
+    for lines in documents:
+        solid = [(x, y) for x, y in lines if x.encode("utf-8", "surrogatepass").split()]
+        feats = lines_of("\n".join(x for x, _ in solid))[0]
+        for at in range(0, len(feats), PIECE):
+            rows.append(np.array(feats[at : at + PIECE]))
+            marks.append(np.array([y for _, y in solid[at : at + PIECE]]))
+    return rows, marks
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
+    """A chain model of the labelled sample without held-out ids; None if a class is missing."""
+    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().filter(~held_out())
+    rows = labelled(docs, marked.groupBy("doc_id").agg(F.min("quality").alias("label")), sample, SAMPLE_CHARS)
+    good, bad = ([t.split("\n") for t in dict.fromkeys(t for y, t in rows if y == label) if t.split()] for label in (1, 0))
+    if not good or not bad:
         return None
-    return chain.train(rows, marks)
+    marks = [[0] * len(x) for x in bad]
+    model = None
+    for steps in (40, 100):
+        rng, spoilt = random.Random(SEED), [list(zip(x, y)) for x, y in zip(bad, marks)]
+        both = [mixed(g, spoilt[i % len(spoilt)], rng) for i, g in enumerate(good)]
+        model = chain.train(*sequences([[(x, 1) for x in g] for g in good] + spoilt + both), steps=steps)
+        for lines, own in zip(bad, marks):
+            solid = [i for i, x in enumerate(lines) if x.encode("utf-8", "surrogatepass").split()]
+            alone = np.array(lines_of("\n".join(lines))[0]) @ model[0]
+            for i, (x, y) in zip(solid, alone):
+                own[i] = int(y > x)
+    return model
 
 
 def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, share: float = SHARE) -> DataFrame:
@@ -151,7 +185,7 @@ def _judging(model, share: float, filtering: bool):
         table = np.array(weights) if model else None
         for batch in batches:
             names = batch.schema.names
-            texts = batch.column(names.index("text"))
+            texts = batch.column(names.index("text")).cast(pa.string())
             out = []
             for at in range(len(texts)):
                 text = texts[at].as_py() or ""

@@ -212,6 +212,51 @@ def test_line_quality(spark):
     assert right >= 0.98 * judged > 0
 
 
+def test_line_quality_held_out(spark):
+    """Documents whose labels may not be learnt from; lines are labelled, so some documents are content in part."""
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{MORE}/labels.parquet").collect()}
+    rows = QUERIES["op6_line_quality"](spark, MORE).collect()
+    judged = [(r["kept"], quality[r["doc_id"]]) for r in rows if not r["base_failed"] and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["doc_id"] in quality]
+    assert len(judged) > 40 and all(kept == good for kept, good in judged)
+    assert sum(0 < r["content_share"] < 1 for r in rows) > 20
+
+
+def test_chain_against_enumeration():
+    """Viterbi against all labellings; the likelihood against its definition, its derivatives against differences."""
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n = int(rng.integers(1, 8))
+        scores, moves = rng.normal(size=(n, 2)).round(1), rng.normal(size=(2, 2)).round(1)
+        total = lambda ys: sum(scores[i, y] for i, y in enumerate(ys)) + sum(moves[a, b] for a, b in zip(ys, ys[1:]))  # noqa: B023, E731
+        found = line_quality.chain.viterbi(scores.tolist(), moves.tolist())
+        assert abs(total(found) - max(map(total, product((0, 1), repeat=n)))) < 1e-9
+    assert line_quality.chain.viterbi([], [[0, 0], [0, 0]]) == []
+    rows = [rng.normal(size=(n, 3)) for n in (4, 1, 6, 4)]
+    labels = [rng.integers(0, 2, len(x)) for x in rows]
+    weights, moves = rng.normal(size=(3, 2)), rng.normal(size=(2, 2))
+    held = line_quality.chain.Sequences(rows, labels, 2)
+
+    def likelihood(w, m):
+        out = 0.0
+        for x, own in zip(rows, labels):
+            each = {ys: sum((x[i] @ w)[y] for i, y in enumerate(ys)) + sum(m[a, b] for a, b in zip(ys, ys[1:])) for ys in product((0, 1), repeat=len(x))}
+            out += each[tuple(own)] - np.log(sum(map(np.exp, each.values())))
+        return out
+
+    value, by_weights, by_moves = held.slopes(weights, moves)
+    assert abs(value - likelihood(weights, moves)) < 1e-9
+    for i, j in product(range(3), range(2)):
+        step = np.zeros((3, 2))
+        step[i, j] = 1e-5
+        assert abs((likelihood(weights + step, moves) - likelihood(weights - step, moves)) / 2e-5 - by_weights[i, j]) < 1e-6
+    for i, j in product(range(2), range(2)):
+        step = np.zeros((2, 2))
+        step[i, j] = 1e-5
+        assert abs((likelihood(weights, moves + step) - likelihood(weights, moves - step)) / 2e-5 - by_moves[i, j]) < 1e-6
+
+
 def test_neighbours_recall(spark):
     rows = spark.read.parquet(f"{MORE}/embeddings.parquet").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)

@@ -2,16 +2,19 @@
 
 A page is cut into leaf blocks: runs of text between tags that start or end a block. Every block is seen with its open
 elements (tags, words of their class, id and role) and with its own make-up (length, share of linked words, ends of
-sentences, neighbours of the same kind). A linear-chain conditional random field marks blocks as main text or not, in
-page order, by Viterbi decoding. It is trained, the same way each time, on labelled pages that ``labelled_pages``
-writes from a fixed seed: articles among menus, headers, footers, sidebars, notices, adverts, forms and comments in
-the markup that public sites use.
+sentences, neighbours of the same kind, how much of the page's text its container has). A linear-chain conditional
+random field marks blocks as main text or not, in page order, by Viterbi decoding. It is trained, the same way each
+time, on labelled pages that ``labelled_pages`` writes from a fixed seed: articles among menus, headers, footers,
+sidebars, notices, adverts, forms and comments in the markup that public sites use, and in markup whose names say nothing.
 
-One pass over the pages, without a shuffle; the tag scanner keeps the open elements only, no tree.
+One pass over the pages, without a shuffle; the tag scanner keeps the open elements only, no tree. Its work is linear in
+a page's length, whatever the nesting: every character is looked at a bounded number of times, an element is closed
+once, and of the names in attributes only those that the model knows are kept.
 
 Defined results: a null or empty html gives an empty text and n_chars 0; a page of any length is read whole; unclosed
-and stray tags are borne as browsers do (a block tag closes an open paragraph, a stray end tag is ignored), and an
-unfinished comment or script runs to the page's end; repeated rows give equal results; null page_ids and urls are
+and stray tags are borne as browsers do (a block tag closes an open paragraph, a stray end tag is ignored, a script or
+style isn't closed by a slash in its start tag), and an unfinished tag, comment or script runs to the page's end;
+repeated rows give equal results; null page_ids and urls are
 carried through; an empty table gives no rows; other columns are ignored.
 """
 
@@ -21,8 +24,9 @@ import html as entities
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ from siltstone.sources.shipping import ship
 from siltstone.llm import chain
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-SEED, PAGES = 7, 1000
+SEED, PAGES = 7, 1200
 #: Labelled pages that a feature must be in to have a weight.
 SEEN = 4
 
@@ -50,110 +54,194 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Silent elements whose content is no markup, those that a slash may close, and elements that hold blocks.
+RAW = frozenset("script style noscript title textarea iframe noembed noframes".split())
+FOREIGN = frozenset(("svg", "math"))
+HOLDERS = frozenset("address article aside body center details dialog div fieldset footer form header main menu nav ol section table td ul".split())
+
+#: A tag: its slash, name and attributes. Nothing is tried twice, so a tag without an end costs one pass over what follows.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|=?[^\s/>=]++(?>\s*+=\s*+(?>"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+|=|"|')*+)>""")
+ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 
 
-def blocks(page: str) -> list[tuple[str, frozenset, int, str]]:
-    """Leaf blocks in page order: text, marks of its open elements, linked characters, its own tag."""
-    out: list[tuple[str, frozenset, int, str]] = []
-    stack: list[tuple[str, frozenset]] = []
+class Block(NamedTuple):
+    """A leaf block: its text, marks of its open elements, linked characters, its own tag, and its container's number."""
+
+    text: str
+    marks: frozenset
+    linked: int
+    held: str
+    holder: int
+
+
+class Open:
+    """The open elements, with the places of each kind, so that any of them is found without a search."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.marks: list[frozenset] = []  # each with those of the elements around it
+        self.numbers: list[int] = []  # of the holder that it is or stands in
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.made = 0
+
+    def push(self, name: str, own: set[str]) -> None:
+        around = self.marks[-1] if self.marks else frozenset()
+        if name in HOLDERS:
+            self.made += 1
+        self.numbers.append(self.made if name in HOLDERS else self.numbers[-1] if self.numbers else 0)
+        self.marks.append(around if own <= around else around | own)
+        self.places.setdefault(name, []).append(len(self.names))
+        if name in BLOCKS:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of these names; -1 if there's none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.names) > place:
+            name = self.names.pop()
+            self.places[name].pop()
+            self.marks.pop()
+            self.numbers.pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+
+    def block(self) -> str:
+        return self.names[self.blocks[-1]] if self.blocks else ""
+
+
+@lru_cache(maxsize=64)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>?", re.I)
+
+
+@lru_cache(maxsize=64)
+def _edge_of(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*+>?", re.I)
+
+
+def _past(page: str, name: str, at: int) -> int:
+    """Where a silent element ends whose start tag ended at a place."""
+    if name in RAW:
+        stop = _end_of(name).search(page, at)
+        return stop.end() if stop else len(page)
+    depth = 1
+    for edge in _edge_of(name).finditer(page, at):
+        depth += -1 if edge[1] else not edge[0].endswith("/>")
+        if not depth:
+            return edge.end()
+    return len(page)
+
+
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order. known: marks to keep; all if None."""
+    out: list[Block] = []
+    held = Open()
     parts: list[str] = []
-    linked, links = 0, 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                held = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
-                out.append((text, frozenset().union(*(m for _, m in stack)), linked, held))
+                inside = bool(held.names)
+                out.append(Block(text, held.marks[-1] if inside else frozenset(), linked, held.block(), held.numbers[-1] if inside else 0))
             parts.clear()
         linked = 0
 
     def say(text: str) -> None:
         nonlocal linked
         parts.append(text)
-        if links:
+        if held.places.get("a"):
             linked += len(text.strip())
 
     at, size = 0, len(page)
     while at < size:
-        tag = TAG.search(page, at)
-        if tag is None:
+        begin = page.find("<", at)
+        if begin < 0:
             say(page[at:])
             break
-        if tag.start() > at:
-            say(page[at : tag.start()])
-        at = tag.end()
-        name = tag[2]
-        if not name:
+        if begin > at:
+            say(page[at:begin])
+        after = page[begin + 1 : begin + 2]
+        if after == "/" and page[begin + 2 : begin + 3].isalpha() or after.isalpha():
+            tag = TAG.match(page, begin) if after.isascii() else None
+            if tag is None and after.isascii() and page[begin + 1 + (after == "/")].isascii():
+                break  # the page ends in a tag
+        else:
+            tag = None
+        if tag is None:
+            if page.startswith("<!--", begin):
+                stop = page.find("-->", begin + 2)
+                at = stop + 3 if stop >= 0 else size
+            elif after and after in "!?/":
+                stop = page.find(">", begin)
+                at = stop + 1 if stop >= 0 else size
+            else:
+                say("<")
+                at = begin + 1
             continue
-        name = name.lower()
+        at, name = tag.end(), tag[2].lower()
+        block = name in BLOCKS
+        if block:
+            flush()
         if tag[1]:
-            if name in BLOCKS:
-                flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS and name not in BLOCKS:
-                    break  # an inline end tag doesn't close a block
+            place = held.last((name,))
+            if place >= 0 and (block or place > (held.blocks[-1] if held.blocks else -1)):
+                held.cut(place)  # an inline end tag doesn't close a block
             continue
         if name in SILENT:
-            if tag[3].endswith("/"):
-                continue
-            stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else size
+            if not (name in FOREIGN and tag[3].endswith("/")):
+                at = _past(page, name, at)
             continue
         if name == "br":
             parts.append(" ")
             continue
-        if name in BLOCKS:
-            flush()
-            if any(t == "p" for t, _ in stack):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCKS:
-                        break
-            ends, inside = CLOSES.get(name, (frozenset(), frozenset()))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    links = sum(t == "a" for t, _ in stack)
-                    break
-                if stack[i][0] in inside:
-                    break
-        if name in VOID or tag[3].endswith("/") and name not in BLOCKS:
+        if block:
+            if held.block() == "p":
+                held.cut(held.blocks[-1])
+            ends, inside = CLOSES.get(name, ((), ()))
+            place = held.last(ends)
+            if place > held.last(inside):
+                held.cut(place)
+        if name in VOID or tag[3].endswith("/") and not block:
             continue
-        links += name == "a"
         marks = {f"<{name}"}
-        for kind, *values in ATTRIBUTE.findall(tag[3]):
+        for _, *values in ATTRIBUTE.findall(tag[3]):
             marks.update(f"={w}" for w in PART.findall("".join(values).lower()))
-        stack.append((name, frozenset(marks)))
+        held.push(name, marks if known is None else {m for m in marks if m in known})
     flush()
     return out
 
 
-def features(page: list[tuple[str, frozenset, int, str]]) -> list[list[str]]:
+def features(page: list[Block]) -> list[list[str]]:
     """Names of each block's features; each counts 1."""
     out = []
-    for i, (text, marks, linked, held) in enumerate(page):
-        n = text.count(" ") + 1
-        share = linked / max(1, len(text))
-        f = ["1", f"n{min(n, 64).bit_length()}", f"in{held}", f"a{int(4 * min(share, 1))}", *marks]
-        if text[-1] in ".!?…。":
+    sizes: Counter[int] = Counter()
+    for x in page:
+        sizes[x.holder] += len(x.text) - x.linked
+    total, most = max(1, sum(max(0, n) for n in sizes.values())), max(sizes.values(), default=0)
+    for i, x in enumerate(page):
+        n = x.text.count(" ") + 1
+        part = sizes[x.holder]
+        f = ["1", f"n{min(n, 64).bit_length()}", f"in{x.held}", f"a{int(4 * min(x.linked / max(1, len(x.text)), 1))}", f"part{int(4 * max(0, part) / total)}", *x.marks]
+        if x.text[-1] in ".!?…。":
             f.append("stop")
         if i == 0:
             f.append("first")
-        if i and marks == page[i - 1][1]:
+        if i and x.marks == page[i - 1].marks:
             f.append("same")
-        if {"<article", "<main"} & marks or marks & {"=article", "=content", "=post", "=entry", "=main"}:
+        if i and x.holder == page[i - 1].holder:
+            f.append("beside")
+        if part == most:
+            f.append("most")
+        if {"<article", "<main"} & x.marks or x.marks & {"=article", "=content", "=post", "=entry", "=main"}:
             f.append("body")
         out.append(f)
     return out
@@ -162,20 +250,19 @@ def features(page: list[tuple[str, frozenset, int, str]]) -> list[list[str]]:
 @lru_cache(maxsize=1)
 def trained() -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """Feature numbers, weights and transitions, learnt from the labelled pages."""
-    held = []
-    for page, marks in labelled_pages(PAGES, SEED):
-        own = features(blocks(page))
-        assert len(own) == len(marks), page
-        held.append((own, np.array(marks)))
-    often = Counter(x for own, _ in held for x in {x for f in own for x in f})
+    pages = labelled_pages(PAGES, SEED)
+    often = Counter(x for page, _ in pages for x in {x for f in features(blocks(page)) for x in f})
     names = {x: k for k, x in enumerate(sorted(x for x, n in often.items() if n >= SEEN))}
-    rows = []
-    for own, _ in held:
+    rows, marked = [], []
+    for page, marks in pages:
+        own = features(blocks(page, names))
+        assert len(own) == len(marks), page
         x = np.zeros((len(own), len(names)), np.float32)
         for i, f in enumerate(own):
             x[i, [names[w] for w in f if w in names]] = 1
         rows.append(x)
-    weights, moves = chain.train(rows, [marks for _, marks in held], steps=160, ridge=3e-5)
+        marked.append(np.array(marks))
+    weights, moves = chain.train(rows, marked, steps=160, ridge=3e-5)
     return names, weights, moves
 
 
@@ -188,12 +275,12 @@ def by_name(model: tuple[dict[str, int], np.ndarray, np.ndarray]) -> tuple[dict[
 def main_text(page: str, model: tuple[dict[str, tuple[float, float]], list]) -> str:
     """The blocks that the model (see by_name) marks as main text, one to a line."""
     table, moves = model
-    found = blocks(page)
+    found = blocks(page, table)
     scores = []
     for f in features(found):
         known = [table[x] for x in f if x in table]
         scores.append((sum(x for x, _ in known), sum(y for _, y in known)))
-    return "\n".join(x[0] for x, y in zip(found, chain.viterbi(scores, moves)) if y)
+    return "\n".join(x.text for x, y in zip(found, chain.viterbi(scores, moves)) if y)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -234,9 +321,11 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
             ws[k] = f"<{t}>{ws[k]}</{t.split()[0]}>"
         return " ".join(ws)
 
+    bare = False  # whether this page's names say nothing
+
     def attrs(*names: str) -> str:
         kind = rng.random()
-        name = rng.choice(names)
+        name = word() if bare else rng.choice(names)
         name = rng.choice((name, f"{name}-{word()}", f"{word()}-{name}", f"{word()} {name}", name.title(), f"{name}{rng.randint(1, 9)}"))
         return f' class="{name}"' if kind < 0.6 else f' id="{name}"' if kind < 0.8 else f" class='{name}' id='{word()}'"
 
@@ -327,6 +416,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
 
     pages = []
     for _ in range(count):
+        bare = rng.random() < 0.3
         out, marks = [f"<!DOCTYPE html><html><head><title>{phrase(1, 5)}</title><style>p{{}}</style></head><body>"], []
 
         def add(piece: tuple[str, list[int]]) -> None:

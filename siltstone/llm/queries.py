@@ -24,7 +24,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc")).drop("payload", "url")
+    return warc.round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc"), payloads=False).drop("url", "error")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

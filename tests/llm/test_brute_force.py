@@ -1,5 +1,6 @@
 """The queries against brute force, exact round trips or held-out accuracy on the small tables."""
 
+import base64
 import hashlib
 import html as entities
 import random
@@ -343,8 +344,63 @@ def test_warc_rejects_magic_in_payloads(spark, tmp_path):
     rows = [(i, f"http://x/{i}", f"<p>{i}</p>" + false * (i % 3)) for i in range(40)] + [(50, "u", "WARC/1.1\r\n"), (51, "u", "")]
     got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w").collect()
     assert {(r["page_id"], r["url"], r["payload"].decode()) for r in got} == set(rows) and len(got) == len(rows)
-    starts, ends, _ = warc.candidates(b"".join(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n" for _ in range(9)) + b"WARC/1.1\r\nContent-Length: 99\r\n\r\nab")
-    assert warc.reachable(starts, ends, int(ends[8]) + 10).tolist() == [True] * 9 + [False]
+    starts, ends = np.arange(0, 500, 50), np.arange(50, 550, 50)
+    ends[9] = 900
+    assert warc.reachable(starts, ends, 510).tolist() == [True] * 9 + [False]
+
+
+def archive(records, cut=None):
+    """An archive's bytes, and the payloads, from (page_id, payload)."""
+    out = b""
+    for i, payload in records:
+        http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload)
+        name = base64.b32encode(hashlib.sha1(payload).digest())
+        out += b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n" % (i, name, len(http) + len(payload))
+        out += http + payload + b"\r\n\r\n"
+    return out[:cut]
+
+
+def test_warc_by_byte_ranges(spark, tmp_path):
+    """Archives read by many small ranges, with whole false records, half ones and chains of false ones in payloads; a cut one and damaged ones."""
+    rng = random.Random(4)
+    false = archive([(900 + i, b"false %d" % i) for i in range(5)])
+    texts = [false, b"x" + false[:-3], b"WARC/1.1\r\n" * 7, b"WARC/1.1\r\nContent-Length: 99999999\r\n\r\n", "é漢🙂".encode() * 40, b"", false * 9, b"WARC/1.1\r\nContent-Length: -4\r\n\r\n", b"WARC/1.1\r\nContent-Length: 12345678901234567890\r\n\r\n"]
+    rows = [(i, rng.choice(texts) + b"t" * rng.randint(0, 300)) for i in range(120)]
+    rows2 = [(200 + i, rng.choice(texts)) for i in range(30)]
+    (tmp_path / "part-a").write_bytes(archive(rows))
+    (tmp_path / "part-b").write_bytes(archive(rows2, cut=-3))  # its last record is cut short
+    broken = archive([(300, b"abcdef")]).replace(b"abcdef", b"abcdeX") + archive([(301, b"good")])
+    (tmp_path / "part-c").write_bytes(broken)
+    (tmp_path / "part-d").write_bytes(archive([(400, b"first")]) + b"junk" + archive([(401, b"lost")]))
+    (tmp_path / "part-e").write_bytes(b"no archive")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    want = dict(rows) | dict(rows2[:-1]) | {300: b"abcdeX", 301: b"good", 400: b"first"}
+    try:
+        for size in ("700", "5000", "1g"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = warc.read(spark, f"file://{tmp_path}").collect()
+            assert len(got) == len(want) and {r["page_id"]: bytes(r["payload"]) for r in got} == want
+            assert {r["page_id"]: r["error"] for r in got if r["error"]} == {300: "payload_differs"}
+            assert all(r["payload_bytes"] == len(want[r["page_id"]]) for r in got)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 5), min_size=1, max_size=30), st.data())
+def test_pointer_jumping(steps, data):
+    """Chains over candidates of which some are missing, against walking along them."""
+    starts = np.cumsum([0, *steps])
+    ends = starts + np.array([data.draw(st.integers(1, 6)) for _ in starts])
+    entry = int(data.draw(st.sampled_from(starts.tolist())))
+    by, on, at = dict(zip(starts.tolist(), ends.tolist())), set(), entry
+    while at in by:
+        on.add(at)
+        at = by[at]
+    assert warc.reachable(starts, ends, 10**6, [entry]).tolist() == [s in on for s in starts.tolist()]
+    assert warc.leaving(starts, ends)[starts.tolist().index(entry)] == at
 
 
 def test_mixture_nears_targets(spark):

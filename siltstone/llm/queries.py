@@ -87,21 +87,22 @@ FROM b
 
 
 def _op8() -> str:
-    """Every place of every phrase, and every line against every template."""
-    sets = license_join._sets(license_join.TEMPLATES, license_join.THRESHOLD)
+    """Every place of every phrase, and every run of words against every template of which the text has enough."""
+    held = license_join.parsed(license_join.TEMPLATES, license_join.THRESHOLD)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     split = f"regexp_extract_all(translate({{0}}, '{license_join.UPPER}', '{license_join.LOWER}'), '{word}')"
     places = " UNION ALL ".join(
         f"SELECT k, unnest(list_filter(range(1, len(w) + 1), lambda i: list_slice(w, i, i + {len(p.split()) - 1}) = {_list(p.split())})) - 1 AS place, '{label}' AS label FROM d" for p, label in license_join.PHRASES.items()
     )
-    templates = " UNION ALL ".join(f"SELECT '{label}' AS label, {_list(ws)} AS ws, {need} AS need" for _, label, ws, need in sets)
+    templates = " UNION ALL ".join(f"SELECT '{t.label}' AS label, {_list(t.words)} AS ws, {_list(t.must)}::VARCHAR[] AS must, {t.need} AS need, {t.span} AS span" for t in held)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, {split.format("coalesce(text, '')")} AS w FROM documents),
 p AS ({places}),
 base AS (SELECT k, count(*) AS n, min(place) AS a, max(place) AS z, list_distinct(list(label)) AS labels FROM p GROUP BY k),
-l AS (SELECT k, {split.format('line')} AS ws FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d)),
 t AS ({templates}),
-m AS (SELECT k, label, max(len(list_intersect(l.ws, t.ws)) / len(t.ws)) AS c FROM l, t WHERE len(list_intersect(l.ws, t.ws)) >= need GROUP BY k, label),
+c AS (SELECT k, w, t.* FROM d, t WHERE len(list_intersect(w, ws)) >= need),
+r AS (SELECT k, label, ws, must, need, list_slice(w, i, i + span - 1) AS run FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c)),
+m AS (SELECT k, label, max(len(list_intersect(run, ws)) / len(ws)) AS c FROM r WHERE len(list_intersect(run, ws)) >= need AND len(list_intersect(run, must)) = len(must) GROUP BY k, label),
 own AS (SELECT k, list(label) AS labels, max(c) AS c FROM m GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0) END AS score

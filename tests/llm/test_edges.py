@@ -153,6 +153,25 @@ def test_license_wrapped(spark):
     assert out == {0: ("gpl,gpl-notice", 1.0), 1: ("mit-text", 1.0), 2: ("bsd", 1.0), 3: ("bsd", 1.0), 4: ("mit-text", 1.0), 5: ("mit-text", 1.0), 6: ("", 0.0)}
 
 
+def test_license_needs_the_telling_words_close_together(spark):
+    """Another license's name or version, and a template's words that are spread over more words than it has, match nothing."""
+    texts = [
+        "the court released him under bail and the mit student paid", "GNU General Public License version 2", "Released under the Apache License.", "Licensed under CC BY 4.0.", "licensed under the Mozilla Public License, version 2.0",
+        "Released under the MIT License.", "x " * 30 + "released under\nthe MIT\nlicense", "GNU General Public License, version 3", "under the MIT License",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["labels"] for r in license_join.scan(docs).collect()}
+    assert out == {0: "", 1: "gpl", 2: "apache", 3: "cc-by", 4: "", 5: "mit,mit-text", 6: "mit,mit-text", 7: "gpl,gpl-3.0", 8: "mit,mit-text"}
+
+
+def test_license_runs_over_block_edges(spark):
+    """A notice is found wherever it starts, also where it lies over the edges of blocks."""
+    bsd = license_join.TEMPLATES["bsd"][0].split()
+    texts = [" ".join(["w"] * n + bsd + ["v"] * 70) for n in range(0, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r["labels"] == "bsd" and r["score"] == 1.0 for r in license_join.scan(docs).collect())
+
+
 def test_mixing(spark):
     docs = documents(spark)
     out = curriculum.mix_plan(docs).collect()

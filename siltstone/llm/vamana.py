@@ -1,16 +1,17 @@
 """Approximate nearest neighbours by a robust-pruned directed graph in every shard, searched by beams.
 
 Equal vectors are one node, which keeps its smallest ids (one more than an answer needs, so that nothing is lost);
-that step prunes before it shuffles, and no hot vector gathers in a task. Nodes are dealt to shards of about
-``shard_rows`` by a hash. Each shard builds its graph in one task: points are inserted in batches that double; for
+that step prunes before it shuffles, and no hot vector gathers in a task. Nodes are dealt to shards by a hash: to
+``SHARDS`` of them, so that several tasks build, with at least ``LEAST_ROWS`` rows each; beyond ``SHARDS * shard_rows``
+rows, to shards of about ``shard_rows``. A larger shard needs a wider ``beam`` for the same recall. Each shard builds its graph in one task: points are inserted in batches that double; for
 each, greedy searches from the shard's medoid propose neighbours (all points that a search visits), and relaxed
 pruning keeps the nearest p and drops any candidate c with alpha * d(p, c) <= d(point, c), again and again, so that
 kept edges are diverse. Kept edges are added backwards, and a node that overflows is pruned in the same way.
 
 Every query is searched in every shard by a beam search of width ``beam``; shards answer with their best nodes, whose
 exact distances, in double precision on the original vectors, decide the answer. A shard's graph, its vectors and a
-block of queries are all that a task holds. Work grows with rows times log(shard_rows) to build, and with queries
-times shards to search, so raise ``shard_rows`` with the memory of an executor.
+block of queries are all that a task holds, about 1 KB a row at 64 dimensions. Work grows with rows times
+log(shard_rows) to build, and with queries times shards to search; shards grow with rows / ``shard_rows`` only.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, as queries or as
 candidates; neither do rows with a null vec_id. Vectors of different lengths never meet. Ties in distance go to the
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from siltstone.sources.shipping import ship
 from siltstone.llm.common import cut
 
-SHARD_ROWS, DEGREE, ALPHA, BUILD_BEAM, BEAM = 4096, 32, 1.2, 64, 128
+SHARD_ROWS, SHARDS, LEAST_ROWS = 1 << 15, 8, 2048
+DEGREE, ALPHA, BUILD_BEAM, BEAM = 32, 1.2, 64, 192
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -171,7 +173,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, shard_rows: int =
     few = held.dropDuplicates(["vec_id", "embedding"]).withColumn("place", place).filter(F.col("place") <= k + 1)
     nodes = cut(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
     count = nodes.count()
-    shards = max(1, -(-count // shard_rows))
+    shards = max(1, min(SHARDS, count // LEAST_ROWS), -(-count // shard_rows))
     dealt = nodes.withColumn("shard", F.struct(F.size("embedding").alias("length"), F.pmod(F.xxhash64("embedding"), F.lit(shards)).alias("at")))
     queries = held.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "embedding"])
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))

@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.sources.shipping import ship
-from siltstone.llm.common import WORD, cut, drop_path, shared_path
+from siltstone.llm.common import WORD, cut, drop, drop_path, shared_path
 from siltstone.llm.suffix_dedup import Rolling, mixed
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -375,6 +375,7 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> tu
     pairs = few.select("band", F.col("node").alias("a")).join(few.select("band", F.col("node").alias("b")), "band").filter("a < b")
     pairs = cut(pairs.select("a", "b").distinct(), "pairs")
     found = cut(verified(pairs, texts, threshold), "links")
+    drop(pairs)
     edges = found
     degree = found.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
     many = shared.filter(F.col("n") > SMALL).select("band", "node")
@@ -389,10 +390,13 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> tu
         cells = cells.select("band", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
         large = placed.groupBy("node").agg(F.collect_list("band").alias("large"))
         own = cut(texts.select("node", "zipped").join(large, "node").join(nodes, "node"), "members")
-        held = placed.select("band", "block", "node").join(cut(cells, "cells"), ["band", "block"]).join(own, "node")
+        cells = cut(cells, "cells")
+        held = placed.select("band", "block", "node").join(cells, ["band", "block"]).join(own, "node")
         more = cut(cell_links(held.select("band", "i", "j", "block", "node", "zipped", "bands", "large"), threshold), "cell_links")
+        drop(placed, own, cells)
         edges = edges.unionByName(more.filter("b IS NOT NULL").select("a", "b"))
         degree = degree.unionByName(more.filter("b IS NULL").select(F.col("a").alias("node"), "n"))
+    drop(shared, texts)
     roots = spark.createDataFrame([], "node binary, root binary") if edges.isEmpty() else cut(components(edges), "roots")
     return degree.groupBy("node").agg(F.sum("n").alias("n_links")), roots
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from functools import reduce
@@ -37,8 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call uses. It lies in the application's own folder, which goes when Python ends."""
+    own = f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}"
+    if own not in _FOLDERS:
+        _FOLDERS.add(own)
+        atexit.register(_leave, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+_FOLDERS: set[str] = set()
+
+
+def _leave(spark: SparkSession, path: str) -> None:
+    """Delete the application's folder, if its session still runs."""
+    if spark.sparkContext._jsc is not None:
+        drop_path(spark, path)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -46,7 +60,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siltstone_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that cut() returned, once all that is made of them is written itself."""
+    for df in tables:
+        drop_path(df.sparkSession, df._siltstone_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -72,6 +72,26 @@ def normalize(rows: DataFrame) -> DataFrame:
     )
 
 
+#: An extractor's text and number fields, in the master table's order.
+TEXTS = ("sku", "model_name", "category", "power_supply", "refrigerant_gas", "energy_class", "temperature_range", "currency")
+NUMBERS = ("width_mm", "depth_mm", "height_mm", "net_weight_kg", "gross_weight_kg", "volume_l", "power_consumption_w", "list_price")
+
+
+def master_rows(rows: DataFrame, version: str | Column, date: str | Column | None = None) -> DataFrame:
+    """Raw rows (brand, row_ordinal, source_page, and any of TEXTS, NUMBERS and notes) as rows of the master table.
+
+    Every row is stamped with its price list's version and date (today's unless given). Fields that the extractor lacks
+    are null, and so is the family, which nothing fills; a missing note is the empty text.
+    """
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    has = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
+    stamped = F.current_date().cast("string") if date is None else lit(date)
+    return rows.select(
+        "row_ordinal", "brand", lit(version).alias("price_list_version"), stamped.alias("price_list_date"), F.lit(None).cast("string").alias("family"),
+        *[clean_text(has(c)).alias(c) for c in TEXTS], *[clean_number(has(c)).alias(c) for c in NUMBERS], "source_page", F.coalesce(has("notes"), F.lit("")).alias("notes"),
+    )
+
+
 def is_junk() -> Column:
     """Neither a key nor a price; a price of 0 is a price."""
     return (F.coalesce("sku", F.lit("")) == "") & F.col("list_price").isNull()

@@ -27,6 +27,9 @@ FAILURES = {
     "provider_timeout": ("provider_timeout", "retryable"),
     "provider_request_failed": ("provider_request_failed", "non_retryable"),
     "domain_error": ("invalid_provider_output", "non_retryable"),
+    **{f"{p}_unavailable": ("provider_unavailable", "retryable") for p in ("transcription", "diarization", "evaluation")},
+    **{f"{p}_timeout": ("provider_timeout", "retryable") for p in ("transcription", "diarization", "evaluation")},
+    **{f"{p}_request_failed": ("provider_request_failed", "non_retryable") for p in ("transcription", "diarization", "evaluation")},
 }
 PATH = ("received", "validated", "transcribed", "diarized", "roles_assigned", "evaluated")
 

@@ -21,6 +21,11 @@ def contributions(evaluations: DataFrame, criteria: DataFrame) -> DataFrame:
     return held.select("call_id", "criterion_order", "status", "weight", normal.alias("normalized_score"), (normal * F.col("weight")).alias("weighted_points"), review.alias("human_review_required"))
 
 
+def exact_sum(c: str) -> Column:
+    """A sum of doubles of moderate size, to 15 places, that doesn't depend on the order in which they're added."""
+    return F.sum(F.col(c).cast("decimal(28,15)")).cast("double")
+
+
 def call_scores(each: DataFrame, *by: str) -> DataFrame:
     """Per call: counts by status, score, both coverages; null where nothing applies, which isn't 0."""
     keys = by or ("call_id",)
@@ -33,7 +38,7 @@ def call_scores(each: DataFrame, *by: str) -> DataFrame:
         F.count_if(F.col("human_review_required")).alias("n_review"),
         F.sum(F.when(is_(SCORED), F.col("weight"))).alias("scored_weight"),
         F.sum(F.when(is_(SCORED) | is_(INSUFFICIENT), F.col("weight"))).alias("applicable_weight"),
-        F.sum("weighted_points").alias("points"),
+        exact_sum("weighted_points").alias("points"),
     )
     scored = F.coalesce("scored_weight", F.lit(0.0))
     applicable = F.col("n_scored") + F.col("n_insufficient")

@@ -1,46 +1,100 @@
-"""Keyed writes on plain files: idempotent inserts, revision-checked updates, versioned commits."""
+"""Keyed reads and writes on plain files: lookups, idempotent inserts, revision-checked updates, caches, versioned commits."""
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def same(columns: tuple[str, ...]) -> Column:
-    """Whether a stored row (s.) and an incoming one (i.) agree; nulls agree."""
+def same(columns: tuple[str, ...], left: str = "s", right: str = "i") -> Column:
+    """Whether two rows (by alias) agree; nulls agree."""
     out = F.lit(True)
     for c in columns:
-        out &= F.col(f"s.{c}").eqNullSafe(F.col(f"i.{c}"))
+        out &= F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
     return out
 
 
-def insert_if_absent(stored: DataFrame, incoming: DataFrame, key: str, values: tuple[str, ...]) -> DataFrame:
-    """key, outcome of every incoming row: inserted, unchanged (an equal row is there), or conflict (another one is)."""
-    held = incoming.alias("i").join(stored.alias("s"), F.col(f"i.{key}") == F.col(f"s.{key}"), "left")
-    outcome = F.when(F.col(f"s.{key}").isNull(), "inserted").when(same(values), "unchanged").otherwise("conflict")
+def find(stored: DataFrame, key: str, value) -> DataFrame:
+    """The row of one key, or none. The filter reaches the files, so only parts that may hold the key are read."""
+    return stored.filter(F.col(key) == F.lit(value))
+
+
+def lookup(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """keys with the stored row of each (null columns if there's none) and found. A key that is asked for twice is there twice."""
+    held = stored.withColumn("_found", F.lit(True))
+    return keys.join(held, key, "left").withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found")
+
+
+def get(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """lookup, with an error instead of a missing row."""
+    return lookup(stored, keys, key).withColumn("error", F.when(~F.col("found"), "not_found"))
+
+
+def in_turn(incoming: DataFrame, key: str, order: str | None) -> DataFrame:
+    """incoming with _nth, a row's turn among those of its key: by order, or by all values if there's none."""
+    by = [order] if order else [c for c in incoming.columns if c != key] or [key]
+    return incoming.withColumn("_nth", F.row_number().over(W.partitionBy(key).orderBy(*by)))
+
+
+def insert_if_absent(stored: DataFrame, incoming: DataFrame, key: str, values: tuple[str, ...], order: str | None = None) -> DataFrame:
+    """key, outcome of every incoming row: inserted, unchanged (an equal row is there), or conflict (another one is).
+
+    Rows of one key are taken in turn, so one new key is inserted once, and the rows after it meet what it inserted.
+    """
+    turns = in_turn(incoming, key, order)
+    first = turns.filter("_nth = 1")
+    held = turns.alias("i").join(stored.alias("s"), F.col(f"i.{key}") == F.col(f"s.{key}"), "left").join(first.alias("f"), F.col(f"i.{key}") == F.col(f"f.{key}"), "left")
+    fresh = F.col(f"s.{key}").isNull()
+    met = F.when(fresh, same(values, "f", "i")).otherwise(same(values))
+    outcome = F.when(fresh & (F.coalesce(F.col("i._nth"), F.lit(1)) == 1), "inserted").when(met, "unchanged").otherwise("conflict")
     return held.select(F.col(f"i.{key}").alias(key), outcome.alias("outcome"))
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """The store after idempotent inserts: what it had, and the rows whose key it lacked, at revision 1."""
-    fresh = incoming.join(stored, key, "left_anti").withColumn("revision", F.lit(1))
+def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The store after idempotent inserts: what it had, and the first row of each key that it lacked, at revision 1."""
+    fresh = in_turn(incoming, key, order).filter("_nth = 1").join(stored.select(key), key, "left_anti").withColumn("revision", F.lit(1))
     return stored.unionByName(fresh.select(stored.columns))
 
 
-def update(stored: DataFrame, incoming: DataFrame, key: str, values: tuple[str, ...]) -> DataFrame:
-    """key, outcome, revision of updates that expect a revision: an equal value keeps it, a new one raises it by one."""
-    held = incoming.alias("i").join(stored.alias("s"), F.col(f"i.{key}") == F.col(f"s.{key}"), "left")
-    stale = F.col("s.revision") != F.col("i.expected_revision")
-    outcome = F.when(F.col(f"s.{key}").isNull(), "missing").when(stale, "revision_conflict").when(same(values), "unchanged").otherwise("updated")
-    held = held.select(F.col(f"i.{key}").alias(key), outcome.alias("outcome"), F.col("s.revision").alias("old"))
-    return held.select(key, "outcome", (F.col("old") + F.when(F.col("outcome") == "updated", 1).otherwise(0)).alias("revision"))
+def update(stored: DataFrame, incoming: DataFrame, key: str, values: tuple[str, ...], order: str | None = None) -> DataFrame:
+    """key, outcome, revision of updates that expect a revision: an equal value keeps it, a new one raises it by one.
+
+    An update that expects no revision (null) conflicts. Of several to one key that expect the same revision only the
+    first in turn can be it; the others then meet a newer revision, unless the first changed nothing.
+    """
+    turns = in_turn(incoming, key, order)
+    held = turns.alias("i").join(stored.alias("s"), F.col(f"i.{key}") == F.col(f"s.{key}"), "left")
+    meets = F.coalesce(F.col("s.revision") == F.col("i.expected_revision"), F.lit(False))
+    held = held.select("i.*", F.col(f"s.{key}").isNotNull().alias("_there"), F.col("s.revision").alias("_old"), (meets & ~same(values)).alias("_changes"), meets.alias("_meets"))
+    earlier = W.partitionBy(key).orderBy("_nth").rowsBetween(W.unboundedPreceding, -1)
+    held = held.withColumn("_taken", F.coalesce(F.bool_or("_changes").over(earlier), F.lit(False)))
+    outcome = F.when(~F.col("_there"), "missing").when(~F.col("_meets") | F.col("_taken"), "revision_conflict").when(F.col("_changes"), "updated").otherwise("unchanged")
+    held = held.withColumn("outcome", outcome)
+    now = F.col("_old") + F.when(F.col("_taken") | (F.col("outcome") == "updated"), 1).otherwise(0)
+    return held.select(key, "outcome", now.alias("revision"))
+
+
+def cache_write(cache: DataFrame, fresh: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    """The cache after new entries: the last by order of each key. An entry of the cache itself comes before any new one."""
+    both = cache.withColumn("_new", F.lit(0)).unionByName(fresh.select(cache.columns).withColumn("_new", F.lit(1)))
+    last = F.max_by(F.struct(*cache.columns), F.struct("_new", order))
+    return both.groupBy(*keys).agg(last.alias("_row")).select("_row.*")
+
+
+def cache_stats(cache: DataFrame) -> DataFrame:
+    """stage, entries."""
+    return cache.groupBy("stage").agg(F.count("*").alias("entries"))
 
 
 class VersionedStore:
-    """A table as numbered directories and a pointer file; a commit is one rename of the pointer.
+    """A table as directories of their own and numbered pointer files that name them; a commit is one new pointer.
 
-    A commit names the version that it builds on; if another commit came first, it is refused and nothing changes.
-    All through Hadoop's file systems, so the path may be any that Spark reads.
+    A commit names the version that it builds on; if another commit came first, it is refused, its directory goes, and
+    nothing else changes. All through Hadoop's file systems, so the path may be any that Spark reads.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -58,17 +112,35 @@ class VersionedStore:
 
     def read(self, version: int | None = None) -> DataFrame | None:
         version = self.version() if version is None else version
-        return self.spark.read.parquet(f"{self.path}/v{version}") if version else None
+        if not version:
+            return None
+        named = self.spark.read.text(f"{self.path}/pointers/{version}").first()
+        return self.spark.read.parquet(f"{self.path}/{named[0]}")
 
     def commit(self, df: DataFrame, base: int) -> bool:
-        """Write df as the version after base; False if that exists by now."""
+        """Write df as the version after base; False if that exists by now. Any other failure is raised."""
         if self.version() != base:
             return False
-        df.write.mode("overwrite").parquet(f"{self.path}/v{base + 1}")
+        name = f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        if self._claim(base + 1, name):
+            return True
+        self.files.delete(self.make(f"{self.path}/{name}"), True)
+        return False
+
+    def _claim(self, version: int, name: str) -> bool:
+        """Claim a version, then show its pointer whole; False if another commit has claimed it."""
         self.files.mkdirs(self.make(f"{self.path}/pointers"))
-        pointer = self.make(f"{self.path}/pointers/{base + 1}")
         try:
-            self.files.create(pointer, False).close()
-        except Exception:
-            return False
+            self.files.create(self.make(f"{self.path}/pointers/{version}.claim"), False).close()
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+        draft = self.make(f"{self.path}/{name}.pointer")
+        out = self.files.create(draft, False)
+        out.write(bytearray(name.encode()))
+        out.close()
+        if not self.files.rename(draft, self.make(f"{self.path}/pointers/{version}")):
+            raise OSError(f"version {version} is claimed but its pointer can't be made")
         return True

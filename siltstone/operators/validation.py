@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import strip
 from siltstone.operators.scoring import violations
 
 #: Patterns of identifiers and hashes.
@@ -16,7 +17,8 @@ LANGUAGE = r"^[a-z]{2,3}(-[A-Z]{2})?$"
 
 
 def blank(c: str) -> Column:
-    return F.col(c).isNull() | (F.trim(F.col(c)) == "")
+    """Null, empty, or white space of any kind."""
+    return F.col(c).isNull() | (strip(F.col(c)) == "")
 
 
 def finite(c: str) -> Column:
@@ -24,7 +26,8 @@ def finite(c: str) -> Column:
 
 
 def is_(c: str, pattern: str) -> Column:
-    return F.coalesce(F.regexp_like(F.col(c), F.lit(pattern)), F.lit(False))
+    """Whether a text is wholly of a pattern (^...$); a line end after it isn't borne, null is no text."""
+    return F.coalesce(F.regexp_like(F.col(c), F.lit(pattern.removesuffix("$") + r"\z")), F.lit(False))
 
 
 def calls(rows: DataFrame) -> DataFrame:

@@ -268,13 +268,26 @@ def document_clean(spark, sf_dir):
     return view(spark, sf_dir, "documents").select("doc_id", T.clean_document(F.col("text")).alias("text"))
 
 
-@query()
-def clause_chunks(spark, sf_dir):
-    """Needs look-around and a fold over sentences; tests compare it with plain Python."""
-    return contracts.chunks(view(spark, sf_dir, "contracts"))
+SENTENCES = r"""string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))"""
 
 
-SENTENCES = r"""string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))"""
+#: Headers where RE2 has no look-ahead: an inline one takes the letters after it along, the marks are put round one at a line's start.
+INLINE_SQL = r"(?:\d+(?:\.\d+)*[.)]\s+[A-Z]|[A-Z]\.\s+[A-Z][a-z]|Section\s+\d+(?:\.\d+)*:?\s*|ARTICLE\s+(?:[IVXLCDM]+|\d+)\.?\s*)"
+HEADER_SQL = r"(?m)^((?:\d+(?:\.\d+)*[.)]\s+|[A-Z]\.\s+|Section\s+\d+(?:\.\d+)*:?\s*|ARTICLE\s+(?:[IVXLCDM]+|\d+)\.?\s*))"
+STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, {CLEAN.format(x='text')} AS t FROM contracts),
+b AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '([.!?;:])([^\\S\\n]+)({INLINE_SQL})', '\\1' || chr(10) || '\\3', 'g'), '{HEADER_SQL}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM c),
+p AS (SELECT doc_id, i AS section, parts[i] AS part, len(parts) AS n FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM b)),
+s AS (SELECT doc_id, section, CASE WHEN section > 1 THEN {STRIP.format(x="split_part(part, chr(2), 1)")} END AS heading, CASE WHEN section > 1 THEN {STRIP.format(x="split_part(part, chr(2), 2)")} WHEN n = 1 THEN part ELSE {STRIP.format(x="part")} END AS text FROM p),
+walk AS (SELECT doc_id, section, heading, CASE WHEN length(text) <= 1200 THEN [text] ELSE {SENTENCES} END AS parts, 1 AS k, CASE WHEN length(text) <= 1200 THEN text ELSE {SENTENCES}[1] END AS open, 0 AS piece, CAST(NULL AS VARCHAR) AS closed FROM s WHERE text <> ''
+  UNION ALL SELECT doc_id, section, heading, parts, k + 1, CASE WHEN length(open || ' ' || parts[k + 1]) > 1200 THEN parts[k + 1] ELSE open || ' ' || parts[k + 1] END,
+    CASE WHEN length(open || ' ' || parts[k + 1]) > 1200 THEN piece + 1 ELSE piece END, CASE WHEN length(open || ' ' || parts[k + 1]) > 1200 THEN open END FROM walk WHERE k < len(parts)),
+x AS (SELECT doc_id, section, heading, piece - 1 AS piece, closed AS text FROM walk WHERE closed IS NOT NULL UNION ALL SELECT doc_id, section, heading, piece, open FROM walk WHERE k = len(parts))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section, piece) - 1 AS INT) AS chunk_index, heading, {STRIP.format(x="text")} AS text FROM x""")
+def clause_chunks(spark, sf_dir):
+    return contracts.chunks(view(spark, sf_dir, "contracts"))
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT doc_id, {SENTENCES} AS parts FROM documents WHERE text <> ''),
@@ -403,9 +416,9 @@ def speaker_labels(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT *, lag(start_seconds) OVER (PARTITION BY call_id ORDER BY turn_order) AS b FROM turns)
-SELECT call_id, turn_order, 'end_not_after_start' AS rule FROM t WHERE end_seconds <= start_seconds UNION ALL SELECT call_id, turn_order, 'start_not_monotonic' FROM t WHERE start_seconds < b""")
+SELECT call_id, turn_order, 'end_not_after_start' AS rule FROM t WHERE end_seconds <= start_seconds UNION ALL SELECT call_id, turn_order, 'start_not_monotonic' FROM t WHERE start_seconds < b""".replace("FROM turns", "FROM reported_turns"))
 def turn_violations(spark, sf_dir):
-    return alignment.turn_violations(view(spark, sf_dir, "turns"))
+    return alignment.turn_violations(view(spark, sf_dir, "reported_turns"))
 
 
 @query("""WITH w AS (SELECT call_id, unit_order, word_order, 'unpaired_times' AS rule FROM unit_words WHERE (start_seconds IS NULL) <> (end_seconds IS NULL)
@@ -545,8 +558,8 @@ def status_repairs(spark, sf_dir):
     return held.filter("status <> supported").select("call_id", "status", "supported")
 
 
-@query("""SELECT error_kind, CASE error_kind WHEN 'domain_error' THEN 'invalid_provider_output' WHEN 'unknown' THEN 'stage_execution_failed' ELSE error_kind END AS reason,
-  CASE WHEN error_kind IN ('provider_unavailable', 'provider_timeout', 'repository_unavailable') THEN 'retryable' ELSE 'non_retryable' END AS retry, count(*) AS errors FROM stage_errors GROUP BY error_kind""")
+@query("""SELECT error_kind, CASE error_kind WHEN 'domain_error' THEN 'invalid_provider_output' WHEN 'unknown' THEN 'stage_execution_failed' ELSE regexp_replace(error_kind, '^(transcription|diarization|evaluation)_', 'provider_') END AS reason,
+  CASE WHEN error_kind LIKE '%_unavailable' OR error_kind LIKE '%_timeout' THEN 'retryable' ELSE 'non_retryable' END AS retry, count(*) AS errors FROM stage_errors GROUP BY error_kind""")
 def failure_classification(spark, sf_dir):
     held = view(spark, sf_dir, "stage_errors").withColumn("f", orchestration.failure(F.col("error_kind")))
     return held.groupBy("error_kind", F.col("f.reason").alias("reason"), F.col("f.retry").alias("retry")).agg(F.count("*").alias("errors"))
@@ -569,24 +582,27 @@ def status_path(spark, sf_dir):
 
 
 RECORD = ("content_hash", "duration", "source_type")
+SAME = " AND ".join(f"{{a}}.{c} IS NOT DISTINCT FROM {{b}}.{c}" for c in RECORD)
+TURNS = "WITH i AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY arrived) AS nth FROM incoming_calls)"
 
 
-@query("""SELECT i.call_id AS call_id, CASE WHEN s.call_id IS NULL THEN 'inserted' WHEN i.content_hash IS NOT DISTINCT FROM s.content_hash AND i.duration IS NOT DISTINCT FROM s.duration AND i.source_type IS NOT DISTINCT FROM s.source_type THEN 'unchanged' ELSE 'conflict' END AS outcome
-FROM incoming_calls i LEFT JOIN stored_calls s ON i.call_id = s.call_id""")
+@query(TURNS + f"""SELECT i.call_id AS call_id, CASE WHEN s.call_id IS NULL AND i.nth = 1 THEN 'inserted' WHEN s.call_id IS NULL AND {SAME.format(a='f', b='i')} THEN 'unchanged' WHEN s.call_id IS NOT NULL AND {SAME.format(a='i', b='s')} THEN 'unchanged' ELSE 'conflict' END AS outcome
+FROM i LEFT JOIN stored_calls s ON i.call_id = s.call_id JOIN i f ON i.call_id = f.call_id AND f.nth = 1""")
 def idempotent_insert(spark, sf_dir):
-    return store.insert_if_absent(view(spark, sf_dir, "stored_calls"), view(spark, sf_dir, "incoming_calls"), "call_id", RECORD)
+    return store.insert_if_absent(view(spark, sf_dir, "stored_calls"), view(spark, sf_dir, "incoming_calls"), "call_id", RECORD, "arrived")
 
 
-@query("""SELECT call_id, content_hash, duration, source_type, revision FROM stored_calls UNION ALL SELECT call_id, content_hash, duration, source_type, 1 FROM incoming_calls WHERE call_id NOT IN (SELECT call_id FROM stored_calls)""")
+@query(TURNS + """SELECT call_id, content_hash, duration, source_type, revision FROM stored_calls UNION ALL SELECT call_id, content_hash, duration, source_type, 1 FROM i WHERE nth = 1 AND call_id NOT IN (SELECT call_id FROM stored_calls)""")
 def call_idempotency(spark, sf_dir):
-    return store.upsert(view(spark, sf_dir, "stored_calls"), view(spark, sf_dir, "incoming_calls").drop("expected_revision"), "call_id")
+    return store.upsert(view(spark, sf_dir, "stored_calls"), view(spark, sf_dir, "incoming_calls").drop("expected_revision"), "call_id", "arrived")
 
 
-@query("""WITH x AS (SELECT i.call_id, s.revision AS old, CASE WHEN s.call_id IS NULL THEN 'missing' WHEN s.revision <> i.expected_revision THEN 'revision_conflict'
-  WHEN i.content_hash IS NOT DISTINCT FROM s.content_hash AND i.duration IS NOT DISTINCT FROM s.duration AND i.source_type IS NOT DISTINCT FROM s.source_type THEN 'unchanged' ELSE 'updated' END AS outcome FROM incoming_calls i LEFT JOIN stored_calls s ON i.call_id = s.call_id)
-SELECT call_id, outcome, CASE WHEN outcome = 'updated' THEN old + 1 ELSE old END AS revision FROM x""")
+@query(TURNS + f""", x AS (SELECT i.call_id, nth, s.call_id IS NOT NULL AS there, s.revision AS old, coalesce(s.revision = i.expected_revision, false) AS meets, {SAME.format(a='i', b='s')} AS equal FROM i LEFT JOIN stored_calls s ON i.call_id = s.call_id),
+y AS (SELECT *, EXISTS (SELECT 1 FROM x e WHERE e.call_id = x.call_id AND e.nth < x.nth AND e.meets AND NOT e.equal) AS taken FROM x),
+z AS (SELECT *, CASE WHEN NOT there THEN 'missing' WHEN NOT meets OR taken THEN 'revision_conflict' WHEN equal THEN 'unchanged' ELSE 'updated' END AS outcome FROM y)
+SELECT call_id, outcome, old + CASE WHEN taken OR outcome = 'updated' THEN 1 ELSE 0 END AS revision FROM z""")
 def revision_update(spark, sf_dir):
-    return store.update(view(spark, sf_dir, "stored_calls"), view(spark, sf_dir, "incoming_calls"), "call_id", RECORD)
+    return store.update(view(spark, sf_dir, "stored_calls"), view(spark, sf_dir, "incoming_calls"), "call_id", RECORD, "arrived")
 
 
 # --- constraints -----------------------------------------------------------------------------------------------------
@@ -682,11 +698,6 @@ def contribution_violations(spark, sf_dir):
     return validation.contributions(held.withColumn("normalized_score", F.when(F.col("call_id") % 11 == 0, 0.5).otherwise(F.col("normalized_score"))))
 
 
-@query("SELECT source_type, count(*) AS files, count(DISTINCT content_hash) AS contents FROM stored_calls GROUP BY source_type")
-def cache_stats(spark, sf_dir):
-    return view(spark, sf_dir, "stored_calls").groupBy("source_type").agg(F.count("*").alias("files"), F.count_distinct("content_hash").alias("contents"))
-
-
 # --- more of calls ---------------------------------------------------------------------------------------------------
 
 
@@ -738,7 +749,7 @@ def section_append(spark, sf_dir):
     return calls.append_sections(held, rows.filter("section_id > 14"), sources)
 
 
-@query("""SELECT error_kind, CASE error_kind WHEN 'provider_timeout' THEN 504 WHEN 'provider_unavailable' THEN 503 WHEN 'repository_unavailable' THEN 503 ELSE 502 END AS http_status, count(*) AS errors FROM stage_errors GROUP BY error_kind""")
+@query("""SELECT error_kind, CASE WHEN error_kind LIKE '%_timeout' THEN 504 WHEN error_kind LIKE '%_unavailable' THEN 503 ELSE 502 END AS http_status, count(*) AS errors FROM stage_errors GROUP BY error_kind""")
 def http_status(spark, sf_dir):
     held = view(spark, sf_dir, "stage_errors").withColumn("f", orchestration.failure(F.col("error_kind")))
     return held.groupBy("error_kind", calls.http_status(F.col("f.retry"), F.col("f.reason")).alias("http_status")).agg(F.count("*").alias("errors"))

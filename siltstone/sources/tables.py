@@ -54,10 +54,10 @@ FROM page_classes""",
     # Rows of a master sheet that a run replaces in part.
     "master_rows": """
 SELECT p_brand AS brand, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN '' ELSE 'v2' END AS catalog_version, p_partkey AS item, p_retailprice AS price
-FROM part WHERE p_partkey % 2 = 0""",
+FROM part""",
     "new_rows": """
-SELECT p_brand AS brand, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN '' ELSE 'v2' END AS catalog_version, p_partkey AS item, p_retailprice * 2 AS price
-FROM part WHERE p_partkey % 10 = 1""",
+SELECT p_brand AS brand, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN '' ELSE concat('v', CAST(2 + p_size % 2 AS STRING)) END AS catalog_version, p_partkey AS item, p_retailprice * 2 AS price
+FROM part""",
     # Contract texts: documents with numbered headers put before some of their lines' first words.
     "contracts": """
 SELECT doc_id, concat('SERVICE AGREEMENT', chr(10), '1. ', replace(replace(text, '. The ', concat('.', chr(10), 'Section 2: The ')), '. In ', concat('. ARTICLE 3. In ')), chr(10), '4.1) Notices.') AS text
@@ -71,10 +71,10 @@ SELECT d.doc_id AS doc_id, CAST(d.doc_id % 3 AS INT) AS chunk_index,
   d.text AS text,
   CASE d.doc_id % 4 WHEN 0 THEN substr(d.text, 3, 40) WHEN 1 THEN replace(substr(d.text, 5, 50), ' ', concat(' ', chr(10), ' '))
     WHEN 2 THEN concat('never said ', substr(d.text, 1, 20)) ELSE '' END AS quoted_text
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id""",
     # Page texts of files; some hold scanned pages without text.
     "file_pages": """
-SELECT CAST(floor(page_id / 4.0) AS BIGINT) AS file_id, CAST(page_id % 4 AS INT) AS page_number, CASE WHEN page_id % 8 < 5 THEN substr(html, 1, CAST(page_id % 90 AS INT)) END AS text
+SELECT CAST(floor(page_id / 4.0) AS BIGINT) AS file_id, CAST(page_id % 4 AS INT) AS page_number, CASE WHEN page_id % 8 >= 4 AND page_id % 4 > 0 THEN NULL WHEN page_id % 8 = 4 THEN 'Scan' ELSE html END AS text
 FROM pages""",
     # Calls: transcript units with times, and speaker turns whose edges don't match them.
     "units": """
@@ -102,7 +102,7 @@ SELECT conv_id AS call_id, concat('ev-', CAST(conv_id AS STRING), '-', CAST(turn
   CASE (conv_id + 3 * turn) % 8 WHEN 0 THEN 'operator_override' WHEN 1 THEN 'human_confirmation' WHEN 2 THEN 'voice_identity_match' WHEN 3 THEN 'known_channel'
     WHEN 4 THEN 'known_seller_source' WHEN 5 THEN 'call_opening_heuristic' WHEN 6 THEN 'turn_pattern_heuristic' ELSE 'talk_time_heuristic' END AS evidence_type,
   CASE WHEN (conv_id * 7 + turn) % 5 < 3 THEN 'seller' ELSE 'customer' END AS suggested_role
-FROM conversations WHERE (conv_id + turn) % 3 <> 0""",
+FROM conversations""",
     # Rubric criteria by line number, and one evaluation of each for an order as the call.
     "criteria": """
 SELECT k AS criterion_order, concat('criterion-', CAST(k AS STRING)) AS criterion_id, CAST(k % 3 AS DOUBLE) + 1 AS scale_min, CAST(k % 3 + k + 1 AS DOUBLE) AS scale_max,
@@ -154,19 +154,106 @@ SELECT o_orderkey AS call_id, CASE o_orderkey % 8 WHEN 0 THEN 'received' WHEN 1
   CASE o_custkey % 3 WHEN 0 THEN 'role_assignment' WHEN 1 THEN 'evaluation' ELSE 'aggregation' END AS target
 FROM orders""",
     "stage_errors": """
-SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'provider_unavailable' WHEN 1 THEN 'provider_timeout' WHEN 2 THEN 'provider_request_failed' WHEN 3 THEN 'repository_unavailable' WHEN 4 THEN 'domain_error' ELSE 'unknown' END AS error_kind
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'provider_unavailable' WHEN 1 THEN 'provider_timeout' WHEN 2 THEN 'provider_request_failed' WHEN 3 THEN 'repository_unavailable' WHEN 4 THEN 'domain_error' ELSE CASE event_id % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'transcription_unavailable' WHEN 2 THEN 'diarization_timeout' WHEN 3 THEN 'evaluation_request_failed' ELSE 'evaluation_timeout' END END AS error_kind
 FROM events""",
     # A log of call statuses, from each user's events in order.
     "status_log": """
 SELECT user_id AS call_id, event_id, ts, CASE event_type WHEN 'view' THEN 'received' WHEN 'signup' THEN 'validated' WHEN 'click' THEN 'transcribed' WHEN 'purchase' THEN 'diarized' ELSE 'failed' END AS status
 FROM events""",
-    # Stored and incoming call records for idempotent writes.
+    # Stored and incoming call records for idempotent writes: the store has one a customer's first order, the batch all orders, so keys repeat.
     "stored_calls": """
-SELECT o_orderkey AS call_id, concat('h', CAST(o_custkey AS STRING)) AS content_hash, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS duration, o_orderpriority AS source_type, CAST(o_orderkey % 3 AS INT) + 1 AS revision
-FROM orders WHERE o_orderkey % 2 = 0""",
+SELECT o_custkey AS call_id, concat('h', CAST(o_custkey % 97 AS STRING)) AS content_hash, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE CAST(o_custkey % 50 AS DOUBLE) END AS duration, 'recorder_app' AS source_type, CAST(o_custkey % 3 AS INT) + 1 AS revision
+FROM orders WHERE o_orderdate < TIMESTAMP '1995-07-01 00:00:00' GROUP BY o_custkey""",
     "incoming_calls": """
-SELECT o_orderkey AS call_id, concat('h', CAST(o_custkey AS STRING)) AS content_hash, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 10 = 2 THEN o_totalprice + 1 ELSE o_totalprice END AS duration, o_orderpriority AS source_type, CAST(o_orderkey % 4 AS INT) AS expected_revision
-FROM orders WHERE o_orderkey % 3 = 0""",
+SELECT o_custkey AS call_id, o_orderkey AS arrived, concat('h', CAST(o_custkey % 97 AS STRING)) AS content_hash, CASE WHEN o_custkey % 4 = 0 THEN NULL WHEN o_orderkey % 5 = 2 THEN CAST(o_custkey % 50 AS DOUBLE) + 1 ELSE CAST(o_custkey % 50 AS DOUBLE) END AS duration, 'recorder_app' AS source_type,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST((o_custkey + o_orderkey % 2) % 3 AS INT) + 1 END AS expected_revision
+FROM orders""",
+    # Cached answers by stage, and those of a later run; keys repeat in both.
+    "cache_entries": """
+SELECT CASE event_type WHEN 'view' THEN 'classify' ELSE 'extract' END AS stage, concat('p', CAST(user_id AS STRING)) AS page_hash, event_type AS ctx, concat('{"rows": ', CAST(event_id AS STRING), '}') AS result, event_id AS written FROM events WHERE event_type IN ('view', 'click')""",
+    "fresh_entries": """
+SELECT CASE event_type WHEN 'view' THEN 'classify' ELSE 'extract' END AS stage, concat('p', CAST(user_id % 500 AS STRING)) AS page_hash, CASE event_type WHEN 'signup' THEN 'view' ELSE event_type END AS ctx, concat('{"rows": ', CAST(event_id * 2 AS STRING), '}') AS result, event_id AS written FROM events WHERE event_type NOT IN ('view', 'click')""",
+    # All fields of an extractor.
+    "extracted": """
+SELECT r.row_ordinal AS row_ordinal, r.brand AS brand, r.catalog_version AS catalog_version, r.sku AS sku, r.model_name AS model_name, r.category AS category, r.source_page AS source_page, r.list_price AS list_price, r.width_mm AS width_mm,
+  concat(CAST(p.p_size AS STRING), ' cm') AS depth_mm, CASE WHEN p.p_size % 2 = 0 THEN concat(CAST(p.p_size AS STRING), ',', CAST(p.p_size AS STRING)) END AS height_mm, concat(CAST(p.p_size AS STRING), '.5 kg') AS net_weight_kg,
+  CASE WHEN p.p_size % 5 = 0 THEN 'n/a' ELSE concat(CAST(p.p_size AS STRING), ' kg') END AS gross_weight_kg, concat('1,', CAST(100 + p.p_size AS STRING), ' L') AS volume_l, concat('-', CAST(p.p_size AS STRING)) AS power_consumption_w,
+  concat(' 230  V / ', CAST(p.p_size AS STRING), ' Hz ') AS power_supply, CASE WHEN p.p_size % 3 = 0 THEN ' ' ELSE 'R290' END AS refrigerant_gas, concat('A', chr(9), '+') AS energy_class, 'EUR' AS currency, CASE WHEN p.p_size % 4 = 0 THEN 'see page' END AS notes
+FROM raw_products r JOIN part p ON r.row_ordinal = p.p_partkey""",
+    # Confidence metrics, some without a name, of an unknown scale, or out of their range.
+    "metric_records": """
+SELECT l_orderkey AS call_id, l_linenumber AS metric_order, CASE WHEN l_partkey % 13 = 0 THEN concat(' ', chr(9)) ELSE 'avg_logprob' END AS name, CASE l_suppkey % 4 WHEN 0 THEN 'zero_to_one' WHEN 1 THEN 'percentage' WHEN 2 THEN 'unspecified' ELSE 'percent' END AS scale,
+  CASE WHEN l_partkey % 17 = 0 THEN NULL WHEN l_suppkey % 4 = 0 THEN l_quantity / 45 ELSE l_quantity * 3 - 20 END AS value FROM lineitem""",
+    # What transcripts and diarizations claim, of calls with and without content.
+    "speech_claims": """
+SELECT DISTINCT conv_id AS call_id, conv_id % 11 = 0 AS transcript_no_speech, conv_id % 13 = 0 AS diarization_no_speech FROM conversations
+UNION ALL SELECT -c_custkey, c_custkey % 2 = 0, c_custkey % 3 = 0 FROM customer""",
+    "aligned_units": """
+SELECT l_orderkey AS call_id, l_linenumber AS unit_order, CASE WHEN l_partkey % 5 = 0 THEN 'ambiguous' WHEN l_partkey % 7 = 0 THEN 'unassigned' ELSE 'assigned' END AS status, l_suppkey % 4 = 0 AS overlapping, CASE WHEN l_suppkey % 3 = 0 THEN 'segment_level' ELSE 'word_level' END AS method FROM lineitem""",
+    "alignment_claims": """
+SELECT o_orderkey AS call_id, concat_ws(',', CASE WHEN o_custkey % 2 = 0 THEN 'unassigned_content_present' END, CASE WHEN o_custkey % 3 = 0 THEN 'ambiguous_content_present' END, CASE WHEN o_custkey % 5 < 3 THEN 'overlapping_speech_present' END,
+  CASE WHEN o_custkey % 7 < 5 THEN 'segment_level_fallback_used' END, CASE WHEN o_custkey % 11 < 5 THEN 'mixed_alignment_methods' END, CASE WHEN o_custkey % 13 < 7 THEN 'partial_alignment' END, CASE WHEN o_custkey % 17 = 0 THEN 'no_transcript_speech' END) AS flags FROM orders
+UNION ALL SELECT -c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'no_transcript_speech' WHEN 1 THEN 'no_transcript_speech,partial_alignment' ELSE '' END FROM customer""",
+    # Turns, some of them wrong: without length, out of order, there twice, of no speaker.
+    "reported_turns": """
+SELECT call_id, turn_order, CASE WHEN (call_id + turn_order) % 23 = 0 THEN 'Anna' ELSE speaker_label END AS speaker_label, start_seconds - CASE WHEN (call_id + turn_order) % 17 = 0 THEN 500 ELSE 0 END AS start_seconds, CASE WHEN (call_id + turn_order) % 19 = 0 THEN start_seconds - 600 ELSE end_seconds END AS end_seconds FROM turns
+UNION ALL SELECT call_id, turn_order + 1000, speaker_label, start_seconds, end_seconds FROM turns WHERE turn_order = 1""",
+    "turn_claims": """
+SELECT DISTINCT conv_id AS call_id, concat_ws(',', CASE WHEN conv_id % 9 = 0 THEN 'no_speech_segments' END, CASE WHEN conv_id % 5 = 0 THEN 'single_speaker_detected' END, CASE WHEN conv_id % 2 = 0 THEN 'overlapping_speech_detected' END) AS flags FROM conversations
+UNION ALL SELECT -c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'no_speech_segments' ELSE 'single_speaker_detected' END FROM customer""",
+    "normalized_artifacts": """
+SELECT o_orderkey AS artifact_id, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE concat('call-', CAST(o_orderkey AS STRING)) END AS call_id, CASE WHEN o_custkey % 13 = 0 THEN NULL ELSE concat('/audio/', CAST(o_orderkey AS STRING), '.wav') END AS storage_path, CASE WHEN o_custkey % 17 = 0 THEN '' ELSE concat('h', CAST(o_custkey AS STRING)) END AS content_hash,
+  CASE WHEN o_custkey % 5 = 0 THEN CAST(o_custkey % 3 AS INT) END AS exact_speakers, CASE WHEN o_custkey % 4 = 0 THEN CAST(o_orderkey % 4 AS INT) END AS min_speakers, CASE WHEN o_custkey % 6 = 0 THEN CAST(o_orderkey % 3 AS INT) END AS max_speakers,
+  o_custkey % 2 = 0 AS word_timestamps, o_custkey % 3 = 0 AS vad_filter, o_orderkey % 5 < 2 AS language_detected
+FROM orders""",
+    # A transcriber's raw answers, some of no use.
+    "asr_payloads": """
+SELECT o_orderkey AS call_id, CASE o_orderkey % 12 WHEN 0 THEN '{"segments": "x"}' WHEN 1 THEN '[1]' WHEN 2 THEN 'broken {' WHEN 3 THEN '{"segments": [{"text": 5, "start": 0, "end": 1}]}' WHEN 4 THEN '{"segments": [{"text": "a", "start": true, "end": 1}]}'
+  WHEN 5 THEN '{"segments": null, "info": {"language": "en"}}' WHEN 6 THEN '{"segments": [], "info": {"language": " "}}' WHEN 7 THEN '{"segments": [{"text": "a", "start": 0, "end": 1, "words": [{"start": 1}]}]}' WHEN 8 THEN '{"segments": [{"text": "a", "start": 0.5, "end": 1, "avg_logprob": "low"}]}'
+  ELSE concat('{"segments": [{"text": "t', CAST(o_custkey AS STRING), '", "start": ', CAST(o_orderkey % 7 AS STRING), ', "end": ', CAST(o_orderkey % 7 AS STRING), '.75, "avg_logprob": -0.5, "words": [{"word": "a", "start": 0.25, "end": 0.5}, {"text": "b", "probability": null}]}, {"text": "", "start": 8, "end": 9.5, "words": null}], "info": {"language": "de", "language_probability": 0.5}}') END AS payload FROM orders""",
+    # Knowledge as it's handed in.
+    "source_records": """
+SELECT s_suppkey AS record, CASE WHEN s_suppkey % 7 = 0 THEN concat('bad id ', CAST(s_suppkey AS STRING)) ELSE concat('source-', CAST(s_suppkey AS STRING)) END AS source_id, CASE WHEN s_suppkey % 11 = 0 THEN chr(9) ELSE s_name END AS title, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_nationkey - 1 END AS publication_year,
+  CASE s_nationkey % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'en-US' WHEN 2 THEN 'EN' WHEN 3 THEN 'deu' ELSE 'pt-br' END AS language, CASE WHEN s_suppkey % 3 = 0 THEN 'ABC' ELSE concat('0123456789abcdef0123456789abcdef0123456789abcdef0123456789abcd', lpad(CAST(s_suppkey % 100 AS STRING), 2, '0')) END AS content_hash,
+  concat(CAST(s_suppkey % 3 AS STRING), CASE WHEN s_suppkey % 4 = 0 THEN '.01.' ELSE '.1.' END, CAST(s_nationkey AS STRING)) AS version FROM supplier""",
+    "section_records": """
+SELECT c_custkey AS record, CASE WHEN c_custkey % 13 = 0 THEN concat(' ', chr(10)) ELSE c_name END AS text, c_nationkey - 1 AS ordinal, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey END AS page_start, CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey + CAST(c_custkey % 7 AS INT) - 2 END AS page_end FROM customer""",
+    "criterion_records": """
+SELECT p_partkey AS criterion_id, p_size % 4 <> 0 AS evidence_required, p_size % 3 <> 0 AS timestamps_required, p_size % 5 - 1 AS minimum_spans, CASE WHEN p_partkey % 2 = 0 THEN 'source_backed' ELSE 'organization_defined' END AS origin, CAST(p_size % 9 AS DOUBLE) - 0.5 AS weight,
+  CASE p_partkey % 3 WHEN 0 THEN 'draft' WHEN 1 THEN 'approved' ELSE 'retired' END AS status, concat(CAST(p_size AS STRING), CASE WHEN p_size % 6 = 0 THEN '.0' ELSE '.0.1' END) AS version FROM part""",
+    "criterion_citations": """
+SELECT l_partkey AS criterion_id, l_suppkey % 5 AS source_id, l_linenumber AS section_id, CASE WHEN l_suppkey % 2 = 0 THEN CAST(l_suppkey % 9 AS INT) END AS page_start, CASE WHEN l_suppkey % 2 = 0 THEN CAST(l_suppkey % 9 AS INT) END AS page_end FROM lineitem WHERE l_returnflag = 'R'""",
+    "judged": """
+SELECT call_id, criterion_order, status, CASE WHEN call_id % 13 = 0 THEN 1.0 ELSE score END AS score, spans, absence, human_review_required, CASE WHEN human_review_required AND call_id % 7 <> 0 THEN CASE WHEN call_id % 5 = 0 THEN 'ambiguous_speaker_role' ELSE 'provider_uncertainty' END WHEN call_id % 17 = 0 THEN 'conflicting_evidence' END AS review_reason,
+  CASE WHEN call_id % 19 = 0 THEN 'seller_role_unresolved' WHEN status = 'scored' THEN CASE WHEN absence THEN 'supported_by_absence_evidence' ELSE 'supported_by_transcript_evidence' END WHEN status = 'not_applicable' THEN CASE WHEN call_id % 3 = 0 THEN 'no_valid_evidence' ELSE 'call_context_not_applicable' END ELSE 'insufficient_evidence_spans' END AS reason,
+  call_id % 6 = 0 AS unknown_role, call_id % 8 = 0 AS warned FROM evaluations""",
+    "evaluation_claims": """
+SELECT o_orderkey AS call_id, concat_ws(',', CASE WHEN o_custkey % 2 = 0 THEN 'absence_evidence_used' END, CASE WHEN o_custkey % 3 = 0 THEN 'all_criteria_scored' END, CASE WHEN o_custkey % 5 < 3 THEN 'human_review_required' END, CASE WHEN o_custkey % 7 < 5 THEN 'insufficient_evidence_present' END,
+  CASE WHEN o_custkey % 11 < 5 THEN 'not_applicable_criteria_present' END, CASE WHEN o_custkey % 13 < 7 THEN 'partial_evaluation' END, CASE WHEN o_orderkey % 8 = 0 THEN 'provider_warning' END) AS flags FROM orders""",
+    "listed_spans": """
+SELECT conv_id AS call_id, CAST(turn % 3 AS INT) + 1 AS criterion_order, turn AS place, CAST(turn AS INT) - CASE WHEN turn % 5 = 0 THEN 4 WHEN turn % 7 >= 3 THEN 3 ELSE 0 END AS segment_order, CASE WHEN conv_id % 2 = 0 THEN CAST(conv_id % 4 AS INT) END AS word_start, CASE WHEN conv_id % 2 = 0 THEN CAST(conv_id % 4 AS INT) + 2 END AS word_end,
+  CASE WHEN conv_id % 3 = 0 OR role = 'user' THEN 'SPEAKER_00' ELSE 'SPEAKER_01' END AS speaker_label, CASE WHEN conv_id % 3 = 0 OR role = 'user' THEN 'customer' ELSE 'seller' END AS speaker_role FROM conversations""",
+    "role_results": """
+SELECT o_orderkey AS call_id, concat('SPEAKER_0', CAST(o_custkey % 3 AS STRING)) AS speaker_label, concat('e', CAST(o_custkey % 6 AS STRING), ',e', CAST(o_orderkey % 5 AS STRING)) AS supporting, CASE WHEN o_custkey % 4 = 0 THEN '' WHEN o_custkey % 9 = 0 THEN NULL ELSE concat('e', CAST(o_orderkey % 7 AS STRING), ',e9') END AS conflicting FROM orders""",
+    "score_records": """
+SELECT o_orderkey AS score_key, o_orderkey AS call_id, o_orderkey - CASE WHEN o_custkey % 17 = 0 THEN 1 ELSE 0 END AS key_call_id, concat('rubric-', CAST(o_custkey % 4 AS STRING)) AS rubric_id, concat('rubric-', CAST(o_custkey % 4 + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS STRING)) AS key_rubric_id,
+  '1.0.0' AS rubric_version, CASE WHEN o_orderkey % 11 = 0 THEN '1.0.1' ELSE '1.0.0' END AS key_rubric_version, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE 'f0' END AS fingerprint, 'f0' AS key_fingerprint, CASE WHEN o_orderkey % 5 = 0 THEN 'a,c,b' ELSE 'a,b,c' END AS criteria FROM orders""",
+    "score_rubrics": """
+SELECT concat('rubric-', CAST(r_regionkey AS STRING)) AS rubric_id, 'a,b,c' AS criteria FROM region WHERE r_regionkey < 4""",
+    "contribution_records": """
+SELECT call_id, criterion_order, status, CAST(criterion_order AS DOUBLE) / 2 - CASE WHEN call_id % 29 = 0 THEN 4 ELSE 0 END AS weight, score AS raw_score, CASE WHEN call_id % 11 = 0 THEN NULL ELSE score / 8 END AS normalized_score, CASE WHEN call_id % 7 = 0 THEN 0.5 ELSE score / 8 * criterion_order / 2 END AS weighted_points, reason, human_review_required, review_reason FROM judged""",
+    # Requests to the service and to the pipeline, and what runs reported.
+    "api_requests": """
+SELECT o_orderkey AS request, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'a/b' WHEN 2 THEN '-x' WHEN 3 THEN concat('call', chr(10)) ELSE concat('call-', CAST(o_orderkey AS STRING)) END AS call_id, CASE o_custkey % 5 WHEN 0 THEN '1.2' WHEN 1 THEN '01.2.3' WHEN 2 THEN NULL ELSE '10.0.3' END AS rubric_version,
+  CASE o_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '0123456789ABCDEF0123456789abcdef0123456789abcdef0123456789abcdef' ELSE '0123456789abcdef0123456789abcdef0123456789abcdef0123456789abcdef' END AS content_hash, CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'LOW VOLUME' ELSE 'LOW_VOLUME' END AS warning_code FROM orders""",
+    "run_requests": """
+SELECT o_orderkey AS request, CASE WHEN o_orderkey % 23 = 0 THEN 'a b' ELSE concat('call-', CAST(o_orderkey AS STRING)) END AS call_id, CASE o_custkey % 4 WHEN 0 THEN 'role_assignment' WHEN 1 THEN 'evaluation' WHEN 2 THEN 'aggregation' ELSE CASE WHEN o_custkey % 8 = 3 THEN 'publication' ELSE 'evaluation' END END AS target,
+  CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'r 1' ELSE 'rubric-1' END AS rubric_id, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '1.0' ELSE '1.0.0' END AS rubric_version FROM orders""",
+    "run_results": """
+SELECT o_orderkey AS request, CASE o_custkey % 3 WHEN 0 THEN 'role_assignment' WHEN 1 THEN 'evaluation' ELSE 'aggregation' END AS target,
+  concat('transcription,diarization,alignment,role_assignment', CASE WHEN o_custkey % 3 + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END > 0 THEN ',evaluation' ELSE '' END, CASE WHEN o_custkey % 3 > 1 THEN ',aggregation' ELSE '' END) AS stages,
+  CASE WHEN o_orderkey % 4 > 0 THEN concat('e', CAST(o_orderkey AS STRING)) END AS evaluation_key, CASE WHEN o_orderkey % 5 > 1 THEN concat('s', CAST(o_orderkey AS STRING)) END AS score_key, CASE WHEN o_orderkey % 7 > 0 THEN concat('e', CAST(o_orderkey AS STRING)) END AS score_evaluation_key,
+  CASE WHEN o_custkey % 5 = 0 THEN 'LOW_VOLUME' WHEN o_custkey % 5 = 1 THEN '' END AS warnings, CASE WHEN o_custkey % 10 < 6 THEN 'warnings_present' ELSE '' END AS flags FROM orders""",
 }
 
 
@@ -207,4 +294,6 @@ def with_views(sql: str, *names: str) -> str:
     if not heads:
         return sql.strip()
     body = sql.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     return f"WITH {heads}, {body[5:]}" if body.startswith("WITH ") else f"WITH {heads} {body}"

@@ -59,9 +59,11 @@ def write(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A path of its own in the folder that driver and executors share; a temporary one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    return f"{shared.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    """A path of its own in the folder that driver and executors share; a temporary one only where that is unset and they're one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='siltstone-')).rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame) -> DataFrame:

@@ -93,3 +93,68 @@ def test_versioned_store(spark, tmp_path):
     assert held.commit(spark.range(3), 0) and held.read().count() == 3
     assert not held.commit(spark.range(9), 0)
     assert held.commit(spark.range(5), 1) and held.read().count() == 5 and held.read(1).count() == 3
+
+
+def test_racing_commits_keep_the_winner(spark, tmp_path, monkeypatch):
+    """Two writers build on one version: the first to claim it wins, the other changes nothing that can be read."""
+    path = f"file://{tmp_path}/r"
+    held, other = store.VersionedStore(spark, path), store.VersionedStore(spark, path)
+    assert held.commit(spark.range(2), 0)
+    claim = store.VersionedStore._claim
+
+    def late(self, version, name):
+        if self is other:
+            monkeypatch.setattr(store.VersionedStore, "_claim", claim)
+            assert held.commit(spark.range(7), 1)  # between the other's write and its claim
+        return claim(self, version, name)
+
+    monkeypatch.setattr(store.VersionedStore, "_claim", late)
+    assert not other.commit(spark.range(99), 1)
+    assert held.version() == 2 and held.read().count() == 7 and held.read(1).count() == 2
+    assert sum(1 for p in (tmp_path / "r").iterdir() if p.name.startswith("data-") and p.is_dir()) == 2
+
+
+def test_keyed_writes_take_rows_of_one_key_in_turn(spark):
+    stored = spark.createDataFrame([("a", 1, 1), ("b", 2, 4)], "k string, x int, revision int")
+    batch = spark.createDataFrame([("a", 1, 1), ("a", 5, 2), ("c", 7, 3), ("c", 7, 4), ("c", 8, 5), (None, 1, 6)], "k string, x int, at int")
+    got = sorted((r["k"] or "", r["outcome"]) for r in store.insert_if_absent(stored, batch, "k", ("x",), "at").collect())
+    assert got == [("", "inserted"), ("a", "conflict"), ("a", "unchanged"), ("c", "conflict"), ("c", "inserted"), ("c", "unchanged")]
+    after = [(r["k"], r["x"], r["revision"]) for r in store.upsert(stored, batch.filter("k IS NOT NULL"), "k", "at").collect()]
+    assert sorted(after) == [("a", 1, 1), ("b", 2, 4), ("c", 7, 1)]
+    updates = spark.createDataFrame([("a", 9, None, 1), ("b", 2, 4, 2), ("b", 3, 4, 3), ("b", 5, 4, 4), ("z", 1, 1, 5), ("a", 9, 2, 6)], "k string, x int, expected_revision int, at int")
+    rows = [(r["k"], r["outcome"], r["revision"]) for r in store.update(stored, updates, "k", ("x",), "at").collect()]
+    assert sorted(rows, key=str) == sorted([("a", "revision_conflict", 1), ("b", "unchanged", 4), ("b", "updated", 5), ("b", "revision_conflict", 5), ("z", "missing", None), ("a", "revision_conflict", 1)], key=str)
+
+
+def test_lookups(spark):
+    stored = spark.createDataFrame([("a", 1), ("b", 2)], "k string, x int")
+    keys = spark.createDataFrame([("b",), ("q",), ("b",)], "k string")
+    assert sorted((r["k"], r["x"] or 0, r["found"], r["error"] or "") for r in store.get(stored, keys, "k").collect()) == [("b", 2, True, ""), ("b", 2, True, ""), ("q", 0, False, "not_found")]
+    assert [tuple(r) for r in store.find(stored, "k", "a").collect()] == [("a", 1)] and store.find(stored, "k", "zz").count() == 0
+
+
+def test_point_lookup_reaches_the_files(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 7 AS x").write.parquet(f"{tmp_path}/t")
+    plan = store.find(spark.read.parquet(f"{tmp_path}/t"), "id", 5)._jdf.queryExecution().toString()
+    assert "EqualTo(id,5)" in plan
+
+
+def test_blanks_and_whole_matches(spark):
+    from siltstone.operators import validation
+
+    df = spark.createDataFrame([("\t",), (" \n",), ("x",), (None,), ("",), ("x\n",)], "c string").select(validation.blank("c").alias("b"), validation.is_("c", validation.SAFE_ID).alias("i"))
+    assert [(r["b"], r["i"]) for r in df.collect()] == [(True, False), (True, False), (False, True), (True, False), (True, False), (False, False)]
+
+
+def test_legal_status_changes(spark):
+    """The allowed changes, one by one."""
+    want = {("received", "validated"), ("received", "rejected"), ("received", "failed"), ("validated", "transcribed"), ("validated", "failed"), ("transcribed", "diarized"), ("transcribed", "failed"), ("diarized", "roles_assigned"), ("diarized", "failed"), ("roles_assigned", "evaluated"), ("roles_assigned", "failed")}
+    names = ("received", "validated", "transcribed", "diarized", "roles_assigned", "evaluated", "rejected", "failed", "unknown")
+    df = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string").filter(orchestration.legal(F.col("a"), F.col("b")))
+    assert {tuple(r) for r in df.collect()} == want
+
+
+def test_score_sums_do_not_depend_on_order(spark):
+    rows = [(1, float(v)) for v in [1e8, 0.1, -1e8, 0.2, 0.3] * 50]
+    sums = {spark.createDataFrame(rows[::d], "k int, x double").repartition(n).groupBy("k").agg(scoring.exact_sum("x").alias("s")).first()["s"] for d in (1, -1) for n in (1, 3, 7)}
+    assert sums == {30.0}

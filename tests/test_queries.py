@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from rows import counted
-from siltstone.plans import catalogue
+from siltstone.plans import catalogue, records  # noqa: F401  records adds its queries
 
 SF = "/root/testdata/sf0.001"
 

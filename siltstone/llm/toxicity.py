@@ -1,9 +1,10 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
 
-A text's words, and runs of three of them that share one word with the next (``SPANS``), are windows, with white space around. Both
-dictionaries compress it; the bytes that the toxic one saves over the ordinary one are the window's gain. A document is
-told by its greatest gain and by how many of its windows gain at least each of ``THRESHOLDS`` bytes, in number and as a
-share, for either length of window; a logistic calibration turns that into a score.
+Every word of a text, with white space around it, is a window, and so is every word that gains anything together with
+its neighbours (``BESIDE`` on either side). Both dictionaries compress a window; the bytes that the toxic one saves over
+the ordinary one are its gain. A document is told by its greatest gain and by how many of its windows gain at least each
+of ``THRESHOLDS`` bytes, in number and as a share of its words, for words alone and for words in context; a logistic
+calibration turns that into a score.
 
 Windows are short, so three things keep their compressed lengths apart: both dictionaries are raw content without
 entropy tables and start with the same ordinary text, to which the toxic one adds what was trained on toxic windows;
@@ -45,12 +46,12 @@ SAMPLE, SAMPLE_CHARS = 3000, 50_000
 CACHE = 400_000
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 8192
 THRESHOLDS = (2, 3, 4, 6)
-#: Words of a window, and characters of a word.
-SPANS, LONGEST = (1, 3), 64
+#: Words beside one that gains, and characters of a word.
+BESIDE, LONGEST = 1, 64
 #: How far (in standard errors) a word's share of toxic documents must be above its share of ordinary ones.
 STANDS_OUT = 4.0
 #: Folds of the training sample, and how much more a toxic document counts in the calibration than an ordinary one.
-FOLDS, TOXIC_WEIGHT = 5, 3.0
+FOLDS, TOXIC_WEIGHT = 5, 2.0
 LEVEL = 3
 CARRIER = b"0123456789_=+/ABCDEFGHIJ"
 EDGES = ".,;:!?\"'()[]"
@@ -84,14 +85,12 @@ class Gains(dict):
         found = self[word] = len(self.plain(window)) - len(self.foul(window))
         return found
 
-    def of(self, words: list[str], span: int) -> Counter:
-        """How many windows of span words have each gain. Of longer windows each shares its last word with the next."""
-        if span == 1:
-            return Counter(map(self.__getitem__, words))
-        plain, foul = self.plain, self.foul
-        held = [w.encode("utf-8", "surrogatepass") for w in words]
-        windows = (b" " + b" ".join(held[i : i + span]) + b" " + CARRIER for i in range(0, len(held), span - 1))
-        return Counter(len(plain(w)) - len(foul(w)) for w in windows)
+    def of(self, words: list[str]) -> tuple[Counter, Counter]:
+        """How many words have each gain, alone, and in context if they gain anything."""
+        alone = [self[w] for w in words]
+        around = [words[max(0, i - BESIDE) : i + BESIDE + 1] for i, g in enumerate(alone) if g >= THRESHOLDS[0]]
+        windows = (f" {' '.join(ws)} ".encode("utf-8", "surrogatepass") + CARRIER for ws in around)
+        return Counter(alone), Counter(len(self.plain(w)) - len(self.foul(w)) for w in windows)
 
 
 def words_of(text: str) -> list[str]:
@@ -105,14 +104,11 @@ def words_of(text: str) -> list[str]:
 def features(gains: Gains, text: str) -> tuple[list[float], int, int]:
     """What the calibration sees, the number of words and the greatest gain of a word."""
     words = words_of(text)
-    out, first = [1.0], 0
-    for span in SPANS:
-        found = gains.of(words, span)
-        n, top = max(1, found.total()), max(found, default=0)
-        first = top if span == SPANS[0] else first
-        counts = [sum(c for g, c in found.items() if g >= t) for t in THRESHOLDS]
-        out += [max(0, min(top, 12)) / 10, *(math.log1p(c) for c in counts), *(math.log1p(100 * c / n) for c in counts)]
-    return out, len(words), first
+    out, found = [1.0], gains.of(words)
+    for held in found:
+        counts = [sum(c for g, c in held.items() if g >= t) for t in THRESHOLDS]
+        out += [max(0, min(max(held, default=0), 12)) / 10, *(math.log1p(c) for c in counts), *(math.log1p(100 * c / max(1, len(words))) for c in counts)]
+    return out, len(words), max(found[0], default=0)
 
 
 def _dictionaries(toxic: list[str], ordinary: list[str]) -> Model | None:

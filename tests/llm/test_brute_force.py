@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rows import counted
-from siltstone.llm import bagminhash, curriculum, html_extract, line_quality, packing, suffix_dedup, vamana, warc
+from siltstone.llm import bagminhash, curriculum, html_extract, line_quality, packing, suffix_dedup, toxicity, vamana, warc
 from siltstone.llm.queries import ORACLES, QUERIES, TOKENIZER
 from siltstone.llm.suffix_array import suffix_array
 
@@ -194,6 +194,21 @@ def test_toxicity_held_out(spark):
     assert np.mean([r["predicted"] for r in rows if r["toxic"] == 1 and r["lang"] == "en"]) >= 0.7
 
 
+def test_toxicity_held_out_by_language(spark):
+    """With ten times the labels: toxic documents of every language are found, clean ones left alone."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = QUERIES["op1_toxicity"](spark, sf).join(labels, "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    share = lambda toxic, lang=None: np.mean([r["predicted"] for r in rows if r["toxic"] == toxic and lang in (None, r["lang"])])
+    assert share(1) >= 0.8 and share(0) <= 0.01
+    assert all(share(1, lang) >= 0.5 and share(0, lang) <= 0.03 for lang in ("en", "de", "fr", "es"))
+
+
+def test_toxicity_of_texts_without_spaces(spark):
+    """Words are cut at one length, so a text without white space is judged by its pieces like any other."""
+    assert toxicity.words_of("x" * 130 + " Y") == ["x" * 64, "x" * 64, "xx", "y"]
+
+
 def test_line_quality(spark):
     """The base counts by the contract's own words; the method's verdict against labels."""
     quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{MORE}/labels.parquet").collect()}

@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.sources.shipping import ship
-from siltstone.llm.common import WORD, cut, drop, drop_path, shared_path
+from siltstone.llm.common import WORD, cut, drop, drop_path, narrow, shared_path
 from siltstone.llm.suffix_dedup import Rolling, mixed
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -260,7 +260,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         fresh = shared_path(spark, "stars")
-        small.filter(F.col("a") != F.col("b")).distinct().write.parquet(fresh)
+        narrow(small.filter(F.col("a") != F.col("b")).distinct()).write.parquet(fresh)
         edges = spark.read.schema(small.schema).parquet(fresh)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if path:
@@ -373,7 +373,7 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> tu
     texts = cut(zipped(docs, shared.select("node").distinct()), "texts")
     few = shared.filter(F.col("n") <= SMALL)
     pairs = few.select("band", F.col("node").alias("a")).join(few.select("band", F.col("node").alias("b")), "band").filter("a < b")
-    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
+    pairs = cut(narrow(pairs.select("a", "b").distinct()), "pairs")
     found = cut(verified(pairs, texts, threshold), "links")
     drop(pairs)
     edges = found
@@ -383,21 +383,21 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> tu
         unit = BLOCK_SIZE // BLOCK
         before = F.sum(F.col("size") + unit).over(W.partitionBy("band").orderBy("size", "node").rowsBetween(W.unboundedPreceding, -1))
         placed = many.join(texts.select("node", "size"), "node").withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_SIZE).cast("long"))
-        placed = cut(placed, "blocks")
+        placed = cut(narrow(placed), "blocks")
         sizes = placed.groupBy("band", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
         other = sizes.select("band", F.col("block").alias("j"), F.col("least").alias("from"))
         cells = sizes.withColumnRenamed("block", "i").join(other, "band").filter((F.col("i") <= F.col("j")) & (F.col("most") >= (threshold - 1e-9) * F.col("from")))
         cells = cells.select("band", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
         large = placed.groupBy("node").agg(F.collect_list("band").alias("large"))
         own = cut(texts.select("node", "zipped").join(large, "node").join(nodes, "node"), "members")
-        cells = cut(cells, "cells")
+        cells = cut(narrow(cells), "cells")
         held = placed.select("band", "block", "node").join(cells, ["band", "block"]).join(own, "node")
         more = cut(cell_links(held.select("band", "i", "j", "block", "node", "zipped", "bands", "large"), threshold), "cell_links")
         drop(placed, own, cells)
         edges = edges.unionByName(more.filter("b IS NOT NULL").select("a", "b"))
         degree = degree.unionByName(more.filter("b IS NULL").select(F.col("a").alias("node"), "n"))
     drop(shared, texts)
-    roots = spark.createDataFrame([], "node binary, root binary") if edges.isEmpty() else cut(components(edges), "roots")
+    roots = spark.createDataFrame([], "node binary, root binary") if edges.isEmpty() else cut(narrow(components(edges)), "roots")
     return degree.groupBy("node").agg(F.sum("n").alias("n_links")), roots
 
 
@@ -408,13 +408,13 @@ def resolved(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     degree, roots = links(nodes.select("node", "bands"), docs, threshold)
     named = nodes.select("node", "least").join(roots, "node", "left").join(degree, "node", "left")
     named = named.select("node", "least", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return drawn.select("doc_id", "text_key", "node"), cut(named, "named")
+    return drawn.select("doc_id", "text_key", "node"), cut(narrow(named), "named")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id, n_links (all verified links of its text to different texts, each text once)."""
     drawn, named = resolved(docs, threshold)
-    first = cut(named.groupBy("root").agg(F.min("least").alias("class_id")), "first")  # written, so that the join with it splits
+    first = cut(narrow(named.groupBy("root").agg(F.min("least").alias("class_id"))), "first")  # written, so that the join with it splits
     named = named.join(first, "root").select("node", "class_id", "n_links")
     out = drawn.select("doc_id", "node").join(named, "node", "left")
     alone = F.when(F.col("node").isNull(), F.col("doc_id"))
@@ -429,7 +429,7 @@ def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # By root, id and text: a row each, with the number of rows that are equal in all of it.
     rows = held.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n")).alias("pick"))
-    first = cut(first.select(F.col("pick.doc_id").alias("_pick_id"), F.col("pick.text_key").alias("_pick_key"), F.col("pick.n").alias("_pick_n")), "kept")
+    first = cut(narrow(first).select(F.col("pick.doc_id").alias("_pick_id"), F.col("pick.text_key").alias("_pick_key"), F.col("pick.n").alias("_pick_n")), "kept")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     own = own.withColumn("_key", text_key(F.col("_text")))
     same = F.col("_id").eqNullSafe(F.col("_pick_id")) & (F.col("_key") == F.col("_pick_key"))

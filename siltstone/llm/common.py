@@ -55,6 +55,11 @@ def _leave(spark: SparkSession, path: str) -> None:
         drop_path(spark, path)
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """df in an eighth of the shuffle partitions, sixteen at least: for rows of a few dozen bytes, whose files would be tiny."""
+    return df.coalesce(max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it again. Lost executors lose nothing of it."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, n_words
+from siltstone.llm.common import cut, n_words, narrow
 
 #: Weights by the source's place in code point order, again and again.
 WEIGHTS = (5, 2, 1)
@@ -171,7 +171,7 @@ def mix(docs: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SC
     place = lambda *by: (F.row_number().over(W.partitionBy(*key).orderBy(*by)) if again else F.lit(1))
     took = took.withColumn("_place", place("_at")).filter("copies > 0")
     took = took.withColumn("_positions", F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: copy_position(c, schedules)))
-    took = cut(took.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], "_place", "_positions"), "positions")
+    took = cut(narrow(took).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], "_place", "_positions"), "positions")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = took.select(F.explode("_positions").alias("p")).agg(F.percentile_approx("p", [k / parts for k in range(1, parts)] or [1.0], 10 * parts)).first()[0]  # a number a partition
     row = F.struct(*[F.col(f"`{c}`") for c in names])

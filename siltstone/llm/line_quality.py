@@ -9,8 +9,8 @@ The model is trained on a bounded sample of labelled documents (``SAMPLE`` rows
 at most ``SAMPLE_CHARS`` characters; never held-out ids). Labels are of documents, not lines, so two things make line
 labels of them. Training documents are also mixed from runs of lines of a good and of a bad one, from a fixed seed, so
 that labels change within a sequence, as they do in documents that are partly spoilt. And a first model, trained with
-the lines of bad documents as boilerplate, marks those of their lines that, each on its own, are like good documents'
-lines; the second model, which is used, learns these as content. Sequences are cut every ``PIECE`` lines for training only. Without
+the lines of bad documents as boilerplate but for those that a good one has too, marks those of their lines that, each on
+its own, are like good documents' lines; the second model, which is used, learns these as content. Sequences are cut every ``PIECE`` lines for training only. Without
 labelled rows of both classes every line counts as content, so the base rules alone decide.
 
 One pass over the documents, without a shuffle; a task holds one batch of rows at a time.
@@ -153,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     good, bad = ([t.split("\n") for t in dict.fromkeys(t for y, t in rows if y == label) if t.split()] for label in (1, 0))
     if not good or not bad:
         return None
-    marks = [[0] * len(x) for x in bad]
+    known = {x for g in good for x in g}
+    marks = [[int(x in known) for x in lines] for lines in bad]
     model = None
     for steps in (40, 100):
         rng, spoilt = random.Random(SEED), [list(zip(x, y)) for x, y in zip(bad, marks)]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bagminhash, curriculum, html_extract, license_join, line_quality, packing, suffix_dedup, toxicity, vamana, warc
+from siltstone.llm import bagminhash, curriculum, dual_tree, filter_audit, html_extract, license_join, line_quality, ngram_join, packing, suffix_dedup, toxicity, vamana, warc
 from siltstone.llm.common import shared_path, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +56,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -67,10 +79,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license": op8_license,
     "op9_mixture": op9_mixture,
     "op10_packing": op10_packing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 
-
 def _list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -143,4 +157,49 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
 """
 
 
-ORACLES: dict[str, str] = {"op3_warc": OP3, "op8_license": _op8(), "op9_mixture": _op9()}
+#: Every document runs through every order; no counts by mask, no transform, no closed form.
+OP12 = r"""
+WITH l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+x AS (SELECT w.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic, MAP {
+  'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words), 'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text),
+  'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(w.doc_id > least, false)} AS fails FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS fs FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+g AS (SELECT part, good, toxic, fails, count(*) AS n FROM x GROUP BY ALL),
+r AS (SELECT part, good, toxic, fails, n, fs, list_position(list_transform(fs, lambda k: fails[k]), true) AS place, len(list_filter(fs, lambda k: fails[k])) AS bad FROM g, o),
+s AS (SELECT *, unnest(range(1, 6)) AS step FROM r),
+q AS (SELECT part, array_to_string(fs, '') AS filter_order, step, fs[step] AS own,
+  sum(n) FILTER (place IS NULL OR place > step) AS kept, sum(n) FILTER (place = step) AS removed, sum(n) FILTER (fails[fs[step]] AND place < step) AS redundant,
+  sum(n) FILTER (fails[fs[step]] AND bad = 1) AS unique_fails, sum(n) FILTER (place = step AND good) AS good_lost, sum(n) FILTER (place = step AND toxic) AS toxic_lost FROM s GROUP BY part, fs, step)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM q
+"""
+
+
+#: All pairs of an anchor and a row.
+OP11 = """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.x) = len(c.x)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+#: Overlaps of all pairs that share a shingle, and what is reachable by links.
+OP13 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_join.UPPER}', '{license_join.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS n FROM u a JOIN u b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE 100 * n >= 90 * (na + nb - n)),
+r AS (SELECT doc_id, doc_id AS met FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.met = l.a)
+SELECT s.doc_id, CAST(any_value(len(s)) AS BIGINT) AS n_shingles, min(met) AS component_id FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id
+"""
+
+
+ORACLES: dict[str, str] = {"op3_warc": OP3, "op8_license": _op8(), "op9_mixture": _op9(), "op11_hard_negatives": OP11, "op12_filter_audit": OP12, "op13_ngram_join": OP13}

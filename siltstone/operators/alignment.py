@@ -1,7 +1,7 @@
 """Transcript units and speaker turns: interval joins, interval unions, decisions, summaries.
 
-All joins are on call_id first, so they hash or sort on it; the interval condition filters inside a call. A call is a
-conversation, so its units and turns are few; calls are many.
+Intervals meet by call and slice of time (``meeting``), so that a call of any length takes work in proportion to what
+overlaps in it and is shared by many tasks.
 """
 
 from __future__ import annotations
@@ -14,12 +14,49 @@ from pyspark.sql import functions as F
 MIN_RATIO, MARGIN, TOLERANCE = 0.5, 0.1, 0.02
 
 
+def meeting(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], key: str = "call_id") -> DataFrame:
+    """left and right rows of a key whose intervals (columns a and b) overlap by more than a point: both rows' columns, the key once.
+
+    Each key's time is cut into slices as long as its intervals are on average, once they're clipped to where both sides have
+    any; so the intervals together touch at most three slices for each of them, however they are mixed. Rows meet by key and
+    slice, and a pair counts in the first slice that both touch. Intervals that are empty, or reach from or to nowhere (null or
+    nan), meet nothing; those without an end (infinite) are clipped like others.
+    """
+    sound = lambda x: (F.col(x[1]) > F.col(x[0])) & ~F.isnan(x[0]) & ~F.isnan(x[1])
+    left, right = left.filter(sound(a)), right.filter(sound(b))
+    finite = lambda c: F.when(F.abs(c) < float("inf"), F.col(c))
+
+    def extent(rows: DataFrame, x: tuple[str, str], side: str) -> DataFrame:
+        start, end = finite(x[0]), finite(x[1])
+        return rows.groupBy(key).agg(F.least(F.min(start), F.min(end)).alias(f"_from{side}"), F.greatest(F.max(start), F.max(end)).alias(f"_to{side}"), F.count("*").alias(f"_n{side}"), F.sum(end - start).alias(f"_sum{side}"))
+
+    per = extent(left, a, "l").join(extent(right, b, "r"), key)
+    per = per.withColumns({"_from": F.coalesce(F.greatest("_froml", "_fromr"), F.lit(0.0)), "_to": F.coalesce(F.least("_tol", "_tor"), F.lit(0.0))})
+    span = F.greatest(F.col("_to") - F.col("_from"), F.lit(0.0))
+    # An interval's clipped length is at most its own and the span.
+    total = F.least(F.coalesce("_suml", span * F.col("_nl")), span * F.col("_nl")) + F.least(F.coalesce("_sumr", span * F.col("_nr")), span * F.col("_nr"))
+    mean = total / (F.col("_nl") + F.col("_nr"))
+    # Never more slices than there are rows, nor a slice of no length.
+    per = per.select(key, "_from", "_to", F.greatest(mean, span / (F.col("_nl") + F.col("_nr")), F.lit(1e-9)).alias("_width"))
+
+    def sliced(rows: DataFrame, x: tuple[str, str], side: str) -> DataFrame:
+        within = lambda c: F.least(F.greatest(F.col(c), F.col("_from")), F.col("_to"))
+        at = lambda c: F.floor((within(c) - F.col("_from")) / F.col("_width"))
+        own = F.struct(*[c for c in rows.columns if c != key])
+        held = rows.join(per, key).select(key, own.alias(f"_{side}"), at(x[0]).alias(f"_first{side}"), at(x[1]).alias(f"_last{side}"))
+        return held.select(key, f"_{side}", f"_first{side}", F.explode(F.sequence(f"_first{side}", f"_last{side}")).alias("_slice"))
+
+    pairs = sliced(left, a, "l").join(sliced(right, b, "r"), [key, "_slice"]).filter(F.col("_slice") == F.greatest("_firstl", "_firstr"))
+    both = pairs.select(key, "_l.*", "_r.*")
+    return both.filter((F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])))
+
+
 def candidates(units: DataFrame, turns: DataFrame, key: tuple[str, ...] = ("unit_order",), tolerance: float = TOLERANCE) -> DataFrame:
     """call_id, key, speaker_label, overlap_seconds, overlap_ratio: the union of each speaker's turns within a unit."""
     own = ("call_id", *key)
     wide = turns.select("call_id", "speaker_label", (F.col("start_seconds") - tolerance).alias("t0"), (F.col("end_seconds") + tolerance).alias("t1"))
     held = units.select(*own, F.col("start_seconds").alias("u0"), F.col("end_seconds").alias("u1")).filter("u0 IS NOT NULL")
-    parts = held.join(wide, "call_id").withColumn("s", F.greatest("u0", "t0")).withColumn("e", F.least("u1", "t1")).filter("e > s")
+    parts = meeting(held, wide, ("u0", "u1"), ("t0", "t1")).withColumn("s", F.greatest("u0", "t0")).withColumn("e", F.least("u1", "t1")).filter("e > s")
     order = W.partitionBy(*own, "speaker_label").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
     # Each part adds what lies beyond all parts before it.
@@ -35,16 +72,14 @@ def crossings(turns: DataFrame) -> DataFrame:
     """call_id, s, e: where turns of two speakers overlap."""
     a = turns.select("call_id", F.col("turn_order").alias("i"), F.col("speaker_label").alias("x"), F.col("start_seconds").alias("a0"), F.col("end_seconds").alias("a1"))
     b = turns.select("call_id", F.col("turn_order").alias("j"), F.col("speaker_label").alias("y"), F.col("start_seconds").alias("b0"), F.col("end_seconds").alias("b1"))
-    both = a.join(b, "call_id").filter("i < j AND x <> y AND a0 < b1 AND b0 < a1")
+    both = meeting(a, b, ("a0", "a1"), ("b0", "b1")).filter("i < j AND x <> y")
     return both.select("call_id", F.greatest("a0", "b0").alias("s"), F.least("a1", "b1").alias("e"))
 
 
 def overlapped(units: DataFrame, turns: DataFrame, key: tuple[str, ...] = ("unit_order",)) -> DataFrame:
     """Units (call_id, key) in which two speakers overlap. No tolerance here."""
     own = units.select("call_id", *key, F.col("start_seconds").alias("u0"), F.col("end_seconds").alias("u1"))
-    cross = crossings(turns)
-    met = (own["call_id"] == cross["call_id"]) & (F.col("u0") < F.col("e")) & (F.col("s") < F.col("u1"))
-    return own.join(cross, met, "left_semi").select("call_id", *key)
+    return meeting(own, crossings(turns), ("u0", "u1"), ("s", "e")).select("call_id", *key).distinct()
 
 
 def assign(units: DataFrame, turns: DataFrame, key: tuple[str, ...] = ("unit_order",), least: float = MIN_RATIO, margin: float = MARGIN, tolerance: float = TOLERANCE) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.exact import exact_sums
+
 #: The least share of applicable weight, and of criteria, that a score to publish must rest on.
 MIN_WEIGHT_COVERAGE, MIN_CRITERION_COVERAGE = 0.7, 0.7
 SCORED, INSUFFICIENT, NOT_APPLICABLE = "scored", "insufficient_evidence", "not_applicable"
@@ -21,24 +23,15 @@ def contributions(evaluations: DataFrame, criteria: DataFrame) -> DataFrame:
     return held.select("call_id", "criterion_order", "status", "weight", normal.alias("normalized_score"), (normal * F.col("weight")).alias("weighted_points"), review.alias("human_review_required"))
 
 
-def exact_sum(c: str) -> Column:
-    """A sum of doubles of moderate size, to 15 places, that doesn't depend on the order in which they're added."""
-    return F.sum(F.col(c).cast("decimal(28,15)")).cast("double")
-
-
 def call_scores(each: DataFrame, *by: str) -> DataFrame:
-    """Per call: counts by status, score, both coverages; null where nothing applies, which isn't 0."""
+    """Per call: counts by status, score, both coverages; null where nothing applies, which isn't 0. Sums are exact."""
     keys = by or ("call_id",)
-    is_ = lambda s: F.col("status") == s
-    sums = each.groupBy(*keys).agg(
-        F.count("*").alias("criteria"),
-        F.count_if(is_(SCORED)).alias("n_scored"),
-        F.count_if(is_(INSUFFICIENT)).alias("n_insufficient"),
-        F.count_if(is_(NOT_APPLICABLE)).alias("n_not_applicable"),
-        F.count_if(F.col("human_review_required")).alias("n_review"),
-        F.sum(F.when(is_(SCORED), F.col("weight"))).alias("scored_weight"),
-        F.sum(F.when(is_(SCORED) | is_(INSUFFICIENT), F.col("weight"))).alias("applicable_weight"),
-        exact_sum("weighted_points").alias("points"),
+    is_ = lambda *s: F.col("status").isin(*s)
+    sums = exact_sums(
+        each,
+        [*keys],
+        {"scored_weight": F.when(is_(SCORED), F.col("weight")), "applicable_weight": F.when(is_(SCORED, INSUFFICIENT), F.col("weight")), "points": F.col("weighted_points")},
+        {"criteria": F.lit(True), "n_scored": is_(SCORED), "n_insufficient": is_(INSUFFICIENT), "n_not_applicable": is_(NOT_APPLICABLE), "n_review": F.col("human_review_required")},
     )
     scored = F.coalesce("scored_weight", F.lit(0.0))
     applicable = F.col("n_scored") + F.col("n_insufficient")

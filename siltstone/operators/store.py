@@ -1,14 +1,17 @@
-"""Keyed reads and writes on plain files: lookups, idempotent inserts, revision-checked updates, caches, versioned commits."""
+"""Keyed reads and writes: lookups, idempotent inserts, chains of revision-checked updates, caches. Stores on files are in ``snapshots``."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.operators.snapshots import KeyedStore, VersionedStore  # noqa: F401  both belong to this module's interface
+from siltstone.sources.shipping import ship
+
 
 def same(columns: tuple[str, ...], left: str = "s", right: str = "i") -> Column:
     """Whether two rows (by alias) agree; nulls agree."""
@@ -35,8 +38,9 @@ def get(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def in_turn(incoming: DataFrame, key: str, order: str | None) -> DataFrame:
-    """incoming with _nth, a row's turn among those of its key: by order, or by all values if there's none."""
-    by = [order] if order else [c for c in incoming.columns if c != key] or [key]
+    """incoming with _nth, a row's turn among those of its key: by order, ties and rows without an order by all values."""
+    rest = [c for c in incoming.columns if c not in (key, order)]
+    by = [order, *rest] if order else rest or [key]
     return incoming.withColumn("_nth", F.row_number().over(W.partitionBy(key).orderBy(*by)))
 
 
@@ -60,22 +64,79 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: str | None =
     return stored.unionByName(fresh.select(stored.columns))
 
 
-def update(stored: DataFrame, incoming: DataFrame, key: str, values: tuple[str, ...], order: str | None = None) -> DataFrame:
-    """key, outcome, revision of updates that expect a revision: an equal value keeps it, a new one raises it by one.
+def canonical(values: tuple[str, ...], schema, alias: str) -> Column:
+    """Text that is the same for two rows if and only if all values are: nulls agree, and so do 0.0 and -0.0, or two nans. Values take the types of schema."""
+
+    def plain(c: str) -> Column:
+        kind = schema[c].dataType
+        held = F.col(f"{alias}.{c}").cast(kind)
+        name = kind.typeName()
+        return held + 0.0 if name in ("double", "float") else held.cast("string") if name.startswith("timestamp") else held
+
+    return F.to_json(F.struct(*[plain(c).alias(f"c{k}") for k, c in enumerate(values)]), {"ignoreNullFields": "false"})
+
 
-    An update that expects no revision (null) conflicts. Of several to one key that expect the same revision only the
-    first in turn can be it; the others then meet a newer revision, unless the first changed nothing.
+def decided(stored: DataFrame, incoming: DataFrame, key: str, values: tuple[str, ...], order: str | None = None) -> DataFrame:
+    """key, _nth (the row's turn), outcome, revision (after it) of updates that expect a revision: an equal value keeps it, a new one raises it by one.
+
+    Rows of one key are taken in turn and each meets the revision and value that those before it made, so updates may
+    build on each other within a batch: (expects 1, b), (expects 2, c) both hold on a stored revision 1. An update that
+    expects no revision (null) conflicts; one of a key that isn't stored is missing, whatever came before it.
+
+    A key with one row is decided by built-in expressions. Rows of other keys are sorted by key and turn and folded as they
+    stream by; a task holds a batch and the state of one key, however many rows that has.
     """
-    turns = in_turn(incoming, key, order)
+    turns = in_turn(incoming, key, order).withColumn("_of", F.count("*").over(W.partitionBy(key)))
     held = turns.alias("i").join(stored.alias("s"), F.col(f"i.{key}") == F.col(f"s.{key}"), "left")
-    meets = F.coalesce(F.col("s.revision") == F.col("i.expected_revision"), F.lit(False))
-    held = held.select("i.*", F.col(f"s.{key}").isNotNull().alias("_there"), F.col("s.revision").alias("_old"), (meets & ~same(values)).alias("_changes"), meets.alias("_meets"))
-    earlier = W.partitionBy(key).orderBy("_nth").rowsBetween(W.unboundedPreceding, -1)
-    held = held.withColumn("_taken", F.coalesce(F.bool_or("_changes").over(earlier), F.lit(False)))
-    outcome = F.when(~F.col("_there"), "missing").when(~F.col("_meets") | F.col("_taken"), "revision_conflict").when(F.col("_changes"), "updated").otherwise("unchanged")
-    held = held.withColumn("outcome", outcome)
-    now = F.col("_old") + F.when(F.col("_taken") | (F.col("outcome") == "updated"), 1).otherwise(0)
-    return held.select(key, "outcome", now.alias("revision"))
+    there, meets = F.col(f"s.{key}").isNotNull(), F.coalesce(F.col("s.revision") == F.col("i.expected_revision"), F.lit(False))
+    kind = stored.schema["revision"].dataType
+    outcome = F.when(~there, "missing").when(~meets, "revision_conflict").when(same(values), "unchanged").otherwise("updated")
+    once = held.filter(F.col("i._of") == 1).select(F.col(f"i.{key}").alias(key), F.col("i._nth").alias("_nth"), outcome.alias("outcome"), (F.col("s.revision") + F.when(outcome == "updated", 1).otherwise(0)).cast(kind).alias("revision"))
+    several = held.filter(F.coalesce(F.col("i._of") > 1, F.lit(True))).select(
+        F.col(f"i.{key}").alias("key"), F.col("i._nth").alias("nth"), F.col("i.expected_revision").cast("long").alias("expects"), canonical(values, stored.schema, "i").alias("new"),
+        there.alias("there"), F.col("s.revision").cast("long").alias("revision"), canonical(values, stored.schema, "s").alias("old"),
+    )
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, revision, value = object(), None, None
+        for batch in batches:
+            keys, turns, expects, new, there, stored_revision, old = (c.to_pylist() for c in batch.columns)
+            outcomes, revisions = [], []
+            for i, k in enumerate(keys):
+                if turns[i] == 1 or k != last:
+                    last, revision, value = k, stored_revision[i], old[i]
+                if not there[i]:
+                    outcomes.append("missing")
+                elif expects[i] is None or expects[i] != revision:
+                    outcomes.append("revision_conflict")
+                elif new[i] == value:
+                    outcomes.append("unchanged")
+                else:
+                    outcomes.append("updated")
+                    revision, value = revision + 1, new[i]
+                revisions.append(revision)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(outcomes, pa.string()), pa.array(revisions, pa.int64())], names=["key", "nth", "outcome", "revision"])
+
+    ship(stored.sparkSession)
+    dealt = several.repartition("key").sortWithinPartitions("key", "nth")
+    name = incoming.schema[key].dataType.simpleString()
+    folded = dealt.mapInArrow(fold, f"key {name}, nth int, outcome string, revision long").select(F.col("key").alias(key), F.col("nth").alias("_nth"), "outcome", F.col("revision").cast(kind).alias("revision"))
+    return once.unionByName(folded)
+
+
+def update(stored: DataFrame, incoming: DataFrame, key: str, values: tuple[str, ...], order: str | None = None) -> DataFrame:
+    """key, outcome, revision (after the row's turn) of every update; see ``decided``."""
+    return decided(stored, incoming, key, values, order).select(key, "outcome", "revision")
+
+
+def updated(stored: DataFrame, incoming: DataFrame, key: str, values: tuple[str, ...], order: str | None = None) -> DataFrame:
+    """The store after all updates: each row with the values of its last update that held, and its revision."""
+    last = decided(stored, incoming, key, values, order).filter("outcome = 'updated'").groupBy(key).agg(F.max_by(F.struct("_nth", "revision"), "_nth").alias("_last"))
+    last = last.select(key, F.col("_last._nth").alias("_nth"), F.col("_last.revision").alias("_revision"))
+    fresh = in_turn(incoming, key, order).join(last, [key, "_nth"]).select(F.col(key), "_revision", F.struct(*values).alias("_fresh"))
+    held = stored.join(fresh, key, "left")
+    now = lambda c: F.when(F.col("_revision").isNotNull(), F.col("_revision" if c == "revision" else f"_fresh.{c}").cast(stored.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+    return held.select(*[now(c) if c in (*values, "revision") else F.col(c) for c in stored.columns])
 
 
 def cache_write(cache: DataFrame, fresh: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
@@ -88,59 +149,3 @@ def cache_write(cache: DataFrame, fresh: DataFrame, keys: tuple[str, ...], order
 def cache_stats(cache: DataFrame) -> DataFrame:
     """stage, entries."""
     return cache.groupBy("stage").agg(F.count("*").alias("entries"))
-
-
-class VersionedStore:
-    """A table as directories of their own and numbered pointer files that name them; a commit is one new pointer.
-
-    A commit names the version that it builds on; if another commit came first, it is refused, its directory goes, and
-    nothing else changes. All through Hadoop's file systems, so the path may be any that Spark reads.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self.make = jvm.org.apache.hadoop.fs.Path
-        self.files = self.make(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def version(self) -> int:
-        """The last committed version; 0 if there's none."""
-        pointers = self.make(f"{self.path}/pointers")
-        if not self.files.exists(pointers):
-            return 0
-        return max((int(s.getPath().getName()) for s in self.files.listStatus(pointers) if s.getPath().getName().isdigit()), default=0)
-
-    def read(self, version: int | None = None) -> DataFrame | None:
-        version = self.version() if version is None else version
-        if not version:
-            return None
-        named = self.spark.read.text(f"{self.path}/pointers/{version}").first()
-        return self.spark.read.parquet(f"{self.path}/{named[0]}")
-
-    def commit(self, df: DataFrame, base: int) -> bool:
-        """Write df as the version after base; False if that exists by now. Any other failure is raised."""
-        if self.version() != base:
-            return False
-        name = f"data-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
-        if self._claim(base + 1, name):
-            return True
-        self.files.delete(self.make(f"{self.path}/{name}"), True)
-        return False
-
-    def _claim(self, version: int, name: str) -> bool:
-        """Claim a version, then show its pointer whole; False if another commit has claimed it."""
-        self.files.mkdirs(self.make(f"{self.path}/pointers"))
-        try:
-            self.files.create(self.make(f"{self.path}/pointers/{version}.claim"), False).close()
-        except Py4JJavaError as e:
-            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
-                return False
-            raise
-        draft = self.make(f"{self.path}/{name}.pointer")
-        out = self.files.create(draft, False)
-        out.write(bytearray(name.encode()))
-        out.close()
-        if not self.files.rename(draft, self.make(f"{self.path}/pointers/{version}")):
-            raise OSError(f"version {version} is claimed but its pointer can't be made")
-        return True

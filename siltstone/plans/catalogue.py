@@ -597,10 +597,17 @@ def call_idempotency(spark, sf_dir):
     return store.upsert(view(spark, sf_dir, "stored_calls"), view(spark, sf_dir, "incoming_calls").drop("expected_revision"), "call_id", "arrived")
 
 
-@query(TURNS + f""", x AS (SELECT i.call_id, nth, s.call_id IS NOT NULL AS there, s.revision AS old, coalesce(s.revision = i.expected_revision, false) AS meets, {SAME.format(a='i', b='s')} AS equal FROM i LEFT JOIN stored_calls s ON i.call_id = s.call_id),
-y AS (SELECT *, EXISTS (SELECT 1 FROM x e WHERE e.call_id = x.call_id AND e.nth < x.nth AND e.meets AND NOT e.equal) AS taken FROM x),
-z AS (SELECT *, CASE WHEN NOT there THEN 'missing' WHEN NOT meets OR taken THEN 'revision_conflict' WHEN equal THEN 'unchanged' ELSE 'updated' END AS outcome FROM y)
-SELECT call_id, outcome, old + CASE WHEN taken OR outcome = 'updated' THEN 1 ELSE 0 END AS revision FROM z""")
+#: Row by row, each on what the one before it left; no rule about whole groups.
+REVISED = f"""WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY arrived) AS nth FROM incoming_calls),
+w AS (SELECT call_id, CAST(0 AS BIGINT) AS nth, revision, content_hash, duration, source_type, '' AS outcome FROM stored_calls
+  UNION ALL SELECT w.call_id, i.nth, CASE WHEN i.expected_revision = w.revision AND NOT ({SAME.format(a='i', b='w')}) THEN w.revision + 1 ELSE w.revision END,
+    CASE WHEN i.expected_revision = w.revision THEN i.content_hash ELSE w.content_hash END, CASE WHEN i.expected_revision = w.revision THEN i.duration ELSE w.duration END, CASE WHEN i.expected_revision = w.revision THEN i.source_type ELSE w.source_type END,
+    CASE WHEN i.expected_revision = w.revision AND {SAME.format(a='i', b='w')} THEN 'unchanged' WHEN i.expected_revision = w.revision THEN 'updated' ELSE 'revision_conflict' END
+  FROM w JOIN i ON i.call_id = w.call_id AND i.nth = w.nth + 1)
+SELECT call_id, outcome, revision FROM w WHERE nth > 0 UNION ALL SELECT call_id, 'missing', NULL FROM i WHERE call_id NOT IN (SELECT call_id FROM stored_calls)"""
+
+
+@query(REVISED)
 def revision_update(spark, sf_dir):
     return store.update(view(spark, sf_dir, "stored_calls"), view(spark, sf_dir, "incoming_calls"), "call_id", RECORD, "arrived")
 

@@ -44,6 +44,8 @@ SHINGLE, PERCENT = 3, 90
 BUCKETS, PIECES = 1 << 22, 64
 #: Sets of a list whose pairs are listed; shingles of a block of a longer one, and what a set counts besides its own.
 SHORT, BLOCK_SIZE, UNIT = 32, 400_000, 400
+#: Bits of a set's parities.
+PARITIES = 2048
 #: Bytes of text that are hashed together.
 SLICE = 1 << 17
 
@@ -166,8 +168,16 @@ def prefixes(docs: DataFrame, rank: np.ndarray, percent: int = PERCENT, n: int =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, size long, text_key binary, node binary, prefix array<long>")
 
 
-def zipped(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, zipped: the words of one text of each of these (text_key, node)."""
+def parities(doc: np.ndarray, code: np.ndarray, n_docs: int) -> np.ndarray:
+    """n_docs x PARITIES / 64: whether an odd number of a set's shingles fall in each of PARITIES bins, one bit a bin."""
+    held = np.zeros((n_docs, PARITIES), np.uint8)
+    bins = (mixed(code) >> np.uint64(40)).astype(np.int64) % PARITIES
+    np.bitwise_xor.at(held, (doc, bins), 1)
+    return np.packbits(held, axis=1).view(np.int64)
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """id, zipped, parity: the words of one text of each of these (text_key, id), and its set's parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=1).compress
@@ -176,8 +186,17 @@ def zipped(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = {hashlib.blake2b(t, digest_size=16).digest(): t for t in texts if t}  # copies in a batch are sent once
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([tool(t) for t in rows.values()], pa.binary())], names=["text_key", "zipped"])
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 100) for whole in batches for at in range(0, whole.num_rows, 100)):
+            sets = [codes_of(z.as_py(), n) for z in batch.column("zipped")]
+            doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            held = parities(doc, np.concatenate(sets), len(sets)) if sets else np.zeros((0, PARITIES // 64), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (PARITIES // 64), pa.int32()), pa.array(held.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "zipped", "parity"])
+
     every = docs.select(F.col("text").cast("string")).mapInArrow(run, "text_key binary, zipped binary")
-    return every.join(wanted, "text_key").dropDuplicates(["node"]).select("node", "zipped")
+    held = every.join(wanted, "text_key").dropDuplicates(["id"]).select("id", "zipped")
+    return held.mapInArrow(mark, "id long, zipped binary, parity array<long>")
 
 
 def codes_of(data: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -186,7 +205,11 @@ def codes_of(data: bytes, n: int = SHINGLE) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int = SHINGLE) -> DataFrame:
-    """Those pairs (a, b) of nodes that link."""
+    """Those pairs (a, b, sizes na and nb) of ids that link.
+
+    Two sets differ in as many shingles at least as their parities differ in bits, so most pairs that don't link are dropped on
+    256 bytes each; texts are fetched for the others only, whose sets are compared whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
@@ -198,9 +221,12 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int = SHINGLE)
                 good.append(100 * both >= percent * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    first = texts.select(F.col("node").alias("a"), F.col("zipped").alias("x"))
-    second = texts.select(F.col("node").alias("b"), F.col("zipped").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    side = lambda k, c, name: texts.select(F.col("id").alias(k), F.col(c).alias(name))
+    marked = pairs.join(side("a", "parity", "p"), "a").join(side("b", "parity", "q"), "b")
+    apart = F.aggregate(F.zip_with("p", "q", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, k: s + k)
+    # Linked sets of sizes na and nb differ in (100 - percent) / (100 + percent) of na + nb shingles at most.
+    likely = cut(narrow(marked.filter((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")), "likely")
+    return likely.join(side("a", "zipped", "x"), "a").join(side("b", "zipped", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 class Lists:
@@ -256,19 +282,19 @@ def new_links(rows: list[np.ndarray], cols: list[np.ndarray], row_class: np.ndar
 
 
 def cell_links(cells: DataFrame, percent: int, n: int = SHINGLE) -> DataFrame:
-    """a, b: links that connect classes, of two blocks of an index list. cells: token, i, j, block, node, root, zipped."""
+    """a, b: links that connect classes, of two blocks of an index list. cells: token, i, j, block, id, root, zipped."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block, nodes = table.column("block").to_pylist(), table.column("node").to_pylist()
+        block, ids = table.column("block").to_pylist(), table.column("id").to_numpy()
         sets = [codes_of(z, n) for z in table.column("zipped").to_pylist()]
-        _, root = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)
+        root = table.column("root").to_numpy()
         rows, cols = ([k for k, b in enumerate(block) if b == x] for x in (i, j))
         found = new_links([sets[k] for k in rows], [sets[k] for k in cols], root[rows], root[cols], percent)
-        return pa.table({"a": pa.array([nodes[rows[x]] for x, _ in found], pa.binary()), "b": pa.array([nodes[cols[y]] for _, y in found], pa.binary())})
+        return pa.table({"a": pa.array([ids[rows[x]] for x, _ in found], pa.int64()), "b": pa.array([ids[cols[y]] for _, y in found], pa.int64())})
 
-    return cells.groupBy("token", "i", "j").applyInArrow(run, "a binary, b binary")
+    return cells.groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def fits(a: Column, b: Column, percent: int) -> Column:
@@ -282,43 +308,47 @@ def reaches(a: Column, b: Column, i: Column, j: Column, percent: int) -> Column:
 
 
 def blocks(index: DataFrame) -> DataFrame:
-    """index (token, node, size, place) with block: entries of a list by size, BLOCK_SIZE shingles to a block; equal sizes that are more are dealt by a hash."""
+    """index (token, id, size, place) with block: entries of a list by size, BLOCK_SIZE shingles to a block; equal sizes that are more are dealt by a hash."""
     sizes = index.groupBy("token", "size").agg(F.count("*").alias("sets")).withColumn("weight", F.col("sets") * (F.col("size") + UNIT))
     before = F.coalesce(F.sum("weight").over(W.partitionBy("token").orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.withColumns({"base": F.floor(before / BLOCK_SIZE), "parts": F.ceil(F.col("weight") / BLOCK_SIZE)}).select("token", "size", "base", "parts")
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", "token"), F.col("parts")) + 1).otherwise(0)
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id", "token"), F.col("parts")) + 1).otherwise(0)
     own = F.when(F.col("parts") > 1, F.col("size")).otherwise(0)
     return index.join(sizes, ["token", "size"]).withColumn("block", F.struct(F.col("base").alias("base"), own.alias("own"), part.alias("part"))).drop("base", "parts")
 
 
 def roots_of(edges: DataFrame) -> DataFrame:
-    """node, root of all nodes of the edges, written."""
+    """id, root of all ids of the edges, written."""
     if edges.isEmpty():
-        return edges.sparkSession.createDataFrame([], "node binary, root binary")
-    return cut(narrow(components(edges)), "roots")
+        return edges.sparkSession.createDataFrame([], "id long, root long")
+    return cut(narrow(components(edges).withColumnRenamed("node", "id")), "roots")
 
 
 def links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
-    """node, root of the nodes that have any link. nodes: node, size, prefix, text_key; distinct."""
-    entries = nodes.select("node", "size", F.posexplode("prefix").alias("place", "token"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
-    index = cut(narrow(blocks(entries.join(lists, "token"))), "index")  # token, size, node, place, sets, block
-    wanted = nodes.join(index.select("node").distinct(), "node", "left_semi").select("text_key", "node")
-    texts = cut(zipped(docs, wanted), "texts")
+    """id, root of the nodes that have any link. nodes: id, size, prefix, text_key; distinct."""
+    entries = nodes.select("id", "size", F.posexplode("prefix").alias("place", "token"))
+    lists = entries.groupBy("token").agg(F.count("*").cast("int").alias("sets")).filter("sets > 1")
+    shared = cut(narrow(entries.join(lists, "token")), "shared")
+    index = cut(narrow(blocks(shared)), "index")  # token, size, id, place, sets, block
+    drop(shared)
+    # Written first, so that its size is known when it's joined with the texts: these move only if it is large.
+    wanted = cut(narrow(nodes.join(index.select("id").distinct(), "id", "left_semi").select("text_key", "id")), "wanted")
+    texts = cut(texts_of(docs, wanted, n), "texts")
     # Every entry and the next one.
-    order = W.partitionBy("token", "block").orderBy("size", "place", "node")
-    near = index.select(F.col("node").alias("x"), F.lead("node").over(order).alias("y"), "size", F.lead("size").over(order).alias("size2")).filter(F.col("y").isNotNull() & fits(F.col("size"), F.col("size2"), percent))
-    chain = cut(narrow(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), "chain")
+    order = W.partitionBy("token", "block").orderBy("size", "place", "id")
+    near = index.select(F.col("id").alias("x"), F.lead("id").over(order).alias("y"), "size", F.lead("size").over(order).alias("size2")).filter(F.col("y").isNotNull() & fits(F.col("size"), F.col("size2"), percent))
+    chain = near.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.first("size").alias("na"), F.first("size2").alias("nb"))
+    chain = cut(narrow(chain), "chain")
     edges = cut(narrow(verified(chain, texts, percent, n)), "chain_links")
     # What is still apart.
-    held = index.join(roots_of(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = index.join(roots_of(edges), "id", "left").withColumn("root", F.coalesce("root", "id"))
     apart = held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
     held = cut(narrow(held.join(apart, "token", "left_semi")), "apart")
     short = held.filter(F.col("sets") <= SHORT)
-    x, y = (short.select("token", *[F.col(c).alias(c + k) for c in ("node", "root", "size", "place")]) for k in "xy")
-    pairs = x.join(y, "token").filter((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")))
+    x, y = (short.select("token", *[F.col(c).alias(c + k) for c in ("id", "root", "size", "place")]) for k in "xy")
+    pairs = x.join(y, "token").filter((F.col("idx") < F.col("idy")) & (F.col("rootx") != F.col("rooty")))
     pairs = pairs.filter(fits(F.col("sizex"), F.col("sizey"), percent) & reaches(F.col("sizex"), F.col("sizey"), F.col("placex"), F.col("placey"), percent))
-    pairs = pairs.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct().join(chain, ["a", "b"], "left_anti")
+    pairs = pairs.groupBy(F.col("idx").alias("a"), F.col("idy").alias("b")).agg(F.first("sizex").alias("na"), F.first("sizey").alias("nb")).join(chain, ["a", "b"], "left_anti")
     edges = edges.unionByName(cut(narrow(verified(pairs, texts, percent, n)), "pair_links"))
     long = held.filter(F.col("sets") > SHORT)
     if not long.isEmpty():
@@ -330,9 +360,9 @@ def links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT, n: int = SH
         sizes = (100 * F.col("mosti") >= percent * F.col("leastj")) & (100 * F.col("mostj") >= percent * F.col("leasti"))
         room = (100 + percent) * F.least(F.col("mosti") - F.col("firsti"), F.col("mostj") - F.col("firstj")) >= percent * (F.col("leasti") + F.col("leastj"))
         cells = cells.filter(apart & sizes & room).select("token", F.col("blocki").alias("i"), F.col("blockj").alias("j"), F.explode(F.array_distinct(F.array("blocki", "blockj"))).alias("block"))
-        cells = long.join(cells, ["token", "block"]).join(texts, "node").select("token", "i", "j", "block", "node", "root", "zipped")
+        cells = long.join(cells, ["token", "block"]).join(texts.select("id", "zipped"), "id").select("token", "i", "j", "block", "id", "root", "zipped")
         edges = edges.unionByName(cut(narrow(cell_links(cells, percent, n)), "cell_links"))
-    drop(index, texts, chain, held)
+    drop(index, wanted, texts, chain, held)
     return roots_of(edges)
 
 
@@ -341,8 +371,9 @@ def classes(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFr
     ship(docs.sparkSession)
     drawn = cut(prefixes(docs, ranks(docs, n), percent, n), "prefixes")
     nodes = drawn.filter("node IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"))
-    nodes = cut(nodes, "nodes")
-    named = nodes.select("node", "least").join(links(nodes, docs, percent, n), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Written with its numbers, which are fixed from here on.
+    nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    named = nodes.select("id", "node", "least").join(links(nodes, docs, percent, n), "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = cut(narrow(named), "named")
     first = cut(narrow(named.groupBy("root").agg(F.min("least").alias("component_id"))), "first")
     out = drawn.select("doc_id", "size", "node").join(named.join(first, "root").select("node", "component_id"), "node", "left")

@@ -177,7 +177,9 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, share: f
 def keep(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, share: float = SHARE) -> DataFrame:
     """The documents kept, with all their columns."""
     ship(docs.sparkSession)
-    return docs.mapInArrow(_judging(model, share, True), docs.schema)
+    # Names of any kind, such as those with dots, come back at the end.
+    plain = docs.toDF(*[c if c == "text" else f"_{k}" for k, c in enumerate(docs.columns)])
+    return plain.mapInArrow(_judging(model, share, True), plain.schema).toDF(*docs.columns)
 
 
 def _judging(model, share: float, filtering: bool):

@@ -56,14 +56,16 @@ BUCKET_BYTES, TASK_BYTES = (2 << 20, 256 << 20), 64 << 20
 SLICE, ARRAY_BYTES = 1 << 17, 1 << 16
 #: Bytes of text whose stretches are collapsed and packed together.
 LISTED_BYTES = 6 << 20
+#: Strings of a stretch that its packed count can hold.
+MOST_STRINGS = (1 << 16) - 1
 PACKED = "bucket int, kind int, data binary"
 #: Kinds of packed rows: stretches by anchor; runs of repeated bytes, open stretches and strings of hot anchors, by document.
 STRETCH, RUN, OPEN, STRING = 0, 1, 2, 3
 
 FIELDS = {
-    STRETCH: (("key", "<u8"), ("digest", "<u8"), ("left", "<u4"), ("right", "<u4"), ("doc", "<i8"), ("at", "<i4"), ("count", "u1")),
+    STRETCH: (("key", "<u8"), ("digest", "<u8"), ("left", "<u4"), ("right", "<u4"), ("doc", "<i8"), ("at", "<i4"), ("count", "<u2")),
     RUN: (("doc", "<i8"), ("at", "<i4"), ("end", "<i4")),
-    OPEN: (("doc", "<i8"), ("at", "<i4"), ("count", "u1"), ("hot", "u1"), ("key", "<u8")),
+    OPEN: (("doc", "<i8"), ("at", "<i4"), ("count", "<u2"), ("hot", "u1"), ("key", "<u8")),
     STRING: (("hash", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("at", "<i4")),
 }
 
@@ -444,6 +446,8 @@ def runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int =
     """(zipped documents by bucket, packed runs of repeated bytes by bucket, number of buckets). docs: see numbered()."""
     spark = docs.sparkSession
     ship(spark)
+    if length - anchor + 1 > MOST_STRINGS:
+        raise ValueError(f"a stretch holds {MOST_STRINGS} strings at most, so length - anchor can't exceed {MOST_STRINGS - 1}")
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     least, most = BUCKET_BYTES
     buckets = max(1, -(-total // (bucket_bytes or min(max(total // 1000, least), most))))
@@ -526,10 +530,12 @@ def remove(docs: DataFrame, **options) -> DataFrame:
     kept = kept.filter(~F.col("_cut") | (F.col("_kept") != ""))
     # Rows with one id and equal texts differ in their other columns at most; each keeps what its place among them left.
     place = lambda *by: F.row_number().over(W.partitionBy("_id", "_hash").orderBy(*by))
-    rest = [c for c in names if c not in ("doc_id", "text", "n_chars")]
-    other = docs.select(F.col("doc_id").alias("_doc_id"), *rest, F.col("doc_id").cast("long").alias("_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("_hash"))
-    other = other.withColumn("_place", place(F.to_json(F.struct(*(rest or ["_doc_id"])))))
+    # The input's columns stay in a struct, so that their names can't meet those used here.
+    of = lambda c: F.col("_row").getField(c)
+    rest = [of(c) for c in names if c not in ("doc_id", "text", "n_chars")]
+    other = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("_hash"))
+    other = other.withColumn("_place", place(F.to_json(F.struct(F.lit(0).alias("k"), *[c.alias(f"c{k}") for k, c in enumerate(rest)]))))
     kept = kept.withColumn("_place", place("_cut", "_kept")).withColumnRenamed("_id", "_id2").withColumnRenamed("_hash", "_hash2").withColumnRenamed("_place", "_place2")
     out = other.join(kept, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")) & (F.col("_place") == F.col("_place2")))
-    columns = {"doc_id": F.col("_doc_id"), "text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return out.select(*[columns.get(c, F.col(c)).alias(c) for c in names])
+    columns = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    return out.select(*[columns.get(c, of(c)).alias(c) for c in names])

@@ -13,6 +13,10 @@ exact distances, in double precision on the original vectors, decide the answer.
 block of queries are all that a task holds, about 1 KB a row at 64 dimensions. Work grows with rows times
 log(shard_rows) to build, and with queries times shards to search; shards grow with rows / ``shard_rows`` only.
 
+Graphs are in single precision over rows moved to their shard's centre and scaled to its extent, so vectors may be of any
+finite magnitude; where rows of a shard differ too much in it, or a query lies far from all of a shard, that shard is compared
+in full.
+
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, as queries or as
 candidates; neither do rows with a null vec_id. Vectors of different lengths never meet. Ties in distance go to the
 smaller vec_id. Rows that repeat a vec_id with an equal vector are one row. A query with fewer candidates than k gets
@@ -156,6 +160,56 @@ class Graph:
         return ids, d, found
 
 
+#: Spread of the middle half of a shard's rows, against its whole extent, below which single precision can't tell them apart;
+#: extents of the shard at which a query lies too far out for it.
+FINE, OUT = 1e-3, 1e3
+
+
+def euclidean(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Distances of rows to v; by differences scaled to their largest where the squares of a double can't hold them."""
+    with np.errstate(all="ignore"):
+        d = x - v
+        out = np.sqrt((d**2).sum(1))
+        odd = ~np.isfinite(out) | (out < 1e-140)
+        if odd.any():
+            # Halves, as a difference of two doubles may be beyond doubles itself.
+            d = x[odd] / 2 - v / 2
+            most = np.abs(d).max(1, initial=0.0)
+            unit = np.where(most > 0, most, 1.0)
+            out[odd] = np.sqrt(((d / unit[:, None]) ** 2).sum(1)) * unit * 2
+    return out
+
+
+class Shard:
+    """A shard's rows in double precision, and their graph in single precision: moved to their centre and scaled to their extent.
+
+    Where the scaled rows are too close to each other for single precision (a few rows may lie far out), or a query lies far
+    out, the shard is compared with the query in full.
+    """
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.most = x, float(np.abs(x).max()) or 1.0
+        scaled = x / self.most
+        self.centre = scaled.mean(0)
+        moved = scaled - self.centre
+        self.extent = float(np.abs(moved).max()) or 1.0
+        moved /= self.extent
+        low, high = np.quantile(moved, [0.25, 0.75], axis=0)
+        self.graph = Graph(moved.astype(np.float32)) if (high - low).max() >= FINE else None
+
+    def nearest(self, q: np.ndarray, beam: int) -> list[np.ndarray]:
+        """For each query the rows that may be nearest: those of a beam, or all."""
+        with np.errstate(all="ignore"):
+            moved = (q / self.most - self.centre) / self.extent
+        near = np.abs(moved).max(1) <= OUT  # false for what isn't finite, too
+        out: list[np.ndarray] = [np.arange(len(self.x))] * len(q)
+        if self.graph is not None and near.any():
+            ids, _, _ = self.graph.search(moved[near].astype(np.float32), beam)
+            for i, found in zip(np.flatnonzero(near), ids):
+                out[i] = found[found >= 0]
+        return out
+
+
 def take_part(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding (array of doubles) of the rows that take part."""
     x = F.col("embedding").cast("array<double>")
@@ -185,15 +239,16 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, shard_rows: int =
         own = own.sort_values("ids", key=lambda s: s.map(lambda x: x[0]))
         x = np.array(own["embedding"].tolist(), np.float64)
         members = own["ids"].tolist()
-        graph = Graph(x.astype(np.float32))
+        shard = Shard(x)
         names, vs = queries["vec_id"].to_numpy(np.int64), np.array(queries["embedding"].tolist(), np.float64)
         out = []
         for at in range(0, len(vs), 256):
             q = vs[at : at + 256]
-            ids, d, _ = graph.search(q.astype(np.float32), beam)
-            for name, v, found in zip(names[at : at + 256], q, ids):
-                found = found[found >= 0]
-                exact = np.sqrt(((x[found] - v) ** 2).sum(1))
+            for name, v, found in zip(names[at : at + 256], q, shard.nearest(q, beam)):
+                exact = euclidean(x[found], v)
+                if len(found) > 4 * beam:  # all rows: those as near as the k-th at most, one node more for the query's own
+                    few = exact <= np.partition(exact, k)[k]
+                    found, exact = found[few], exact[few]
                 pairs = [(s, m) for s, i in zip(exact.tolist(), found) for m in members[i] if m != name]
                 out += [(name, m, s) for s, m in sorted(pairs)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])

@@ -20,6 +20,9 @@ record at a time:
    dropped, and so is a record that the archive's end cuts short.
 4. A record with magics in its payload is put together from its pieces.
 
+The archives themselves are read once, in one job that writes what stands between magics as a table; all else reads that
+table. So it doesn't matter if Spark would split them otherwise later on, as it does when executors come or go.
+
 Defined results: a null html is an empty payload; a null url is written as an empty target; line breaks in a url are
 percent-encoded; rows that repeat the smallest page_id of their payload class are all responses; a null page_id is
 larger than any other, and a class of null ids alone is all responses; an empty table writes no archive and gives no
@@ -217,13 +220,15 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     wanted = [c for c in FIELDS if payloads or c != "payload"]
     value = F.col("value")
     told = {k: c for k, c in fields(value).items() if k != "payload"}
-    small = scanned(spark, path, F.octet_length("value").cast("long").alias("bytes"), length(value).cast("long").alias("long"), F.struct(*[c.alias(k) for k, c in told.items()]).alias("own")).drop("value")
-    held = cut(placed(cut(small, "segments")), "places")
+    # The archives are read once: how they are split, and so what a segment is called, may change from one read to the next.
+    segments = scanned(spark, path, F.octet_length("value").cast("long").alias("bytes"), length(value).cast("long").alias("long"), F.struct(*[c.alias(k) for k, c in told.items()]).alias("own"))
+    segments = cut(segments, "segments")
+    held = cut(placed(segments.drop("value")), "places")
     candidates = held.filter("at >= 0 AND long IS NOT NULL").withColumn("end", F.col("at") + F.col("long"))
     whole = candidates.join(chained(candidates), ["archive", "at"], "left_semi")
     whole = cut(whole.select("archive", "block", "seq", "at", "end", "own", (F.col("bytes") + len(MAGIC) == F.col("long")).alias("alone")), "records")
     alone, pieced = whole.filter("alone"), whole.filter("NOT alone")
-    texts = scanned(spark, path)
+    texts = segments.select(*RANGE, "seq", "value")
     key = [*RANGE, "seq"]
     if payloads:
         out = alone.select(*key, "own").join(texts, key).select("own.*", fields(value)["payload"].alias("payload"))

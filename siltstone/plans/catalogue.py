@@ -817,9 +817,13 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return intake.read(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema)
 
 
-@query("""WITH l AS (SELECT *, lag(status) OVER (PARTITION BY call_id ORDER BY ts, event_id) AS old FROM status_log)
+#: Changes that the batch form finds.
+ORACLE_OF_CHANGES = """WITH l AS (SELECT *, lag(status) OVER (PARTITION BY call_id ORDER BY ts, event_id) AS old FROM status_log)
 SELECT call_id, old, status AS new FROM l WHERE old <> status AND old || '>' || status NOT IN ('received>validated', 'received>rejected', 'received>failed', 'validated>transcribed', 'validated>failed', 'transcribed>diarized', 'transcribed>failed',
-  'diarized>roles_assigned', 'diarized>failed', 'roles_assigned>evaluated', 'roles_assigned>failed')""")
+  'diarized>roles_assigned', 'diarized>failed', 'roles_assigned>evaluated', 'roles_assigned>failed')"""
+
+
+@query(ORACLE_OF_CHANGES)
 def stream_status_violations(spark, sf_dir):
     """The state of each call is its last status."""
     log = spark.sql(VIEWS["status_log"].replace("FROM events", "FROM {events}"), events=_stream(spark, sf_dir, "events"))

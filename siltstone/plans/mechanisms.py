@@ -10,9 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.exact import exact_sums
-from siltstone.operators import alignment, providers, runs, snapshots, store
-from siltstone.plans.catalogue import RECORD, REVISED, query
+from siltstone.operators import alignment, constraints, contracts, providers, runs, snapshots, store
+from siltstone.plans.catalogue import ORACLE_OF_CHANGES, RECORD, REVISED, query
+from siltstone.sources import files
 from siltstone.sources.tables import table, view
+from siltstone.streaming import intake, jobs
 from siltstone.streaming.intake import scratch
 
 # --- exact sums ------------------------------------------------------------------------------------------------------
@@ -151,3 +153,109 @@ def durable_stages(spark, sf_dir):
     first = held.run(calls, early).withColumn("run", F.lit(1))
     second = held.run(calls, {s: _plain(s) for s in runs.STAGES}).withColumn("run", F.lit(2))
     return first.unionByName(second).select("run", "call_id", "stage_order", "stage", "outcome", "error", "reason", "retry")
+
+
+# --- streams with state that ends ------------------------------------------------------------------------------------
+
+DAY = 86_400_000
+JOBS = """
+WITH e AS (SELECT user_id * 100 + day(ts) AS job_id, event_id, ts, event_type <> 'click' AS ok FROM events),
+j AS (SELECT job_id, count(*) AS done, count(*) FILTER (NOT ok) AS failed, count(*) + CASE WHEN job_id % 5 = 0 THEN 1 ELSE 0 END AS total, epoch_ms(max(ts)) AS last FROM e GROUP BY job_id)
+SELECT job_id, CASE WHEN done < total AND last + 93600000 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM e) THEN 'timed_out' WHEN done < total THEN 'running' WHEN failed > 0 THEN 'failed' ELSE 'completed' END AS status,
+  CAST(done AS INT) AS done, CAST(failed AS INT) AS failed, CAST(total AS INT) AS total FROM j
+"""
+
+
+@query(JOBS)
+def job_table(spark, sf_dir):
+    """Users' days as jobs of as many chunks as events, of which every fifth waits for one more; each chunk is told twice."""
+    ts = F.col("ts").cast("timestamp")
+    events = table(spark, sf_dir, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("job_id"), ts.alias("ts"), F.col("event_id").alias("chunk"), (F.col("event_type") != "click").alias("ok"))
+    none = lambda kind: F.lit(None).cast(kind)
+    totals = events.groupBy("job_id").agg(F.min("ts").alias("ts"), (F.count("*") + F.when(F.col("job_id") % 5 == 0, 1).otherwise(0)).cast("int").alias("total"))
+    told = events.withColumn("total", none("int")).unionByName(events.withColumn("total", none("int"))).unionByName(totals.withColumns({"chunk": none("long"), "ok": none("boolean")}))
+    path = scratch(spark)
+    # A file for every few days, in order, each a trigger of its own.
+    days = told.withColumn("part", F.floor(F.unix_millis("ts") / (8 * DAY)))
+    for (part,) in sorted(days.select("part").distinct().collect()):  # one for every eight days
+        days.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = intake.read(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema, files_per_trigger=1)
+    found = intake.drained(jobs.job_table(stream, timeout=26 * 3_600_000, keep=3 * DAY))
+    last = found.groupBy("job_id").agg(F.max_by(F.struct("status", "done", "failed", "total"), F.struct(F.col("status") != "running", "done")).alias("job"))
+    return last.select("job_id", "job.*")
+
+
+@query(ORACLE_OF_CHANGES)
+def status_machine(spark, sf_dir):
+    """The changes that the stream with state finds are those of the batch form."""
+    log = view(spark, sf_dir, "status_log").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = scratch(spark)
+    log.write.parquet(f"{path}/in")
+    stream = intake.read(spark, f"{path}/in", log.schema)
+    return intake.drained(jobs.illegal_changes(stream))
+
+
+# --- files page by page ----------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT file_id, page_number, replace(coalesce(text, ''), chr(12), ' ') AS text FROM file_pages)
+SELECT file_id, count(*) AS pages, round(avg(length(text)), 6) AS avg_chars, avg(length(text)) < 50 AS is_scanned, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS text FROM p GROUP BY file_id""")
+def paged_documents(spark, sf_dir):
+    """The page texts as files, a form feed after each page, read back page by page."""
+    pages = view(spark, sf_dir, "file_pages").withColumn("text", F.replace(F.coalesce("text", F.lit("")), F.lit("\f"), F.lit(" ")))
+    path = scratch(spark)
+    pages.repartition("file_id").sortWithinPartitions("file_id", "page_number").select("file_id", "text").write.partitionBy("file_id").option("lineSep", "\f").text(path)
+    read = files.paged(spark, path).withColumn("file_id", F.regexp_extract("path", r"file_id=(\d+)/", 1).cast("long"))
+    return contracts.scanned(read)
+
+
+# --- constraints of tables -------------------------------------------------------------------------------------------
+
+#: Five tables made of the given ones, with rows of every kind that breaks something.
+RECORDS = {
+    "calls": """SELECT CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_orderkey - o_orderkey % 2 * CASE WHEN o_orderkey % 51 = 1 THEN 1 ELSE 0 END END AS call_id, CAST(o_custkey % 4 AS INT) AS revision, CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS status, 'upload' AS source_type, 'mono' AS audio_channels,
+  o_orderdate AS call_timestamp, CAST(o_custkey % 10 AS DOUBLE) - 1 AS duration_seconds, 's' AS seller_number, 'f' AS original_filename, 'p' AS storage_path,
+  CASE o_custkey % 5 WHEN 0 THEN repeat('z', 64) WHEN 1 THEN repeat('A', 64) WHEN 2 THEN repeat('a', 63) ELSE repeat('0f', 32) END AS content_hash FROM orders""",
+    "transcription_results": "SELECT o_orderkey AS call_id, 'text' AS full_text, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 4 * 0.5e0 END AS language_confidence, CAST(o_custkey % 6 AS DOUBLE) - 1 AS processing_duration_seconds FROM orders WHERE o_orderkey % 11 <> 0",
+    "transcription_segments": "SELECT l_orderkey AS call_id, l_linenumber - 1 - CASE WHEN l_partkey % 50 = 0 THEN 2 ELSE 0 END AS segment_order, CASE WHEN l_suppkey % 8 = 0 THEN NULL ELSE 't' END AS text, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE 1.5e0 END AS start_seconds, 1e0 + l_partkey % 3 AS end_seconds FROM lineitem",
+    "knowledge_sources": "SELECT p_partkey AS source_id, 1 AS revision, p_name AS title, 'book' AS source_type, 'active' AS status, CAST(p_size - 3 AS INT) AS publication_year, 'en' AS language, repeat('0', 64) AS content_hash, 'v' AS version FROM part WHERE p_partkey % 13 <> 0",
+    "knowledge_sections": "SELECT p_partkey AS section_id, p_partkey - p_partkey % 3 AS source_id, CAST(p_partkey % 2 AS INT) AS ordinal, 'x' AS text, repeat('1', 64) AS content_hash, 'en' AS language, CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size - 1 AS INT) END AS page_start, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 20 END AS page_end FROM part",
+}
+
+
+def _broken(table: str, rule: str, key: str, where: str) -> str:
+    shown = " || ', ' || ".join(f"'{c}=' || coalesce(CAST({c} AS VARCHAR), 'null')" for c in key.split(", "))
+    return f"SELECT '{table}' AS \"table\", '{rule}' AS rule, {shown} AS row, CAST(1 AS BIGINT) AS n FROM r_{table} WHERE {where}"
+
+
+def _counted(table: str, rule: str, key: str, having: str, where: str = "TRUE") -> str:
+    shown = " || ', ' || ".join(f"'{c}=' || CAST({c} AS VARCHAR)" for c in key.split(", "))
+    return f"SELECT '{table}', '{rule}', {shown}, count(*) FROM r_{table} WHERE {where} GROUP BY {key} HAVING {having}"
+
+
+BROKEN = f"""
+WITH {", ".join(f"r_{k} AS ({v})" for k, v in RECORDS.items())}
+{" UNION ALL ".join([
+    _broken("calls", "call_id_missing", "call_id", "call_id IS NULL"), _broken("calls", "status_missing", "call_id", "status IS NULL"), _broken("calls", "revision_positive", "call_id", "revision <= 0"), _broken("calls", "duration_seconds_not_negative", "call_id", "duration_seconds < 0"),
+    _broken("calls", "content_hash_hex64", "call_id", "NOT regexp_full_match(content_hash, '[0-9a-f]{64}')"), _counted("calls", "call_id_repeated", "call_id", "count(*) > 1", "call_id IS NOT NULL"),
+    _broken("transcription_results", "language_confidence_share", "call_id", "language_confidence > 1"), _broken("transcription_results", "processing_duration_seconds_not_negative", "call_id", "processing_duration_seconds < 0"),
+    _counted("transcription_results", "call_id_not_in_calls", "call_id", "TRUE", "NOT EXISTS (SELECT 1 FROM r_calls c WHERE c.call_id = r_transcription_results.call_id)"),
+    _broken("transcription_segments", "text_missing", "call_id, segment_order", "text IS NULL"), _broken("transcription_segments", "segment_order_not_negative", "call_id, segment_order", "segment_order < 0"), _broken("transcription_segments", "end_not_before_start", "call_id, segment_order", "end_seconds < start_seconds"),
+    _counted("transcription_segments", "call_id_segment_order_repeated", "call_id, segment_order", "count(*) > 1"), _counted("transcription_segments", "call_id_not_in_transcription_results", "call_id", "TRUE", "call_id NOT IN (SELECT call_id FROM r_transcription_results)"),
+    _broken("knowledge_sources", "publication_year_positive", "source_id", "publication_year < 1"),
+    _broken("knowledge_sections", "page_start_positive", "section_id", "page_start < 1"), _broken("knowledge_sections", "page_range", "section_id", "page_end IS NOT NULL AND (page_start IS NULL OR page_end < page_start)"),
+    _counted("knowledge_sections", "source_id_ordinal_repeated", "source_id, ordinal", "count(*) > 1"), _counted("knowledge_sections", "source_id_not_in_knowledge_sources", "source_id", "TRUE", "source_id NOT IN (SELECT source_id FROM r_knowledge_sources)"),
+])}
+"""
+
+
+@query(BROKEN)
+def constraint_violations(spark, sf_dir):
+    sources = {t: table(spark, sf_dir, t) for t in ("orders", "lineitem", "part")}
+
+    def made(sql: str):
+        for t, df in sources.items():
+            if f"FROM {t}" in sql:
+                return spark.sql(sql.replace(f"FROM {t}", f"FROM {{{t}}}"), **{t: df})
+
+    return constraints.violations({name: made(sql) for name, sql in RECORDS.items()})

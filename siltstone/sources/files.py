@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siltstone.functions.text import brand_from_path, call_id, clean_document, decode_text
+from siltstone.functions.text import brand_from_path, clean_document, decode_text
+from siltstone.sources import streams
+from siltstone.sources.shipping import ship
 
 #: Recordings that may be taken in, their most channels, and what a canonical recording is.
 AUDIO_SUFFIXES = ("wav", "mp3", "m4a", "aac", "flac", "ogg", "opus", "amr", "wma")
@@ -24,9 +26,28 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
+def hashed(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, modified, content_hash of the files under a path, and what a recording's header says: codec, sample_rate, channels, container, duration.
+
+    Files of any length are read a block at a time.
+    """
+    ship(spark)
+    spark.dataSource.register(streams.Recordings)
+    return spark.read.format(streams.Recordings.name()).load(path).withColumn("modified", F.timestamp_millis("modified"))
+
+
+def paged(spark: SparkSession, path: str, decoder: str | None = None, pages: int = streams.PAGES) -> DataFrame:
+    """path, page_number, text of the documents under a path, page by page. decoder: "module:class" of what reads their format; see ``streams``."""
+    ship(spark)
+    spark.dataSource.register(streams.Pages)
+    reader = spark.read.format(streams.Pages.name()).option("pages", pages)
+    return (reader.option("decoder", decoder) if decoder else reader).load(path)
+
+
 def catalogues(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue files in order of their paths, with the brand that their names tell."""
-    return files(spark, path, "*.pdf").select("path", brand_from_path(F.col("path")).alias("brand"), F.sha2("content", 256).alias("content_hash"), "length").orderBy("path")
+    own = hashed(spark, path).filter(suffix(F.col("path")) == "pdf")
+    return own.select("path", brand_from_path(F.col("path")).alias("brand"), "content_hash", "length").orderBy("path")
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -42,10 +63,10 @@ def upload_errors(rows: DataFrame) -> DataFrame:
 
 
 def recordings(spark: SparkSession, path: str) -> DataFrame:
-    """call_id, path, content_hash, modified, error of recordings; equal contents have equal ids."""
-    rows = files(spark, path)
+    """call_id, path, content_hash, modified, error of recordings, and what their headers say; equal contents have equal ids."""
+    rows = hashed(spark, path)
     error = F.when(~suffix(F.col("path")).isin(*AUDIO_SUFFIXES), "unsupported_format").when(F.col("length") == 0, "empty_file")
-    return rows.select(call_id(F.col("content")).alias("call_id"), "path", F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("modified"), error.alias("error"))
+    return rows.select(F.concat(F.lit("call-"), F.substring("content_hash", 1, 16)).alias("call_id"), "path", "content_hash", "modified", error.alias("error"), "codec", "sample_rate", "channels", "container", "duration")
 
 
 PROBE = "streams array<struct<codec_type: string, codec_name: string, sample_rate: string, channels: int>>, format struct<format_name: string, duration: string>"
@@ -70,6 +91,15 @@ def canonical(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("channels") == CHANNELS) & (F.col("sample_rate") == RATE) & (F.col("codec") == CODEC) & F.col("container").contains("wav") & (F.col("duration") > 0))
 
 
+def canonical_errors(rows: DataFrame) -> DataFrame:
+    """path, error of recordings (with their headers' columns) that were to be canonical and aren't: what a transform left is checked from its own bytes."""
+    error = (
+        F.when(F.col("container").isNull(), "unreadable").when(F.col("container") != "wav", "wrong_container").when(~F.col("codec").eqNullSafe(CODEC), "wrong_codec")
+        .when(~F.col("sample_rate").eqNullSafe(RATE), "wrong_rate").when(~F.col("channels").eqNullSafe(CHANNELS), "wrong_channels").when(~F.coalesce(F.col("duration") > 0, F.lit(False)), "empty")
+    )
+    return rows.select("path", error.alias("error")).filter("error IS NOT NULL")
+
+
 def to_normalize(rows: DataFrame, done: DataFrame) -> DataFrame:
     """Recordings without a canonical file yet, with the name that it will have."""
     return rows.join(done.select("content_hash").distinct(), "content_hash", "left_anti").withColumn("target", F.concat("content_hash", F.lit(".asr.wav")))

@@ -14,40 +14,42 @@ from pyspark.sql import functions as F
 MIN_RATIO, MARGIN, TOLERANCE = 0.5, 0.1, 0.02
 
 
-def meeting(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], key: str = "call_id") -> DataFrame:
+#: Seconds of the finest slices, and how many times as long those of each coarser level are; levels with slices.
+SLICE, FACTOR, LEVELS = 16.0, 64, 2
+
+
+def meeting(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], key: str = "call_id", slice_: float = SLICE) -> DataFrame:
     """left and right rows of a key whose intervals (columns a and b) overlap by more than a point: both rows' columns, the key once.
 
-    Each key's time is cut into slices as long as its intervals are on average, once they're clipped to where both sides have
-    any; so the intervals together touch at most three slices for each of them, however they are mixed. Rows meet by key and
-    slice, and a pair counts in the first slice that both touch. Intervals that are empty, or reach from or to nowhere (null or
-    nan), meet nothing; those without an end (infinite) are clipped like others.
+    Time is cut into slices at levels of growing length. An interval's own level is the first at which it spans ``FACTOR``
+    slices at most (the last level is a single slice), and two rows meet at the higher of their levels: the row of that level
+    in the slices that it touches, and the other in the one or two of the same length that it touches. So each row is sent
+    a few times however intervals are mixed, a call of any length is shared by many tasks, and a pair counts in the first slice
+    that both touch. Work is in proportion to the rows and to how many lie close together: slice_ should not be much longer
+    than intervals are. Intervals that are empty, or have a null or nan, meet nothing; those without an end are like long ones.
     """
-    sound = lambda x: (F.col(x[1]) > F.col(x[0])) & ~F.isnan(x[0]) & ~F.isnan(x[1])
-    left, right = left.filter(sound(a)), right.filter(sound(b))
-    finite = lambda c: F.when(F.abs(c) < float("inf"), F.col(c))
-
-    def extent(rows: DataFrame, x: tuple[str, str], side: str) -> DataFrame:
-        start, end = finite(x[0]), finite(x[1])
-        return rows.groupBy(key).agg(F.least(F.min(start), F.min(end)).alias(f"_from{side}"), F.greatest(F.max(start), F.max(end)).alias(f"_to{side}"), F.count("*").alias(f"_n{side}"), F.sum(end - start).alias(f"_sum{side}"))
-
-    per = extent(left, a, "l").join(extent(right, b, "r"), key)
-    per = per.withColumns({"_from": F.coalesce(F.greatest("_froml", "_fromr"), F.lit(0.0)), "_to": F.coalesce(F.least("_tol", "_tor"), F.lit(0.0))})
-    span = F.greatest(F.col("_to") - F.col("_from"), F.lit(0.0))
-    # An interval's clipped length is at most its own and the span.
-    total = F.least(F.coalesce("_suml", span * F.col("_nl")), span * F.col("_nl")) + F.least(F.coalesce("_sumr", span * F.col("_nr")), span * F.col("_nr"))
-    mean = total / (F.col("_nl") + F.col("_nr"))
-    # Never more slices than there are rows, nor a slice of no length.
-    per = per.select(key, "_from", "_to", F.greatest(mean, span / (F.col("_nl") + F.col("_nr")), F.lit(1e-9)).alias("_width"))
-
-    def sliced(rows: DataFrame, x: tuple[str, str], side: str) -> DataFrame:
-        within = lambda c: F.least(F.greatest(F.col(c), F.col("_from")), F.col("_to"))
-        at = lambda c: F.floor((within(c) - F.col("_from")) / F.col("_width"))
+    widths = [slice_ * FACTOR**k for k in range(LEVELS)]
+
+    def sliced(rows: DataFrame, x: tuple[str, str], side: str, tags: tuple[str, str]) -> DataFrame:
+        """Copies of the rows: those that meet rows of their own level or finer ones (tags[0]), and those that meet coarser ones (tags[1])."""
+        start, end = F.col(x[0]).cast("double"), F.col(x[1]).cast("double")
+        sound = rows.filter((end > start) & ~F.isnan(start) & ~F.isnan(end))
+        level = F.lit(LEVELS)
+        for k in reversed(range(LEVELS)):
+            level = F.when(end - start <= widths[k] * FACTOR, k).otherwise(level)
         own = F.struct(*[c for c in rows.columns if c != key])
-        held = rows.join(per, key).select(key, own.alias(f"_{side}"), at(x[0]).alias(f"_first{side}"), at(x[1]).alias(f"_last{side}"))
-        return held.select(key, f"_{side}", f"_first{side}", F.explode(F.sequence(f"_first{side}", f"_last{side}")).alias("_slice"))
-
-    pairs = sliced(left, a, "l").join(sliced(right, b, "r"), [key, "_slice"]).filter(F.col("_slice") == F.greatest("_firstl", "_firstr"))
-    both = pairs.select(key, "_l.*", "_r.*")
+        held = sound.select(key, own.alias(f"_{side}"), start.alias("_start"), end.alias("_end"), level.alias("_own"))
+        at = lambda c, k: F.floor(F.col(c) / widths[k]) if k < LEVELS else F.lit(0).cast("long")
+        copy = lambda k, tag: F.struct(F.lit(tag).alias("_tag"), F.lit(k).alias("_level"), at("_start", k).alias("_from"), at("_end", k).alias("_to"))
+        # The left row meets right rows of its own level or finer; else the right row is the coarser one.
+        mine = lambda k: F.col("_own") == k if side == "l" else F.col("_own") <= k
+        others = lambda k: F.col("_own") < k if side == "l" else F.col("_own") == k
+        copies = [F.when(rule(k), copy(k, tag)) for rule, tag in zip((mine, others), tags) for k in range(LEVELS + 1)]
+        each = held.select(key, f"_{side}", F.inline(F.array_compact(F.array(*copies))))
+        return each.select(key, "_tag", "_level", f"_{side}", F.col("_from").alias(f"_first{side}"), F.explode(F.sequence("_from", "_to")).alias("_slice"))
+
+    met = sliced(left, a, "l", ("left", "right")).join(sliced(right, b, "r", ("left", "right")), [key, "_tag", "_level", "_slice"])
+    both = met.filter(F.col("_slice") == F.greatest("_firstl", "_firstr")).select(key, "_l.*", "_r.*")
     return both.filter((F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])))
 
 

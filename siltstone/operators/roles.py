@@ -60,7 +60,7 @@ def flags(assigned: DataFrame, sellers: int = 1, customers: int = 1) -> DataFram
     count = lambda c: F.count_if(c)
     role, status = F.col("role"), F.col("status")
     per = assigned.groupBy("call_id").agg(
-        F.count("*").alias("n"), count(role == "seller").alias("s"), count(role == "customer").alias("c"), count(role == "unknown").alias("u"), count(status == "conflicted").alias("x"),
+        F.size(F.collect_set("speaker_label")).alias("n"), count(role == "seller").alias("s"), count(role == "customer").alias("c"), count(role == "unknown").alias("u"), count(status == "conflicted").alias("x"),
         count(F.col("reason") == "authoritative_conflict").alias("ax"), count(F.col("reason") == "weak_heuristic").alias("h"), count(F.col("reason") != "no_evidence").alias("e"), count(status == "assigned").alias("a"),
     )
     each = {

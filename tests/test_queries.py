@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from rows import counted
-from siltstone.plans import catalogue, mechanisms, records  # noqa: F401  the others add their queries
+from siltstone.plans import catalogue, mechanisms, records, service  # noqa: F401  the others add their queries
 
 SF = "/root/testdata/sf0.001"
 

@@ -110,3 +110,20 @@ def exact_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column], counts
     each = rounded(groups.select(*keys, *[f"_n{k}" for k in range(len(counts))], F.posexplode("_lists").alias("_which", "_bins")), "_bins", "_sum")
     found = [F.max(F.when(F.col("_which") == k, F.col("_sum"))).alias(name) for k, name in enumerate(sums)]
     return each.groupBy(*keys).agg(*found, *[F.first(f"_n{k}").alias(name) for k, name in enumerate(counts)])
+
+
+def float_hex(x: Column) -> Column:
+    """A double as text in base 16, exact, as ``float.hex`` writes it; null stays null."""
+    v = x.cast("double")
+    size = F.abs(v)
+    # The logarithm may be off by one next to a power of two; least of all numbers have no leading 1.
+    near = F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size).otherwise(1.0))).cast("int")
+    near = F.greatest(F.least(near, F.lit(1023)), F.lit(-1022))
+    e = F.when(power(near) > size, near - 1).when((near < 1023) & (power(F.least(near + 1, F.lit(1023))) <= size), near + 1).otherwise(near)
+    e = F.greatest(e, F.lit(-1022))
+    scaled = size * power(-e)
+    lead = F.when(scaled >= 1, 1).otherwise(0)
+    digits = F.lpad(F.lower(F.hex(((scaled - lead) * 2.0**52).cast("long"))), 13, "0")
+    sign = F.when((v < 0) | (v.cast("string") == "-0.0"), "-").otherwise("")
+    shown = F.concat(sign, F.lit("0x"), lead.cast("string"), F.lit("."), digits, F.lit("p"), F.when(e >= 0, "+").otherwise("-"), F.abs(e).cast("string"))
+    return F.when(v.isNull(), None).when(F.isnan(v), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(size == 0, F.concat(sign, F.lit("0x0.0p+0"))).otherwise(shown)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions.exact import float_hex
 from siltstone.functions.text import strip
 
 #: How a stage's failure is told to a client, by reason where it can't be tried again, and rubric changes.
@@ -100,6 +101,25 @@ def key(*parts: str) -> Column:
     return F.concat_ws("/", *[F.col(p).cast("string") for p in parts])
 
 
+def policies(rows: DataFrame) -> DataFrame:
+    """rows with fingerprint: the hash of a scoring policy (minimum_scored_weight_coverage, minimum_scored_criterion_coverage,
+    require_no_human_review_for_publish), with numbers written exactly, so that policies are equal just when it is."""
+    truth = F.when(F.col("require_no_human_review_for_publish"), "true").otherwise("false")
+    written = F.concat(
+        F.lit('{"minimum_scored_criterion_coverage":"'), float_hex(F.col("minimum_scored_criterion_coverage")), F.lit('","minimum_scored_weight_coverage":"'), float_hex(F.col("minimum_scored_weight_coverage")),
+        F.lit('","require_no_human_review_for_publish":'), truth, F.lit("}"),
+    )
+    return rows.withColumn("fingerprint", F.sha2(written, 256))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Stored evaluations or scores in the order of their lists: call, rubric, version by its numbers, provider, model, and fingerprint if there is one."""
+    parts = F.split("rubric_version", r"\.")
+    version = [F.try_element_at(parts, F.lit(k)).try_cast("decimal(38,0)") for k in (1, 2, 3)]
+    last = [c for c in ("provider_name", "model_name", "fingerprint") if c in rows.columns]
+    return rows.orderBy("call_id", "rubric_id", *version, *last)
+
+
 def public(rows: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     """Allowed columns only, as one JSON document a row."""
     return rows.select(F.to_json(F.struct(*[c for c in allowed if c in rows.columns])).alias("json"))

@@ -31,6 +31,15 @@ FAILURES = {
     **{f"{p}_timeout": ("provider_timeout", "retryable") for p in ("transcription", "diarization", "evaluation")},
     **{f"{p}_request_failed": ("provider_request_failed", "non_retryable") for p in ("transcription", "diarization", "evaluation")},
 }
+#: What is wrong with a request or with what a run finds, as (reason, retry class).
+CHECKS = {
+    "call_missing": ("missing_call", "non_retryable"),
+    "status_refused": ("invalid_call_status", "non_retryable"),
+    "rubric_missing": ("missing_rubric", "non_retryable"),
+    "rubric_not_approved": ("rubric_not_approved", "non_retryable"),
+    "audio_missing": ("missing_normalized_audio", "non_retryable"),
+    "status_beyond_artifacts": ("status_artifact_inconsistency", "non_retryable"),
+}
 PATH = ("received", "validated", "transcribed", "diarized", "roles_assigned", "evaluated")
 
 
@@ -102,3 +111,59 @@ def failure(kind: Column) -> Column:
     for name, (reason, retry) in FAILURES.items():
         out = F.when(kind == name, F.struct(F.lit(reason).alias("reason"), F.lit(retry).alias("retry"))).otherwise(out)
     return out
+
+
+def admission(requests: DataFrame, calls: DataFrame, rubrics: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """request, problem, reason, retry: what keeps a run from starting, the first of CHECKS in order; null of all three lets it start.
+
+    requests: request, call_id, target, rubric_id, rubric_version, audio_path; calls: call_id, status; rubrics: rubric_id, version,
+    status; artifacts: call_id, kind. Audio is needed while transcription or diarization is still to be done. A call's status
+    may not be further on than its artifacts bear out.
+    """
+    names = [*STAGES[:5]]
+    has = artifacts.filter(F.col("kind").isin(*names)).groupBy("call_id").agg(*[F.bool_or(F.col("kind") == s).alias(f"has_{s}") for s in names])
+    held = requests.join(calls.select("call_id", F.col("status").alias("_status")), "call_id", "left").join(has, "call_id", "left")
+    held = held.join(rubrics.select("rubric_id", F.col("version").alias("rubric_version"), F.col("status").alias("_rubric")), ["rubric_id", "rubric_version"], "left")
+    held = held.withColumns({f"has_{s}": F.coalesce(f"has_{s}", F.lit(False)) for s in names})
+    order = F.array(*[F.lit(s) for s in PATH])
+    needs = F.col("target") != "role_assignment"
+    problem = (
+        F.when(F.col("_status").isNull(), "call_missing").when(F.col("_status").isin(*REFUSED), "status_refused").when(needs & F.col("_rubric").isNull(), "rubric_missing").when(needs & (F.col("_rubric") != "approved"), "rubric_not_approved")
+        .when(F.array_position(order, F.col("_status")) > F.array_position(order, supported_status()), "status_beyond_artifacts")
+        .when(~(F.col("has_transcription") & F.col("has_diarization")) & (F.coalesce("audio_path", F.lit("")) == ""), "audio_missing")
+    )
+    held = held.withColumn("problem", problem)
+    reason, retry = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, (r, c) in CHECKS.items():
+        reason, retry = F.when(F.col("problem") == name, r).otherwise(reason), F.when(F.col("problem") == name, c).otherwise(retry)
+    return held.select("request", "problem", reason.alias("reason"), retry.alias("retry"))
+
+
+#: The status that a stage brings a call to; aggregation brings it to none.
+REACHES = {"transcription": "transcribed", "diarization": "diarized", "alignment": "diarized", "role_assignment": "roles_assigned", "evaluation": "evaluated"}
+
+
+def failed_calls(calls: DataFrame, failures: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """call_id, stage, status, revision, outcome of failures to be kept in their calls: failed (status and revision are the new ones), or why not.
+
+    calls: call_id, status, revision; failures: call_id, stage, revision (that the run read). A failure is kept only if its stage
+    wasn't done by another run meanwhile (already_done: its result exists, or the status is as far on), the status may still fail
+    (not_allowed), and nobody changed the call since (stale). Of several failures of a call the earliest stage counts, the others
+    are superseded. A failed aggregation is never kept (not_kept), nor is one of a call that isn't there (missing).
+    """
+    order = F.array(*[F.lit(s) for s in STAGES])
+    there = artifacts.select("call_id", F.col("kind").alias("stage")).distinct().withColumn("_done", F.lit(True))
+    held = failures.withColumnRenamed("revision", "_read").join(calls, "call_id", "left").join(there, ["call_id", "stage"], "left")
+    path, reaches = F.array(*[F.lit(s) for s in PATH]), F.lit(None).cast("string")
+    for name, status in REACHES.items():
+        reaches = F.when(F.col("stage") == name, status).otherwise(reaches)
+    far = F.coalesce(F.array_position(path, F.col("status")) >= F.array_position(path, reaches), F.lit(False))
+    outcome = (
+        F.when(F.col("stage") == STAGES[-1], "not_kept").when(F.col("status").isNull(), "missing").when(F.coalesce("_done", F.lit(False)) | far, "already_done")
+        .when(~legal(F.col("status"), F.lit("failed")), "not_allowed").when(~F.col("_read").eqNullSafe(F.col("revision")), "stale").otherwise("failed")
+    )
+    held = held.withColumn("outcome", outcome)
+    turn = F.row_number().over(W.partitionBy("call_id", "outcome").orderBy(F.array_position(order, F.col("stage"))))
+    held = held.withColumn("outcome", F.when((F.col("outcome") == "failed") & (turn > 1), "superseded").otherwise(F.col("outcome")))
+    kept = F.col("outcome") == "failed"
+    return held.select("call_id", "stage", F.when(kept, "failed").otherwise(F.col("status")).alias("status"), (F.col("revision") + F.when(kept, 1).otherwise(0)).alias("revision"), "outcome")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators.validation import blank
+from siltstone.functions.text import strip
 
 INVALID, MISSING = "invalid_response", "missing_fields"
 
@@ -96,6 +96,30 @@ def requests(artifacts: DataFrame, *settings: str) -> DataFrame:
     return artifacts.select("call_id", F.col("storage_path").alias("audio_path"), F.col("content_hash").alias("audio_hash"), *settings, F.when(lacks, MISSING).alias("error"))
 
 
-def named(rows: DataFrame, column: str) -> DataFrame:
-    """Rows whose column isn't blank."""
-    return rows.filter(~blank(column))
+def spoken(mapped: DataFrame, *key: str) -> DataFrame:
+    """key, segment_order, text, start_seconds, end_seconds, metrics, words of valid payloads' segments, as a transcript keeps them.
+
+    metrics: array of name, value, scale, higher_is_better, of what the provider gave, in the order log probability, no speech.
+    words: array of text, start_seconds, end_seconds, metrics; blank words go, and times stay only if all that are left have both.
+    """
+    each = mapped.filter("error IS NULL").select(*key, F.posexplode("segments").alias("segment_order", "_s"))
+    s = F.col("_s")
+
+    def metric(value: Column, name: str, scale: str, better: bool) -> Column:
+        held = F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(scale).alias("scale"), F.lit(better).alias("higher_is_better"))
+        return F.when(value.isNotNull(), held)
+
+    def metrics(*given: Column) -> Column:
+        return F.array_compact(F.array(*given))
+
+    def word(w: Column) -> Column:
+        sure = metrics(metric(_at(w, "$.probability", "double"), "WORD_PROBABILITY", "zero_to_one", True))
+        said = F.when(F.coalesce(_given(_at(w, "$.word")), F.lit(False)), _at(w, "$.word", "string")).otherwise(_at(w, "$.text", "string"))
+        return F.struct(said.alias("text"), _at(w, "$.start", "double").alias("start_seconds"), _at(w, "$.end", "double").alias("end_seconds"), sure.alias("metrics"))
+
+    kept = F.filter(F.transform(_words(s), word), lambda w: strip(F.coalesce(w["text"], F.lit(""))) != "")
+    held = each.withColumn("_w", kept).withColumn("_timed", F.forall("_w", lambda w: w["start_seconds"].isNotNull() & w["end_seconds"].isNotNull()))
+    timed = lambda t: F.when(F.col("_timed"), t)
+    words = F.transform("_w", lambda w: F.struct(w["text"].alias("text"), timed(w["start_seconds"]).alias("start_seconds"), timed(w["end_seconds"]).alias("end_seconds"), w["metrics"].alias("metrics")))
+    own = metrics(metric(_at(s, "$.avg_logprob", "double"), "AVG_LOGPROB", "log_probability", True), metric(_at(s, "$.no_speech_prob", "double"), "NO_SPEECH_PROB", "zero_to_one", False))
+    return held.select(*key, "segment_order", _at(s, "$.text", "string").alias("text"), _at(s, "$.start", "double").alias("start_seconds"), _at(s, "$.end", "double").alias("end_seconds"), own.alias("metrics"), words.alias("words"))

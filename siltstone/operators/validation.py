@@ -120,6 +120,48 @@ def contributions(rows: DataFrame) -> DataFrame:
     })
 
 
+#: Settings by component: what kind each is, with its range or its values. A setting that isn't given has its default.
+SETTINGS = {
+    "aggregation": {"minimum_scored_weight_coverage": ("ratio",), "minimum_scored_criterion_coverage": ("ratio",), "require_no_human_review_for_publish": ("truth",)},
+    "alignment": {"minimum_overlap_ratio": ("ratio",), "ambiguity_margin": ("ratio",), "word_level_enabled": ("truth",), "boundary_tolerance_seconds": ("seconds",)},
+    "roles": {"expected_seller_count": ("count", 0, "optional"), "expected_customer_count": ("count", 0, "optional"), "allow_heuristics": ("truth",)},
+    "transcription": {
+        "model_size_or_path": ("text",), "device": ("name", "cpu", "cuda", "auto"), "compute_type": ("text",), "device_index": ("count", 0), "cpu_threads": ("count", 0), "beam_size": ("count", 1),
+        "word_timestamps": ("truth",), "vad_filter": ("truth",), "local_files_only": ("truth",), "download_root": ("text", "optional"), "default_language": ("text", "optional"),
+    },
+    "vision": {"provider": ("name", "anthropic", "openai"), "render_dpi": ("count", 1), "max_workers": ("count", 1)},
+}
+
+
+def configurations(rows: DataFrame, *key: str) -> DataFrame:
+    """key, rule of settings as JSON objects (component, settings): ``setting:invalid``, ``setting:unknown``, ``component:unknown``, ``settings:unreadable``.
+
+    A ratio is a number from 0 to 1, seconds a finite number of at least 0, a count a whole number. Optional settings may be null.
+    """
+    held = rows.withColumn("_v", F.try_parse_json("settings"))
+    of = lambda n: F.try_variant_get("_v", f"$.{n}", "variant")
+    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
+    rules = {"component:unknown": ~F.coalesce(F.col("component").isin(*SETTINGS), F.lit(False)), "settings:unreadable": ~is_object}
+    names = F.array().cast("array<string>")
+    for component, own in SETTINGS.items():
+        here = is_object & (F.col("component") == component)
+        names = F.when(F.col("component") == component, F.array(*[F.lit(n) for n in own])).otherwise(names)
+        for name, (what, *allowed) in own.items():
+            kind, x = F.schema_of_variant(of(name)), of(name).try_cast("double")
+            number = F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False))
+            text = F.when(kind == "STRING", of(name).try_cast("string"))
+            good = {
+                "ratio": lambda: number & x.between(0.0, 1.0), "seconds": lambda: number & (x >= 0) & (x < float("inf")), "truth": lambda: kind == "BOOLEAN", "text": lambda: strip(text) != "",
+                "name": lambda: text.isin(*allowed), "count": lambda: (kind == "BIGINT") & (x >= allowed[0]),
+            }[what]()
+            none = F.lit(False) if "optional" not in allowed else F.is_variant_null(of(name))
+            rules[f"{name}:invalid"] = rules.get(f"{name}:invalid", F.lit(False)) | here & of(name).isNotNull() & ~F.coalesce(good, F.lit(False)) & ~none
+    known = F.when(is_object & F.coalesce(F.col("component").isin(*SETTINGS), F.lit(False)), F.array_except(F.json_object_keys(F.to_json("_v")), names))
+    beyond = F.transform(F.coalesce(known, F.array().cast("array<string>")), lambda n: F.concat(n, F.lit(":unknown")))
+    broken = F.concat(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])), beyond)
+    return held.select(*key, F.explode(broken).alias("rule"))
+
+
 def settings(minimum_overlap_ratio: float, ambiguity_margin: float, boundary_tolerance: float) -> list[str]:
     """What is wrong with an alignment's settings."""
     out = [n for n, v in (("minimum_overlap_ratio", minimum_overlap_ratio), ("ambiguity_margin", ambiguity_margin)) if not 0 <= v <= 1]

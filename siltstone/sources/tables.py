@@ -295,6 +295,35 @@ SELECT concat('rubric-', CAST(r_regionkey AS STRING)) AS rubric_id, '1.2.0' AS r
 SELECT conv_id AS call_id, CAST(min(turn) AS INT) AS label_order, CASE role WHEN 'user' THEN 'SPEAKER_00' WHEN 'assistant' THEN 'SPEAKER_01' ELSE 'SPEAKER_02' END AS speaker_label FROM conversations WHERE conv_id % 10 <> 7 GROUP BY conv_id, role""",
     "assigned_labels": """
 SELECT call_id, CASE WHEN call_id % 7 = 0 THEN -label_order ELSE label_order END AS label_order, speaker_label FROM aligned_labels WHERE call_id % 12 <> 5 AND NOT (call_id % 8 = 0 AND label_order > 0)""",
+    # Bodies of requests as clients send them, some of no use.
+    "call_bodies": """
+SELECT o_orderkey AS request, CASE o_orderkey % 31 WHEN 0 THEN 'no json' WHEN 1 THEN '[]' WHEN 2 THEN NULL ELSE concat('{"call_id": ', CASE WHEN o_orderkey % 7 = 0 THEN '"a/b"' WHEN o_orderkey % 11 = 0 THEN '5' ELSE concat('"call-', CAST(o_orderkey AS STRING), '"') END, ', "seller_number": "', CASE WHEN o_custkey % 9 = 0 THEN ' ' ELSE CAST(o_custkey AS STRING) END, '", "source_type": "', CASE WHEN o_custkey % 8 = 0 THEN 'upload' ELSE 'cdr_software' END,
+  '", "call_timestamp": "2024-0', CAST(1 + o_orderkey % 9 AS STRING), '-', CAST(10 + o_custkey % 18 AS STRING), 'T0', CAST(o_custkey % 9 AS STRING), ':30:00', CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Z' WHEN 2 THEN '+02:00' ELSE '-05:30' END, '", "duration_seconds": ', CASE o_custkey % 6 WHEN 0 THEN '-1' WHEN 1 THEN '"12.5"' WHEN 2 THEN 'true' ELSE CAST(o_custkey AS STRING) END,
+  CASE WHEN o_custkey % 4 = 0 THEN ', "counterparty_phone": null' WHEN o_custkey % 13 = 0 THEN ', "counterparty_phone": 5' WHEN o_custkey % 3 = 0 THEN ', "counterparty_phone": "0"' ELSE '' END, CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE ', "original_filename": "f.wav"' END, ', "audio_channels": "', CASE WHEN o_orderkey % 19 = 0 THEN 'quad' ELSE 'mono' END,
+  '", "original_audio_storage_ref": "/a/', CAST(o_orderkey AS STRING), '", "original_audio_content_hash": "', CASE WHEN o_orderkey % 6 = 0 THEN 'xyz' ELSE '0123456789abcdef0123456789abcdef0123456789abcdef0123456789abcdef' END, '"', CASE WHEN o_custkey % 10 = 0 THEN ', "priority": 1' ELSE '' END, '}') END AS body FROM orders""",
+    "run_bodies": """
+SELECT o_orderkey AS request, CASE WHEN o_orderkey % 29 = 0 THEN '{' ELSE concat('{"call_id": "call', CASE WHEN o_orderkey % 13 = 0 THEN ' ' ELSE '-' END, CAST(o_orderkey AS STRING), '"', CASE o_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN ', "target": "evaluation"' WHEN 2 THEN ', "target": "role_assignment"' WHEN 3 THEN ', "target": "publication"' ELSE ', "target": 7' END,
+  CASE WHEN o_orderkey % 3 > 0 THEN ', "rubric_id": "r1", "rubric_version": "1.0.2"' WHEN o_orderkey % 6 = 0 THEN ', "rubric_id": "r1", "rubric_version": "1.0"' ELSE '' END,
+  CASE o_custkey % 4 WHEN 0 THEN ', "role_evidence": [{"evidence_id": "e1", "speaker_label": "SPEAKER_00", "evidence_type": "known_channel", "suggested_role": "seller"}]' WHEN 1 THEN ', "role_evidence": [{"evidence_id": "e 1", "speaker_label": "Anna", "evidence_type": "guess"}, 3]' WHEN 2 THEN ', "role_evidence": {}' ELSE '' END,
+  CASE o_orderkey % 5 WHEN 0 THEN ', "normalized_audio": {"storage_ref": "/n", "content_hash": "h", "duration_seconds": 3.5}' WHEN 1 THEN ', "normalized_audio": {"storage_ref": "/n", "size": 4, "duration_seconds": 0}' WHEN 2 THEN ', "normalized_audio": null' ELSE '' END, '}') END AS body FROM orders""",
+    "policies": """
+SELECT o_orderkey AS policy, o_totalprice / 1000000 AS minimum_scored_weight_coverage, CAST(o_custkey % 64 AS DOUBLE) / 64 AS minimum_scored_criterion_coverage, o_orderkey % 2 = 0 AS require_no_human_review_for_publish FROM orders""",
+    "configuration_records": """
+SELECT o_orderkey AS config, CASE o_orderkey % 7 WHEN 0 THEN 'alignment' WHEN 1 THEN 'aggregation' WHEN 2 THEN 'roles' WHEN 3 THEN 'transcription' WHEN 4 THEN 'vision' WHEN 5 THEN 'mixer' ELSE 'alignment' END AS component,
+  CASE o_orderkey % 7 WHEN 0 THEN concat('{"minimum_overlap_ratio": ', CAST(o_custkey % 3 AS STRING), ', "ambiguity_margin": 0.1', CASE WHEN o_custkey % 2 = 0 THEN ', "word_level_enabled": 1' ELSE ', "boundary_tolerance_seconds": -0.5' END, '}') WHEN 1 THEN concat('{"minimum_scored_weight_coverage": "0.5", "require_no_human_review_for_publish": ', CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE 'null' END, '}')
+    WHEN 2 THEN concat('{"expected_seller_count": ', CASE o_custkey % 4 WHEN 0 THEN 'null' WHEN 1 THEN '-1' WHEN 2 THEN '1.5' ELSE '2' END, ', "speakers": 2}') WHEN 3 THEN concat('{"device": "', CASE WHEN o_custkey % 2 = 0 THEN 'tpu' ELSE 'cuda' END, '", "beam_size": ', CAST(o_custkey % 3 AS STRING), ', "model_size_or_path": " ", "default_language": null}') WHEN 4 THEN concat('{"provider": "', CASE WHEN o_custkey % 3 = 0 THEN 'other' ELSE 'openai' END, '", "render_dpi": 175}') WHEN 5 THEN '{}' ELSE '7' END AS settings FROM orders""",
+    # Runs that ask to start, and failures that they met.
+    "admission_requests": """
+SELECT o_orderkey AS request, o_orderkey + CASE WHEN o_custkey % 23 = 0 THEN 1000000000 ELSE 0 END AS call_id, CASE o_custkey % 3 WHEN 0 THEN 'role_assignment' WHEN 1 THEN 'evaluation' ELSE 'aggregation' END AS target, concat('rubric-', CAST(o_orderkey % 6 AS STRING)) AS rubric_id, '1.2.0' AS rubric_version, CASE WHEN o_custkey % 2 = 0 THEN '/n' WHEN o_custkey % 5 = 0 THEN '' END AS audio_path FROM orders""",
+    "stage_failures": """
+SELECT o_orderkey AS call_id, CASE o_custkey % 6 WHEN 0 THEN 'transcription' WHEN 1 THEN 'diarization' WHEN 2 THEN 'alignment' WHEN 3 THEN 'role_assignment' WHEN 4 THEN 'evaluation' ELSE 'aggregation' END AS stage, CAST(o_orderkey % 3 AS INT) + CASE WHEN o_custkey % 4 = 0 THEN 1 ELSE 0 END AS revision FROM orders
+UNION ALL SELECT o_orderkey, 'evaluation', CAST(o_orderkey % 3 AS INT) FROM orders WHERE o_custkey % 6 < 4 AND o_custkey % 4 > 0 UNION ALL SELECT -1 - n_nationkey, 'diarization', 1 FROM nation""",
+    "finished_runs": """
+SELECT o_orderkey AS call_id, CASE o_custkey % 3 WHEN 0 THEN 'role_assignment' WHEN 1 THEN 'evaluation' ELSE 'aggregation' END AS target, 'rubric-1' AS rubric_id, '1.2.0' AS rubric_version, CASE WHEN o_custkey % 3 > 0 THEN 'evaluator' END AS provider_name, CASE WHEN o_custkey % 3 > 0 THEN 'model-a' END AS model_name, CASE WHEN o_custkey % 3 = 2 THEN 'f0' END AS fingerprint,
+  CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'human_review_required,limited_coverage' END AS flags FROM orders""",
+    "finished_stages": """
+SELECT call_id, CAST(k AS INT) AS stage_order, stage, CASE WHEN (call_id + k) % 3 = 0 THEN 'reused' ELSE 'executed' END AS status, CASE WHEN (call_id + k) % 4 = 0 THEN 'LOW_VOLUME' WHEN (call_id + k) % 5 = 0 THEN concat('CODE_', CAST(call_id % 2 AS STRING)) END AS code
+FROM finished_runs CROSS JOIN (SELECT 0 AS k, 'transcription' AS stage UNION ALL SELECT 1, 'diarization' UNION ALL SELECT 2, 'alignment' UNION ALL SELECT 3, 'role_assignment' UNION ALL SELECT 4, 'evaluation' UNION ALL SELECT 5, 'aggregation') s WHERE k <= CASE target WHEN 'role_assignment' THEN 3 WHEN 'evaluation' THEN 4 ELSE 5 END AND call_id % 9 > 0""",
 }
 
 

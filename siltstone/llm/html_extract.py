@@ -5,7 +5,8 @@ elements (tags, words of their class, id and role) and with its own make-up (len
 sentences, neighbours of the same kind, how much of the page's text its container has). A linear-chain conditional
 random field marks blocks as main text or not, in page order, by Viterbi decoding. It is trained, the same way each
 time, on labelled pages that ``labelled_pages`` writes from a fixed seed: articles among menus, headers, footers,
-sidebars, notices, adverts, forms and comments in the markup that public sites use, and in markup whose names say nothing.
+sidebars, notices, adverts, forms, bylines and comments (lists of items with or without parts, replies in replies, terms, rows of
+tables) in the markup that public sites use, and in markup whose names say nothing.
 
 One pass over the pages, without a shuffle; the tag scanner keeps the open elements only, no tree. Its work is linear in
 a page's length, whatever the nesting: every character is looked at a bounded number of times, an element is closed
@@ -66,13 +67,14 @@ PART = re.compile(r"[a-z]+")
 
 
 class Block(NamedTuple):
-    """A leaf block: its text, marks of its open elements, linked characters, its own tag, and its container's number."""
+    """A leaf block: its text, marks of its open elements, linked characters, its own tag, its container's number, and whether its own tag is named."""
 
     text: str
     marks: frozenset
     linked: int
     held: str
     holder: int
+    named: bool = False
 
 
 class Open:
@@ -84,9 +86,10 @@ class Open:
         self.numbers: list[int] = []  # of the holder that it is or stands in
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
+        self.named: list[bool] = []  # of the blocks
         self.made = 0
 
-    def push(self, name: str, own: set[str]) -> None:
+    def push(self, name: str, own: set[str], named: bool) -> None:
         around = self.marks[-1] if self.marks else frozenset()
         if name in HOLDERS:
             self.made += 1
@@ -95,6 +98,7 @@ class Open:
         self.places.setdefault(name, []).append(len(self.names))
         if name in BLOCKS:
             self.blocks.append(len(self.names))
+            self.named.append(named)
         self.names.append(name)
 
     def last(self, names) -> int:
@@ -110,6 +114,7 @@ class Open:
             self.numbers.pop()
             if name in BLOCKS:
                 self.blocks.pop()
+                self.named.pop()
 
     def block(self) -> str:
         return self.names[self.blocks[-1]] if self.blocks else ""
@@ -151,7 +156,7 @@ def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
                 inside = bool(held.names)
-                out.append(Block(text, held.marks[-1] if inside else frozenset(), linked, held.block(), held.numbers[-1] if inside else 0))
+                out.append(Block(text, held.marks[-1] if inside else frozenset(), linked, held.block(), held.numbers[-1] if inside else 0, bool(held.named) and held.named[-1]))
             parts.clear()
         linked = 0
 
@@ -215,7 +220,7 @@ def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
         marks = {f"<{name}"}
         for _, *values in ATTRIBUTE.findall(tag[3]):
             marks.update(f"={w}" for w in PART.findall("".join(values).lower()))
-        held.push(name, marks if known is None else {m for m in marks if m in known})
+        held.push(name, marks if known is None else {m for m in marks if m in known}, len(marks) > 1)
     flush()
     return out
 
@@ -224,9 +229,14 @@ def features(page: list[Block]) -> list[list[str]]:
     """Names of each block's features; each counts 1."""
     out = []
     sizes: Counter[int] = Counter()
+    titled = set()
     for x in page:
         sizes[x.holder] += len(x.text) - x.linked
+        if x.held == "h1":
+            titled.add(x.holder)
     total, most = max(1, sum(max(0, n) for n in sizes.values())), max(sizes.values(), default=0)
+    body = [bool({"<article", "<main"} & x.marks or x.marks & {"=article", "=content", "=post", "=entry", "=main"}) for x in page]
+    lone = not any(body)  # nothing tells where the article is
     for i, x in enumerate(page):
         n = x.text.count(" ") + 1
         part = sizes[x.holder]
@@ -241,8 +251,19 @@ def features(page: list[Block]) -> list[list[str]]:
             f.append("beside")
         if part == most:
             f.append("most")
-        if {"<article", "<main"} & x.marks or x.marks & {"=article", "=content", "=post", "=entry", "=main"}:
+        if x.named:
+            f.append("named")
+        if x.holder in titled:
+            f.append("titled")
+        for side, k in (("before", i - 1), ("after", i + 1)):
+            y = page[k] if 0 <= k < len(page) else None
+            f.append(f"{side}-{y.held if y else ''}")
+            if y and y.holder == x.holder and y.linked * 2 > len(y.text):
+                f.append(f"{side}-links")
+        if body[i]:
             f.append("body")
+        elif lone:
+            f += [f"lone-part{int(4 * max(0, part) / total)}", f"lone-most{part == most}", f"lone-titled{x.holder in titled}{bool(titled)}", f"lone-named{x.named}", f"lone-in{x.held}"]
         out.append(f)
     return out
 
@@ -351,6 +372,54 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
         t = rng.choice(("label", "p", "div"))
         return f"<{t}>{phrase(1, 4)}</{t}><input name='q'><button>{phrase(1, 2)}</button>", [0, 0]
 
+    def joined(*pieces: tuple[str, list[int]]) -> tuple[str, list[int]]:
+        return "".join(p[0] for p in pieces), [m for p in pieces for m in p[1]]
+
+    def said() -> tuple[str, list[int]]:
+        """What one reader wrote, in blocks of its own."""
+        t, n = rng.choice(("p", "p", "div", "blockquote")), rng.choice((1, 1, 2, 3))
+        return "".join(f"<{t}>{inline(prose())}</{t}>" for _ in range(n)), [0] * n
+
+    def who(*names: str) -> tuple[str, list[int]]:
+        """A line with a reader's or an author's name and a time."""
+        line = rng.choice((f"<cite>{phrase(1, 3)}</cite> says", f"<a href='/u/{word()}'>{phrase(1, 2)}</a> <time>{rng.randint(1, 28)} {word()} 20{rng.randint(10, 25)}</time>", f"By {phrase(1, 3)}", f"{phrase(1, 2)} | {rng.randint(1, 59)} min", f"<b>{phrase(1, 2)}</b>"))
+        return box(rng.choice(("div", "p", "footer", "h4", "header", "div")), attrs(*names), (line, [0]))
+
+    def reply() -> tuple[str, list[int]]:
+        return box(rng.choice(("div", "p")), attrs("reply", "actions", "links", "votes"), (" ".join(f"<a href='#{word()}'>{phrase(1, 1)}</a>" for _ in range(rng.randint(1, 3))), [0]))
+
+    def comment(shape: str, deep: int = 0) -> tuple[str, list[int]]:
+        named = attrs("comment", "reply", "response", "message") if rng.random() < 0.7 else ""
+        if shape == "list":  # an item with its own parts, replies in a list in it
+            inner = joined(who("comment-author", "comment-meta", "author", "vcard"), box("div", attrs("comment-content", "comment-text", "body"), said()), reply())
+            if rng.random() < 0.5:
+                inner = box(rng.choice(("article", "div")), attrs("comment-body"), inner)
+            if deep < 2 and rng.random() < 0.25:
+                inner = joined(inner, box(rng.choice(("ul", "ol")), attrs("children", "replies"), comment(shape, deep + 1)))
+            return box("li", named, inner)
+        if shape == "plain":  # an item with nothing but what was said
+            return box("li", named, said() if rng.random() < 0.7 else (inline(prose()), [0]))
+        if shape == "terms":
+            return joined(box("dt", named, (phrase(1, 3), [0])), box("dd", "", said() if rng.random() < 0.5 else (inline(prose()), [0])))
+        if shape == "rows":
+            return box("tr", named, joined(box("td", "", (phrase(1, 2), [0])), box("td", "", said() if rng.random() < 0.5 else (inline(prose()), [0]))))
+        if shape == "parts":
+            return box("div", named, joined(who("author", "user", "meta"), said(), *([reply()] if rng.random() < 0.5 else [])))
+        return box(shape, named, (inline(prose()), [0]))
+
+    def comments() -> tuple[str, list[int]]:
+        shape = rng.choice(("list", "list", "list", "plain", "plain", "terms", "rows", "parts", "parts", "p", "div", "article"))
+        rows = joined(*[comment(shape) for _ in range(rng.randint(1, 5))])
+        around = {"list": ("ol", "ul"), "plain": ("ul", "ol"), "terms": ("dl",), "rows": ("table",)}.get(shape)
+        if around:
+            rows = box(rng.choice(around), attrs("comment-list", "commentlist", "comments") if rng.random() < 0.6 else "", rows)
+        pieces = [rows]
+        if rng.random() < 0.6:
+            pieces.insert(0, box(rng.choice(("h2", "h3", "h4", "p")), attrs("comments-title", "title") if rng.random() < 0.5 else "", (f"{rng.randint(1, 90)} {phrase(1, 3)}" if rng.random() < 0.5 else phrase(1, 2), [0])))
+        if rng.random() < 0.4:
+            pieces.append(box("form", attrs("comment-form", "respond") if rng.random() < 0.5 else "", entry()))
+        return box(*rng.choice((("section", attrs("comments", "comment", "discussion", "responses", "replies", "disqus", "respond")), ("div", attrs("comments", "comments-area", "comment", "discussion", "responses", "reviews", "replies", "feedback", "talkback")))), joined(*pieces))
+
     def junk(where: str) -> tuple[str, list[int]]:
         kinds = {
             "top": ("nav", "header", "notice", "ad", "form", "menu"),
@@ -359,7 +428,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
         }[where]
         kind = rng.choice(kinds)
         if kind in ("nav", "menu"):
-            return box(*rng.choice((("nav", ""), ("nav", attrs("nav", "menu", "navbar", "breadcrumb")), ("div", attrs("nav", "menu", "navigation", "navbar", "topbar", "breadcrumbs")), ("ul", attrs("menu", "nav")))), links(2, 7))
+            return box(*rng.choice((("nav", ""), ("nav", attrs("nav", "menu", "navbar", "breadcrumb")), ("div", attrs("nav", "menu", "navigation", "navbar", "topbar", "breadcrumbs")), ("ul", attrs("menu", "nav")))), links(2, 7) if bare or rng.random() < 0.85 else joined((f"<h2>{phrase(1, 3)}</h2>", [0]), links(2, 7)))
         if kind == "header":
             return box(*rng.choice((("header", ""), ("header", attrs("site-header", "masthead")), ("div", attrs("header", "masthead", "banner", "branding")))), rng.choice((links(2, 5), loose(1, 2))))
         if kind == "footer":
@@ -375,19 +444,21 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
         if kind == "related":
             return box(rng.choice(("div", "section", "aside")), attrs("related", "recommended", "more", "popular", "trending", "teaser"), links(2, 6))
         if kind == "comments":
-            n = rng.randint(1, 5)
-            rows, t = [], rng.choice(("p", "div", "li", "article"))
-            for _ in range(n):
-                rows.append(f"<{t}{attrs('comment', 'reply') if rng.random() < 0.5 else ''}>{inline(prose())}</{t}>")
-            return box(*rng.choice((("section", attrs("comments", "comment", "discussion", "responses", "replies", "disqus")), ("div", attrs("comments", "comment", "discussion", "responses", "reviews", "replies")))), ("".join(rows), [0] * n))
+            return comments()
         return box("form", attrs("search", "login", "subscribe", "contact") if rng.random() < 0.5 else "", entry())
 
     def article() -> tuple[str, list[int]]:
         out, marks = [], []
         if rng.random() < 0.8:
             t = rng.choice(("h1", "h1", "h2"))
-            out.append(f"<{t}>{phrase(1, 12)}</{t}>")
-            marks.append(1)
+            title = f"<{t}{attrs('entry-title', 'title', 'headline') if rng.random() < 0.3 else ''}>{phrase(1, 12)}</{t}>", [1]
+            if rng.random() < 0.25 and not bare:
+                by = who("byline", "entry-meta", "meta", "author", "posted", "dateline")
+                title = joined(title, by) if rng.random() < 0.8 else joined(by, title)
+            if rng.random() < 0.2 and not bare:
+                title = box("header", attrs("entry-header", "post-header", "article-header") if rng.random() < 0.7 else "", title)
+            out.append(title[0])
+            marks += title[1]
         for _ in range(rng.choice((1, 1, 2, 3, 5, 9))):
             kind = rng.random()
             if kind < 0.66:
@@ -427,9 +498,16 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
             add(junk("top"))
             out.append(rng.choice(("", "<!-- x -->", "<script>var a='</p>';</script>", "\n")))
         body = article()
+        if rng.random() < 0.1:
+            own = box("footer", attrs("entry-footer", "post-footer", "tags"), links(1, 3))
+            body = body[0] + own[0], body[1] + own[1]
         if rng.random() < 0.35:
             body = f"<div{attrs('content', 'post', 'entry', 'article', 'story', 'text')}>{body[0]}</div>", body[1]
-        add(box(*rng.choice((("article", ""), ("article", ""), ("main", ""), ("article", attrs("post", "entry", "story")), ("div", attrs("content", "article", "post", "story", "entry", "main")))), body))
+        frame = rng.choice((("article", ""), ("article", ""), ("main", ""), ("article", attrs("post", "entry", "story")), ("div", attrs("content", "article", "post", "story", "entry", "main"))))
+        body = box(*frame, body)
+        if rng.random() < 0.2 and frame[0] != "main" and not bare:  # one element around the article and what readers say
+            body = box(*rng.choice((("main", ""), ("div", attrs("content", "main", "primary")))), joined(body, *[rng.choice((comments, lambda: junk("end")))() for _ in range(rng.randint(0, 2))]))
+        add(body)
         for _ in range(rng.randint(0, 3)):
             add(junk("end"))
         out.append("</body></html>")

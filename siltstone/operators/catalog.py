@@ -125,4 +125,4 @@ def cached(pages: DataFrame, cache: DataFrame, keys: tuple[str, ...]) -> DataFra
     return pages.join(held, list(keys), "left").withColumn("cached_json", good)
 
 
-__all__ = ["strip", "target_pages", "review_pages", "type_counts", "run_summary", "classify_answer", "answer_items", "is_object", "normalize", "is_junk", "dedup", "replace_by_key", "brand_rollup", "cached"]
+__all__ = ["strip", "target_pages", "review_pages", "type_counts", "run_summary", "classify_answer", "answer_items", "is_object", "normalize", "master_rows", "is_junk", "dedup", "replace_by_key", "brand_rollup", "cached"]

@@ -19,14 +19,14 @@ def held(spark, sf_dir):
     """What was asked, answered and known."""
     v = lambda *names: (view(spark, sf_dir, n) for n in names)
     return (
-        evaluations.Asked(*v("asked", "asked_criteria", "asked_levels")),
-        evaluations.Answered(*v("answered", "answered_items", "answered_spans", "answered_absences", "answered_reviews")),
+        evaluations.Asked(*v("judge_requests", "asked_criteria", "asked_levels")),
+        evaluations.Answered(*v("judge_results", "answered_items", "answered_spans", "answered_absences", "answered_reviews")),
         evaluations.Known(*v("known_segments", "known_words", "known_roles")),
     )
 
 
 #: The items with the criterion of their place, and what's wrong, a rule at a time.
-ANSWERS = """WITH want AS (SELECT a.call_id AS call_id, c.* FROM asked a JOIN asked_criteria c ON a.rubric_id = c.rubric_id AND a.rubric_version = c.rubric_version),
+ANSWERS = """WITH want AS (SELECT a.call_id AS call_id, c.* FROM judge_requests a JOIN asked_criteria c ON a.rubric_id = c.rubric_id AND a.rubric_version = c.rubric_version),
 own AS (SELECT i.*, w.rubric_id AS rubric_id, w.rubric_version AS rubric_version, w.seller_role_required, w.customer_context_required, w.absence_allowed, w.minimum_spans, w.review_required,
   (SELECT count(*) FROM answered_spans s WHERE s.call_id = i.call_id AND s.place = i.place) AS n, (SELECT count(*) FROM answered_absences b WHERE b.call_id = i.call_id AND b.place = i.place) AS gone,
   (SELECT min(b.speaker_role) FROM answered_absences b WHERE b.call_id = i.call_id AND b.place = i.place) AS gone_role
@@ -42,9 +42,9 @@ looked AS (SELECT o.call_id AS call_id, o.place AS place, o.criterion_id AS crit
   FROM silent o JOIN answered_absences b ON o.call_id = b.call_id AND o.place = b.place JOIN answered_reviews v ON o.call_id = v.call_id AND o.place = v.place
   LEFT JOIN known_segments g ON v.call_id = g.call_id AND v.segment_order = g.segment_order LEFT JOIN known_roles r ON g.call_id = r.call_id AND g.speaker_label = r.speaker_label),
 broken AS (
-SELECT d.call_id AS call_id, CAST(NULL AS INTEGER) AS place, m.rule AS rule FROM answered d JOIN asked a ON d.call_id = a.call_id CROSS JOIN (SELECT unnest(['call_mismatch', 'model_mismatch', 'provider_mismatch', 'rubric_mismatch', 'version_mismatch']) AS rule) m
+SELECT d.call_id AS call_id, CAST(NULL AS INTEGER) AS place, m.rule AS rule FROM judge_results d JOIN judge_requests a ON d.call_id = a.call_id CROSS JOIN (SELECT unnest(['call_mismatch', 'model_mismatch', 'provider_mismatch', 'rubric_mismatch', 'version_mismatch']) AS rule) m
   WHERE CASE m.rule WHEN 'call_mismatch' THEN d.said_call_id <> d.call_id WHEN 'model_mismatch' THEN d.model_name IS DISTINCT FROM a.model_name WHEN 'provider_mismatch' THEN d.provider_name IS DISTINCT FROM a.provider_name WHEN 'rubric_mismatch' THEN d.rubric_id <> a.rubric_id ELSE d.rubric_version <> a.rubric_version END
-UNION ALL SELECT call_id, NULL, 'not_asked' FROM answered WHERE call_id NOT IN (SELECT call_id FROM asked)
+UNION ALL SELECT call_id, NULL, 'not_asked' FROM judge_results WHERE call_id NOT IN (SELECT call_id FROM judge_requests)
 UNION ALL SELECT call_id, place, 'criterion_missing' FROM want w WHERE NOT EXISTS (SELECT 1 FROM answered_items i WHERE i.call_id = w.call_id AND i.place = w.place)
 UNION ALL SELECT call_id, place, 'criterion_unexpected' FROM answered_items i WHERE NOT EXISTS (SELECT 1 FROM want w WHERE i.call_id = w.call_id AND i.place = w.place)
 UNION ALL SELECT i.call_id, i.place, 'criterion_differs' FROM answered_items i JOIN want w ON i.call_id = w.call_id AND i.place = w.place WHERE i.criterion_id <> w.criterion_id
@@ -74,7 +74,7 @@ def evaluation_answer_violations(spark, sf_dir):
 
 
 @query(ANSWERS + """SELECT a.call_id AS call_id, count(b.rule) = 0 AS accepted, count(b.rule) AS faults, arg_min(b.rule, concat(CASE WHEN b.place IS NULL THEN '' ELSE chr(97 + b.place) END, ' ', b.rule)) AS first_rule
-FROM asked a LEFT JOIN broken b ON a.call_id = b.call_id GROUP BY a.call_id""")
+FROM judge_requests a LEFT JOIN broken b ON a.call_id = b.call_id GROUP BY a.call_id""")
 def evaluation_answer_verdicts(spark, sf_dir):
     asked, answered, known = held(spark, sf_dir)
     return evaluations.verdicts(asked, evaluations.check(asked, answered, known))

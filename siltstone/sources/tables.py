@@ -255,28 +255,28 @@ SELECT o_orderkey AS request, CASE o_custkey % 3 WHEN 0 THEN 'role_assignment' W
   CASE WHEN o_orderkey % 4 > 0 THEN concat('e', CAST(o_orderkey AS STRING)) END AS evaluation_key, CASE WHEN o_orderkey % 5 > 1 THEN concat('s', CAST(o_orderkey AS STRING)) END AS score_key, CASE WHEN o_orderkey % 7 > 0 THEN concat('e', CAST(o_orderkey AS STRING)) END AS score_evaluation_key,
   CASE WHEN o_custkey % 5 = 0 THEN 'LOW_VOLUME' WHEN o_custkey % 5 = 1 THEN '' END AS warnings, CASE WHEN o_custkey % 10 < 6 THEN 'warnings_present' ELSE '' END AS flags FROM orders""",
     # What evaluators were asked about calls, and what they answered, some of it wrong.
-    "asked": """
+    "judge_requests": """
 SELECT DISTINCT conv_id AS call_id, CASE WHEN conv_id % 5 = 0 THEN 'rubric-2' ELSE 'rubric-1' END AS rubric_id, '1.2.0' AS rubric_version, 'evaluator' AS provider_name, 'model-a' AS model_name FROM conversations""",
     "asked_criteria": """
 SELECT r.rubric_id AS rubric_id, '1.2.0' AS rubric_version, CAST(c.criterion_order - 1 AS INT) AS place, c.criterion_id AS criterion_id, c.criterion_order % 3 = 1 AS seller_role_required, c.criterion_order = 5 AS customer_context_required, c.absence_allowed AS absence_allowed, c.minimum_spans AS minimum_spans, c.review_required AS review_required
 FROM criteria c JOIN (SELECT 'rubric-1' AS rubric_id, 7 AS n UNION ALL SELECT 'rubric-2', 5) r ON c.criterion_order <= r.n""",
     "asked_levels": """
 SELECT a.rubric_id AS rubric_id, a.rubric_version AS rubric_version, a.criterion_id AS criterion_id, l.level_order AS level_order, l.score AS score, concat('L', CAST(l.level_order AS STRING)) AS label FROM asked_criteria a JOIN levels l ON l.criterion_order = a.place + 1""",
-    "answered": """
+    "judge_results": """
 SELECT call_id, call_id + CASE WHEN call_id % 31 = 0 THEN 1 ELSE 0 END AS said_call_id, CASE WHEN call_id % 29 = 0 THEN 'rubric-9' ELSE rubric_id END AS rubric_id, CASE WHEN call_id % 23 = 0 THEN '1.2.1' ELSE rubric_version END AS rubric_version, CASE WHEN call_id % 19 = 0 THEN NULL ELSE provider_name END AS provider_name,
-  CASE WHEN call_id % 37 = 0 THEN 'model-b' ELSE model_name END AS model_name FROM asked UNION ALL SELECT -1 - n_nationkey, -1 - n_nationkey, 'rubric-1', '1.2.0', 'evaluator', 'model-a' FROM nation""",
+  CASE WHEN call_id % 37 = 0 THEN 'model-b' ELSE model_name END AS model_name FROM judge_requests UNION ALL SELECT -1 - n_nationkey, -1 - n_nationkey, 'rubric-1', '1.2.0', 'evaluator', 'model-a' FROM nation""",
     "answered_items": """
 SELECT a.call_id AS call_id, CASE WHEN a.call_id % 17 = 0 AND c.place IN (1, 2) THEN 3 - c.place WHEN a.call_id % 14 = 0 AND c.place = 3 THEN 2 ELSE c.place END AS place, c.criterion_id AS criterion_id, CASE (a.call_id + c.place) % 6 WHEN 0 THEN 'not_applicable' WHEN 1 THEN 'insufficient_evidence' WHEN 2 THEN CASE WHEN a.call_id % 18 = 0 THEN 'unsure' ELSE 'scored' END ELSE 'scored' END AS status,
   CASE WHEN a.call_id % 21 = 0 THEN NULL WHEN (a.call_id + c.place) % 5 = 0 THEN 'supported_by_absence_evidence' ELSE 'supported_by_transcript_evidence' END AS reason, CAST((c.place + 1) % 3 + 1 + (a.call_id + c.place) % (c.place + 2) AS DOUBLE) + CASE WHEN a.call_id % 7 = 0 AND c.place = 0 THEN 0.5 ELSE 0 END AS score,
   CASE WHEN a.call_id % 9 = 0 THEN 'high' ELSE concat('L', CAST((a.call_id + c.place) % (c.place + 2) AS STRING)) END AS level, c.review_required AND a.call_id % 4 > 0 AS human_review_required
-FROM asked a JOIN asked_criteria c ON a.rubric_id = c.rubric_id AND a.rubric_version = c.rubric_version WHERE NOT (a.call_id % 13 = 0 AND c.place = 4) AND a.call_id % 41 <> 3
-UNION ALL SELECT call_id, 7, 'criterion-99', 'scored', 'supported_by_transcript_evidence', CAST(1 AS DOUBLE), 'L0', false FROM asked WHERE call_id % 11 = 0""",
+FROM judge_requests a JOIN asked_criteria c ON a.rubric_id = c.rubric_id AND a.rubric_version = c.rubric_version WHERE NOT (a.call_id % 13 = 0 AND c.place = 4) AND a.call_id % 41 <> 3
+UNION ALL SELECT call_id, 7, 'criterion-99', 'scored', 'supported_by_transcript_evidence', CAST(1 AS DOUBLE), 'L0', false FROM judge_requests WHERE call_id % 11 = 0""",
     "answered_spans": """
 SELECT conv_id AS call_id, CAST(turn % 7 AS INT) AS place, CAST(turn + CASE WHEN conv_id % 26 = 0 THEN 50 ELSE 0 END AS INT) AS segment_order, CASE WHEN conv_id % 3 > 0 THEN CAST(conv_id % 5 AS INT) END AS word_start, CASE WHEN conv_id % 3 > 0 AND conv_id % 33 <> 1 THEN CAST(conv_id % 5 + turn % 5 AS INT) END AS word_end,
   CASE role WHEN 'user' THEN 'SPEAKER_00' WHEN 'assistant' THEN 'SPEAKER_01' ELSE 'SPEAKER_07' END AS speaker_label, CASE WHEN conv_id % 8 = 0 OR role = 'user' THEN 'customer' ELSE 'seller' END AS speaker_role FROM conversations""",
     "answered_absences": """
 SELECT a.call_id AS call_id, c.place AS place, 0.5 AS scope_start, CAST(CASE WHEN a.call_id % 6 = 0 THEN 3 ELSE 900 END AS DOUBLE) AS scope_end, CASE (a.call_id + c.place) % 3 WHEN 0 THEN 'seller' WHEN 1 THEN 'customer' END AS speaker_role
-FROM asked a JOIN asked_criteria c ON a.rubric_id = c.rubric_id AND a.rubric_version = c.rubric_version WHERE (a.call_id + c.place) % 5 = 0""",
+FROM judge_requests a JOIN asked_criteria c ON a.rubric_id = c.rubric_id AND a.rubric_version = c.rubric_version WHERE (a.call_id + c.place) % 5 = 0""",
     "answered_reviews": """
 SELECT conv_id AS call_id, CAST((turn + conv_id) % 7 AS INT) AS place, CAST(turn + CASE WHEN conv_id % 22 = 0 THEN 60 ELSE 0 END AS INT) AS segment_order FROM conversations""",
     "known_segments": """

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.shipping import share
+
 #: What a condition of a kind says of its columns.
 KINDS: dict[str, Callable[..., Column]] = {
     "not_negative": lambda a: F.col(a) >= 0,
@@ -95,6 +97,7 @@ def violations(data: dict[str, DataFrame], tables: dict[str, Table] = TABLES) ->
     """table, rule, row (values that name it), n (rows): all that breaks the constraints of these tables. References to tables not given are left out."""
     parts = []
     for name, df in data.items():
+        share(df.sparkSession)
         table, label = tables[name], F.lit(name).alias("table")
         broken = F.array_compact(F.array(*[F.when(c, F.lit(rule)) for rule, c in row_rules(table).items()]))
         parts.append(df.select(label, F.explode(broken).alias("rule"), named(table.key), F.lit(1).cast("long").alias("n")))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.shipping import share
+
 #: Bits of a bin: three bins hold any 53 bits, as 1 + 2 * 26 = 53.
 WIDTH = 26
 #: Numbers beyond 2^FAR either way are moved by SHIFT bins before they are cut, so that every power of two in use is a double.
@@ -98,6 +100,7 @@ def exact_sums(rows: DataFrame, keys: list[str], sums: dict[str, Column], counts
     One shuffle of what each task has summed by key and bin, and a small one of the few bins of each key.
     """
     counts = counts or {}
+    share(rows.sparkSession)
     flags = [F.coalesce(c, F.lit(False)).alias(f"_n{k}") for k, c in enumerate(counts.values())]
     each = rows.select(*keys, *flags, F.posexplode(F.array(*[c.cast("double") for c in sums.values()])).alias("_which", "_x"))
     each = binned(each, "_x")

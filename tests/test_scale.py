@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from siltstone.functions.exact import exact_sums
 from siltstone.operators import constraints
 
 ADVISED, READ = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
@@ -28,3 +31,10 @@ def test_a_sessions_own_shares_stay(spark):
     other.conf.set(ADVISED, "3m")
     constraints.violations({"transcription_results": other.range(1).selectExpr("id AS call_id", "'' AS full_text", "1e0 AS language_confidence", "1e0 AS processing_duration_seconds")})
     assert other.conf.get(ADVISED) == "3m"
+
+
+def test_exact_sums_bound_what_a_task_holds(spark):
+    other = fresh(spark)
+    found = exact_sums(other.range(4).selectExpr("id % 2 AS k", "CASE WHEN id < 2 THEN 1e300 ELSE -1e300 END + 0 AS x"), ["k"], {"s": F.col("x")}, {"n": F.lit(True)})
+    assert (other.conf.get(ADVISED), other.conf.get(READ)) == ("8388608", "33554432")
+    assert sorted(map(tuple, found.collect())) == [(0, 0.0, 2), (1, 0.0, 2)]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.exact import exact_sums
-from siltstone.operators import constraints
+from siltstone.operators import alignment, constraints
 
 ADVISED, READ = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
 
@@ -38,3 +39,24 @@ def test_exact_sums_bound_what_a_task_holds(spark):
     found = exact_sums(other.range(4).selectExpr("id % 2 AS k", "CASE WHEN id < 2 THEN 1e300 ELSE -1e300 END + 0 AS x"), ["k"], {"s": F.col("x")}, {"n": F.lit(True)})
     assert (other.conf.get(ADVISED), other.conf.get(READ)) == ("8388608", "33554432")
     assert sorted(map(tuple, found.collect())) == [(0, 0.0, 2), (1, 0.0, 2)]
+
+
+def copies(found) -> int:
+    """At how many levels the two sides of a join of intervals are sent, in all."""
+    return found._jdf.queryExecution().analyzed().toString().count("_tag, ")
+
+
+def test_intervals_are_sent_to_levels_that_the_other_side_has(spark):
+    short = spark.range(100).selectExpr("1 AS call_id", "id AS u", "id + 0e0 AS u0", "id + 1.5e0 AS u1")
+    turns = spark.range(100).selectExpr("1 AS call_id", "id AS t", "id + 0.25e0 AS t0", "id + 1e0 AS t1")
+    endless = turns.withColumn("t1", F.when(F.col("t") == 50, float("inf")).otherwise(F.col("t1")))
+    first, second = (alignment.meeting(short, b, ("u0", "u1"), ("t0", "t1")) for b in (turns, endless))
+    assert copies(first) == 2 < copies(second)
+    assert (first.count(), second.count()) == (100 + 99, 100 + 99 + 49)
+    assert alignment.highest((short, "u0", "u1"), (turns.limit(0), "t0", "t1"), (endless, "t0", "t1")) == [0, 0, alignment.LEVELS]
+
+
+def test_an_interval_longer_than_said_is_no_silent_loss(spark):
+    rows = spark.range(1).selectExpr("1 AS call_id", "0e0 AS u0", "1e9 AS u1")
+    with pytest.raises(Exception, match="longer than was said"):
+        alignment.meeting(rows, rows.withColumnsRenamed({"u0": "t0", "u1": "t1"}), ("u0", "u1"), ("t0", "t1"), most=[0, 0]).collect()

@@ -178,7 +178,7 @@ def job_table(spark, sf_dir):
     # A file for every few days, in order, each a trigger of its own.
     days = told.withColumn("part", F.floor(F.unix_millis("ts") / (8 * DAY)))
     for (part,) in sorted(days.select("part").distinct().collect()):  # one for every eight days
-        days.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        days.filter(F.col("part") == part).drop("part").repartition(1).write.mode("append").parquet(f"{path}/in")
     stream = intake.read(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema, files_per_trigger=1)
     found = intake.drained(jobs.job_table(stream, timeout=26 * 3_600_000, keep=3 * DAY))
     last = found.groupBy("job_id").agg(F.max_by(F.struct("status", "done", "failed", "total"), F.struct(F.col("status") != "running", "done")).alias("job"))

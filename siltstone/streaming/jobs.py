@@ -19,14 +19,16 @@ from siltstone.sources.shipping import ship
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 #: Milliseconds without an event after which a running job has timed out, and after which an ended one, or a call, is forgotten.
 TIMEOUT, KEEP = 3_600_000, 7 * 86_400_000
-
+#: Chunks of a job that a trigger holds before they go to the state.
+HELD = 10_000
 
 
 class JobTable(StatefulProcessor):
     """State of a job: status, chunks done, failed and in all, the time of its last event and its timer; and the chunks seen, while it runs.
 
     A chunk counts once however often it's told; what comes after a job's end is left aside. Each trigger gives a row for every
-    job that it changed, and a timer one for every job that timed out.
+    job that it changed, and a timer one for every job that timed out. Every question to the state is a call to another process, so
+    a trigger's chunks are compared here first, and kept only if the job goes on.
     """
 
     def __init__(self, timeout: int = TIMEOUT, keep: int = KEEP):
@@ -38,28 +40,37 @@ class JobTable(StatefulProcessor):
         self.chunks = handle.getMapState("chunks", "chunk long", "ok boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        held = self.job.get() if self.job.exists() else None
+        held = self.job.get()
         status, done, failed, total, last, timer = held if held else ("running", 0, 0, None, 0, None)
-        changed = held is None
+        changed, seen, new = held is None, done > 0, {}  # seen: whether the state may have chunks
         for row in rows:
             if status != "running":
                 continue
             changed, last = True, max(last, row["at"])
             if row["total"] is not None:
                 total = row["total"]
-            if row["chunk"] is not None and not self.chunks.containsKey((row["chunk"],)):
-                self.chunks.updateValue((row["chunk"],), (row["ok"],))
+            if row["chunk"] is not None and row["chunk"] not in new and not (seen and self.chunks.containsKey((row["chunk"],))):
+                new[row["chunk"]] = row["ok"]
                 done, failed = done + 1, failed + (not row["ok"])
+                if len(new) >= HELD:
+                    seen, new = self.put(new), {}
         if changed:
             if total is not None and done >= total:
                 status = "failed" if failed else "completed"
+            if status == "running":
+                self.put(new)
+            elif seen:
+                self.chunks.clear()
             yield self.settle(key, status, done, failed, total, last, timer)
 
+    def put(self, new: dict) -> bool:
+        for chunk, ok in new.items():
+            self.chunks.updateValue((chunk,), (ok,))
+        return True
+
     def settle(self, key, status, done, failed, total, last, timer) -> Row:
         if timer is not None:
             self.handle.deleteTimer(timer)
-        if status != "running":
-            self.chunks.clear()
         timer = last + (self.timeout if status == "running" else self.keep)
         self.handle.registerTimer(timer)
         self.job.update((status, done, failed, total, last, timer))
@@ -68,6 +79,7 @@ class JobTable(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         status, done, failed, total, last, timer = self.job.get()
         if status == "running":
+            self.chunks.clear()
             yield self.settle(key, "timed_out", done, failed, total, last, None)
         else:
             self.job.clear()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.exact import exact_sums
 from siltstone.operators import alignment, constraints
+from siltstone.streaming import jobs
 
 ADVISED, READ = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
 
@@ -60,3 +61,39 @@ def test_an_interval_longer_than_said_is_no_silent_loss(spark):
     rows = spark.range(1).selectExpr("1 AS call_id", "0e0 AS u0", "1e9 AS u1")
     with pytest.raises(Exception, match="longer than was said"):
         alignment.meeting(rows, rows.withColumnsRenamed({"u0": "t0", "u1": "t1"}), ("u0", "u1"), ("t0", "t1"), most=[0, 0]).collect()
+
+
+class Calls:
+    """A state that counts the questions it is asked."""
+
+    def __init__(self):
+        self.asked, self.value, self.held = 0, None, {}
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.held
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.held[key] = value
+
+    def clear(self):
+        self.held = {}
+
+
+def test_a_trigger_asks_the_state_for_no_chunk_that_it_needn_t():
+    table = jobs.JobTable()
+    table.job, table.chunks = Calls(), Calls()
+    table.handle = type("Timers", (), {"deleteTimer": lambda self, t: None, "registerTimer": lambda self, t: None})()
+    told = lambda *chunks, total=None: [{"at": 1, "total": total, "chunk": None, "ok": None}] * bool(total) + [{"at": 1, "total": None, "chunk": c, "ok": True} for c in chunks]
+    run = lambda key, rows: [(r["status"], r["done"]) for r in table.handleInputRows((key,), iter(rows), None)]
+    assert run(1, told(*range(50), *range(50), total=50)) == [("completed", 50)] and table.chunks.asked == 0
+    table.job.value = None
+    assert run(2, told(0, 1, 0, total=3)) == [("running", 2)] and len(table.chunks.held) == 2
+    assert run(2, told(1, 0)) == [("running", 2)] and run(2, told(0, 2)) == [("completed", 3)] and not table.chunks.held

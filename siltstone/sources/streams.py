@@ -14,8 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bytes read at a time, and pages of a partition.
-BLOCK, PAGES = 4 << 20, 64
+#: Bytes read at a time, pages of a partition, and small files of one, which hold no more than a block between them.
+BLOCK, PAGES, FILES = 4 << 20, 64, 256
 #: Names of the codecs of uncompressed recordings by format tag and bits of a sample.
 CODECS = {(1, 8): "pcm_u8", (1, 16): "pcm_s16le", (1, 24): "pcm_s24le", (1, 32): "pcm_s32le", (3, 32): "pcm_f32le", (3, 64): "pcm_f64le", (6, 8): "pcm_alaw", (7, 8): "pcm_mulaw"}
 EXTENSIBLE, UNKNOWN = 0xFFFE, 0xFFFFFFFF
@@ -118,6 +118,11 @@ class FilePart(InputPartition):
     last: int | None = None
 
 
+@dataclass
+class FileParts(InputPartition):
+    each: list[FilePart]
+
+
 class RecordingReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
@@ -187,15 +192,26 @@ class PageReader(DataSourceReader):
     def __init__(self, path: str, kind: str | None, pages: int):
         self.path, self.kind, self.pages = path, kind, pages
 
-    def partitions(self) -> list[FilePart]:
-        """A range of pages each. Only files longer than a block are counted here; others are one partition."""
-        out = []
+    def partitions(self) -> list[FileParts]:
+        """A range of pages each. Only files longer than a block are counted here; others share partitions, whole."""
+        out, small, size = [], [], 0
         for f in listed(self.path):
-            total = decoder(self.kind).count(blocks(f[0], f[1])) if f[2] > BLOCK else None
-            out += [FilePart(*f)] if total is None else [FilePart(*f, first, min(first + self.pages, total)) for first in range(0, total, self.pages)]
-        return out
-
-    def read(self, part: FilePart) -> Iterator[tuple]:
+            if f[2] > BLOCK:
+                total = decoder(self.kind).count(blocks(f[0], f[1]))
+                out += [FileParts([FilePart(*f, first, min(first + self.pages, total))]) for first in range(0, total, self.pages)]
+                continue
+            if small and (size + f[2] > BLOCK or len(small) == FILES):
+                out.append(FileParts(small))
+                small, size = [], 0
+            small.append(FilePart(*f))
+            size += f[2]
+        return [*out, FileParts(small)] if small else out
+
+    def read(self, held: FileParts) -> Iterator[tuple]:
+        for part in held.each:
+            yield from self.paged(part)
+
+    def paged(self, part: FilePart) -> Iterator[tuple]:
         last = part.last if part.last is not None else 1 << 62
         for page, text in decoder(self.kind).pages(blocks(part.root, part.path), part.first, last):
             yield part.path, page, text

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.exact import exact_sums
-from siltstone.operators import alignment, constraints
+from siltstone.operators import alignment, constraints, runs
+from siltstone.sources import streams
 from siltstone.streaming import jobs
 
 ADVISED, READ = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
@@ -97,3 +98,18 @@ def test_a_trigger_asks_the_state_for_no_chunk_that_it_needn_t():
     table.job.value = None
     assert run(2, told(0, 1, 0, total=3)) == [("running", 2)] and len(table.chunks.held) == 2
     assert run(2, told(1, 0)) == [("running", 2)] and run(2, told(0, 2)) == [("completed", 3)] and not table.chunks.held
+
+
+def test_small_files_share_a_task(tmp_path):
+    for k in range(600):
+        (tmp_path / f"{k:03}.txt").write_bytes(b"a%d\fb" % k)
+    (tmp_path / "long.txt").write_bytes(b"x" * (streams.BLOCK + 1) + b"\f" + b"y")
+    reader = streams.PageReader(str(tmp_path), None, 1)
+    parts = reader.partitions()
+    assert len(parts) == 2 + 3 and max(len(p.each) for p in parts) == streams.FILES
+    found = sorted((r[0].rsplit("/", 1)[-1], r[1], r[2]) for p in parts for r in reader.read(p))
+    assert found == sorted([(f"{k:03}.txt", n, t) for k in range(600) for n, t in ((0, f"a{k}"), (1, "b"))] + [("long.txt", 0, "x" * (streams.BLOCK + 1)), ("long.txt", 1, "y")])
+
+
+def test_buckets_follow_the_calls(spark):
+    assert [runs.buckets(spark.range(n)) for n in (0, 800_000, 9_000_001)] == [8, 8, 91]

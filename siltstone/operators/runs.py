@@ -24,6 +24,8 @@ from siltstone.operators.snapshots import KeyedStore
 SCHEMA = "call_id long, stage string, result string, error string, reason string, retry string"
 #: Fixed value: how often answers are inserted anew after another run's commit.
 RECONCILIATIONS = 3
+#: Fixed value: calls of a bucket, each with a row a stage, as many as a task may sort in memory.
+BUCKET = 100_000
 UNKNOWN = ("unexpected_error", "non_retryable")
 
 Executor = Callable[[DataFrame], DataFrame]
@@ -43,6 +45,11 @@ def classified(answers: DataFrame) -> DataFrame:
     return answers.select("call_id", "stage", F.when(~bad, F.col("result")).alias("result"), "error", F.when(bad, reason).alias("reason"), F.when(bad, retry).alias("retry"))
 
 
+def buckets(calls: DataFrame, least: int = 8) -> int:
+    """How many buckets a new store of these calls' results needs."""
+    return max(least, -(-calls.count() // BUCKET))
+
+
 class StageRuns:
     """Runs over one store of results."""
 

@@ -147,7 +147,8 @@ def _plain(stage: str):
 def durable_stages(spark, sf_dir):
     """Two runs over one store: what each did for every call and stage."""
     calls = view(spark, sf_dir, "call_requests")
-    held = runs.StageRuns(spark, scratch(spark), buckets=8)
+    # A bucket is rewritten by one task, so their number follows the calls.
+    held = runs.StageRuns(spark, scratch(spark), buckets=runs.buckets(calls))
     away = F.when(F.col("call_id") % 7 == 0, "diarization_request_failed: 400").when(F.col("call_id") % 5 == 0, "diarization_unavailable")
     early = {"transcription": _plain("transcription"), "diarization": lambda due: _plain("diarization")(due).withColumn("error", away), "alignment": _plain("alignment")}
     first = held.run(calls, early).withColumn("run", F.lit(1))

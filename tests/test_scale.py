@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.exact import exact_sums
-from siltstone.operators import alignment, constraints, runs
+from siltstone.operators import alignment, constraints, runs, surface
 from siltstone.sources import streams
 from siltstone.streaming import jobs
 
@@ -113,3 +113,21 @@ def test_small_files_share_a_task(tmp_path):
 
 def test_buckets_follow_the_calls(spark):
     assert [runs.buckets(spark.range(n)) for n in (0, 800_000, 9_000_001)] == [8, 8, 91]
+
+
+def test_each_field_of_a_body_is_read_once(spark):
+    other = fresh(spark)
+    other.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    good = '{"call_id": "c", "rubric_id": "r", "rubric_version": "1.0.0", "role_evidence": [{"evidence_id": "e", "speaker_label": "SPEAKER_00", "evidence_type": "known_channel", "suggested_role": "seller"}]'
+    bodies = [good + "}", good + ', "normalized_audio": {"storage_ref": "/n", "content_hash": "h", "duration_seconds": "2.5"}}', good + ', "normalized_audio": {}, "z": 1}', good.replace('"e"', "null, \"z\": 2") + "}", "[]"]
+    rows = other.createDataFrame([(k, b) for k, b in enumerate(bodies)], "request int, body string")
+    run_fields = (*surface.RUN_REQUIRED, *surface.RUN_OPTIONAL, *surface.AUDIO_REQUIRED, *surface.AUDIO_OPTIONAL, *surface.EVIDENCE_FIELDS)
+    call_fields = (*surface.CALL_REQUIRED, *surface.CALL_OPTIONAL)
+    for held, fields in ((surface.run_requests(rows), run_fields), (surface.call_requests(rows), call_fields)):
+        plan = held._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("SchemaOfVariant.schemaOfVariant") <= len(fields) and plan.count("parseJson") == 1 and plan.count("body:unreadable") == 1
+    found = {r["request"]: r for r in surface.run_requests(rows).collect()}
+    assert [found[k]["errors"] for k in range(5)] == [
+        None, None, "normalized_audio.content_hash:missing,normalized_audio.storage_ref:missing,unknown:z", "role_evidence.evidence_id:type,role_evidence.unknown:z", "body:unreadable",
+    ]
+    assert (found[0]["target"], found[1]["audio_seconds"], len(found[1]["evidence"])) == ("aggregation", 2.5, 1)

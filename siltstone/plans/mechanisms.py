@@ -176,12 +176,19 @@ def job_table(spark, sf_dir):
     totals = events.groupBy("job_id").agg(F.min("ts").alias("ts"), (F.count("*") + F.when(F.col("job_id") % 5 == 0, 1).otherwise(0)).cast("int").alias("total"))
     told = events.withColumn("total", none("int")).unionByName(events.withColumn("total", none("int"))).unionByName(totals.withColumns({"chunk": none("long"), "ok": none("boolean")}))
     path = scratch(spark)
-    # A file for every few days, in order, each a trigger of its own.
-    days = told.withColumn("part", F.floor(F.unix_millis("ts") / (8 * DAY)))
-    for (part,) in sorted(days.select("part").distinct().collect()):  # one for every eight days
-        days.filter(F.col("part") == part).drop("part").repartition(1).write.mode("append").parquet(f"{path}/in")
-    stream = intake.read(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema, files_per_trigger=1)
-    found = intake.drained(jobs.job_table(stream, timeout=26 * 3_600_000, keep=3 * DAY))
+    # Every eight days arrive together, in order, as one trigger; the stream goes on from its checkpoint.
+    told.withColumn("part", F.floor(F.unix_millis("ts") / (8 * DAY))).write.partitionBy("part").parquet(f"{path}/told")
+    days = spark.read.parquet(f"{path}/told")
+    shape, buckets = days.drop("part").schema, jobs.buckets(events)
+    parts = [part for (part,) in sorted(days.select("part").distinct().collect())]
+    for part in parts:
+        days.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{path}/in")
+        stream = intake.read(spark, f"{path}/in", shape, files_per_trigger=2**31 - 1)
+        changes = jobs.job_table(stream, timeout=26 * 3_600_000, keep=3 * DAY, buckets=buckets)
+        # Timers wait for the next part, as in a stream that isn't stopped; after the last one they have a trigger of their own.
+        with intake.settings(spark, jobs.WIDE | {"spark.sql.streaming.noDataMicroBatches.enabled": str(part == parts[-1]).lower()}):
+            intake.write(changes, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    found = spark.read.schema(changes.schema).parquet(f"{path}/out")
     last = found.groupBy("job_id").agg(F.max_by(F.struct("status", "done", "failed", "total"), F.struct(F.col("status") != "running", "done")).alias("job"))
     return last.select("job_id", "job.*")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,19 @@ def write(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@contextmanager
+def settings(spark: SparkSession, held: dict[str, str]) -> Iterator[None]:
+    """Settings for the streams that start meanwhile, which keep those they start with; after that the session has its own again."""
+    old = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def scratch(spark: SparkSession) -> str:
     """A path of its own in the folder that driver and executors share; a temporary one only where that is unset and they're one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

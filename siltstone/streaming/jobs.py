@@ -6,9 +6,10 @@ trigger ended. A key's state goes with a timer ``keep`` after its last event; so
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -21,6 +22,12 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 TIMEOUT, KEEP = 3_600_000, 7 * 86_400_000
 #: Chunks of a job that a trigger holds before they go to the state.
 HELD = 10_000
+#: Rows of a stream for which a bucket of jobs is enough, and the state of a bucket: its timer, and a JSON list for each job that it
+#: holds (nested values are taken apart one by one on their way to the state, which costs several times as much).
+ROWS_OF_BUCKET = 10_000
+BUCKET = "timer long, jobs string"
+#: For streams with buckets: rows of a few numbers may come in larger batches than texts.
+WIDE = {"spark.sql.execution.arrow.maxRecordsPerBatch": "20000"}
 
 
 class JobTable(StatefulProcessor):
@@ -88,6 +95,86 @@ class JobTable(StatefulProcessor):
         pass
 
 
+class JobBuckets(StatefulProcessor):
+    """``JobTable`` for many jobs of few chunks: state of a bucket of jobs, read once and written once a trigger, with one timer.
+
+    Jobs, rows and what is forgotten are those of ``JobTable``; but what a job costs there in questions to the state, a bucket costs here.
+    A bucket's jobs, with the chunks of those that run, are in memory while its rows are read, and its rows are not. Rows come as
+    frames, which turn nullable longs into doubles; so no column is null, and ``tells`` has a bit for each value that is there.
+    """
+
+    def __init__(self, timeout: int = TIMEOUT, keep: int = KEEP):
+        self.timeout, self.keep = timeout, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", BUCKET)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        timer, jobs = self.held()
+        changed = {}
+        for frame in rows:
+            for job_id, at, total, chunk, tells in zip(*(frame[c].tolist() for c in ("job_id", "at", "total", "chunk", "tells"))):
+                job_id = job_id if tells & 1 else None
+                job = changed.get(job_id)
+                if job is None:
+                    job = jobs.get(job_id)
+                    if job is None:
+                        job = jobs[job_id] = ["running", 0, 0, None, 0, set()]
+                    elif job[0] != "running":
+                        continue
+                    changed[job_id] = job
+                job[4] = max(job[4], at)
+                if tells & 2:
+                    job[3] = total
+                if tells & 4 and chunk not in job[5]:
+                    job[5].add(chunk)
+                    job[1] += 1
+                    job[2] += not tells & 8
+        for job in changed.values():
+            if job[3] is not None and job[1] >= job[3]:
+                job[0], job[5] = "failed" if job[2] else "completed", ()
+        yield from self.told(changed)
+        yield from self.settled(jobs, timer, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.settled(self.held()[1], None, timerValues)
+
+    def held(self) -> tuple[int | None, dict]:
+        """The bucket's timer, and its jobs by id: status, done, failed, total, time of the last event, chunks."""
+        timer, jobs = self.bucket.get() or (None, "[]")
+        return timer, {j[0]: [*j[1:6], set(j[6])] for j in json.loads(jobs)}
+
+    def told(self, jobs: dict) -> Iterator[pd.DataFrame]:
+        if jobs:
+            status, done, failed, total, last, _ = zip(*jobs.values())
+            yield pd.DataFrame({"job_id": pd.array(list(jobs), "Int64"), "status": status, "done": done, "failed": failed, "total": pd.array(total, "Int32"), "at": last})
+
+    def settled(self, jobs: dict, timer: int | None, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        """Time out and forget the jobs that are due, and keep the others until the first of them is. timer: the one that is set, if any."""
+        now, first, kept, out = timerValues.getCurrentWatermarkInMs(), None, [], {}
+        for job_id, job in jobs.items():
+            if job[0] == "running" and job[4] + self.timeout <= now:
+                job[0], job[5] = "timed_out", ()
+                out[job_id] = job
+            due = job[4] + (self.timeout if job[0] == "running" else self.keep)
+            if due > now:
+                first = due if first is None else min(first, due)
+                kept.append((job_id, *job[:5], list(job[5])))
+        yield from self.told(out)
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is None:
+            self.bucket.clear()
+            return
+        if timer != first:
+            self.handle.registerTimer(first)
+        self.bucket.update((first, json.dumps(kept, separators=(",", ":"))))
+
+    def close(self) -> None:
+        pass
+
+
 class StatusMachine(StatefulProcessor):
     """State of a call: its last status, and its timer. Gives each change that isn't legal, by ts and event_id within a trigger."""
 
@@ -132,14 +219,27 @@ def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
     return stream.withWatermark(ts, late).withColumn("at", F.unix_millis(ts))
 
 
-def job_table(stream: DataFrame, timeout: int = TIMEOUT, keep: int = KEEP, late: str = "1 hour") -> DataFrame:
+def buckets(stream: DataFrame, least: int = 64) -> int:
+    """How many buckets the jobs of a stream with these rows need."""
+    return max(least, -(-stream.count() // ROWS_OF_BUCKET))
+
+
+def job_table(stream: DataFrame, timeout: int = TIMEOUT, keep: int = KEEP, late: str = "1 hour", buckets: int | None = None) -> DataFrame:
     """job_id, status (running, completed, failed, timed_out), done, failed, total, at. stream: job_id, ts, total, chunk, ok.
 
-    A row tells a job's number of chunks (total), or a chunk that is done (ok or not); either may come first.
+    A row tells a job's number of chunks (total), or a chunk that is done (ok or not); either may come first. buckets: how many
+    states the jobs share, which a checkpoint fixes; without, each job has its own, for few jobs of very many chunks.
     """
     with_state(stream.sparkSession)
     held = timed(stream, "ts", late).select("job_id", "ts", "at", F.col("total").cast("int").alias("total"), F.col("chunk").cast("long").alias("chunk"), "ok")
-    return held.groupBy("job_id").transformWithState(JobTable(timeout, keep), "job_id long, status string, done int, failed int, total int, at long", "Append", "EventTime")
+    shape = "job_id long, status string, done int, failed int, total int, at long"
+    if buckets is None:
+        return held.groupBy("job_id").transformWithState(JobTable(timeout, keep), shape, "Append", "EventTime")
+    there = [F.col(c).isNotNull() for c in ("job_id", "total", "chunk")] + [F.coalesce("ok", F.lit(False))]
+    tells = sum((flag.cast("int") * 2**k for k, flag in enumerate(there)), F.lit(0))
+    whole = [F.coalesce(c, F.lit(0)).alias(c) for c in ("job_id", "at", "total", "chunk")]
+    held = held.select(F.pmod(F.xxhash64("job_id"), F.lit(buckets)).alias("bucket"), "ts", *whole, tells.alias("tells"))
+    return held.groupBy("bucket").transformWithStateInPandas(JobBuckets(timeout, keep), shape, "Append", "EventTime")
 
 
 def illegal_changes(stream: DataFrame, keep: int = KEEP, late: str = "1 hour") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.exact import exact_sums
 from siltstone.operators import alignment, constraints, runs, surface
 from siltstone.sources import streams
-from siltstone.streaming import jobs
+from siltstone.streaming import intake, jobs
 
 ADVISED, READ = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
 
@@ -131,3 +134,51 @@ def test_each_field_of_a_body_is_read_once(spark):
         None, None, "normalized_audio.content_hash:missing,normalized_audio.storage_ref:missing,unknown:z", "role_evidence.evidence_id:type,role_evidence.unknown:z", "body:unreadable",
     ]
     assert (found[0]["target"], found[1]["audio_seconds"], len(found[1]["evidence"])) == ("aggregation", 2.5, 1)
+
+
+def test_a_bucket_of_jobs_asks_the_state_as_often_as_one_job():
+    table, asked = jobs.JobBuckets(timeout=100, keep=500), []
+    held = {"value": None, "timers": set()}
+    said = lambda name, do: lambda self, *a: (asked.append(name), do(*a))[1]
+    table.bucket = type("State", (), {"get": said("get", lambda: held["value"]), "update": said("update", lambda v: held.update(value=v)), "clear": said("clear", lambda: held.update(value=None))})()
+    table.handle = type("Timers", (), {"deleteTimer": said("delete", held["timers"].remove), "registerTimer": said("register", held["timers"].add)})()
+    now = lambda ms: type("Now", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    frame = lambda rows: pd.DataFrame(rows, columns=["job_id", "at", "total", "chunk", "tells"])
+    shown = lambda frames: sorted((int(r.job_id), r.status, r.done, r.failed) for f in frames for r in f.itertuples())
+    big = 2**60
+    # 1,000 jobs of two chunks, of which the even ones wait for one more; each chunk comes twice.
+    rows = [(big + j, 1000 + j, 2 + (j % 2 == 0), 0, 1 | 2) for j in range(1000)] + 2 * [(big + j, 1000 + j, 0, big + c, 1 | 4 | 8 * c) for j in range(1000) for c in (0, 1)]
+    ended = lambda j: "running" if j % 2 == 0 else "failed"
+    assert shown(table.handleInputRows((0,), iter([frame(rows[:700]), frame(rows[700:])]), now(0))) == [(big + j, ended(j), 2, 1) for j in range(1000)]
+    assert asked == ["get", "register", "update"] and held["timers"] == {1100}
+    # A trigger for one job: it ends, and what is due by then goes: even ones up to 800 time out, the odd one is left aside.
+    asked.clear()
+    late = [(big + 900, 1950, 0, big, 1 | 4), (big + 900, 1950, 0, big + 2, 1 | 4 | 8), (big + 901, 1950, 0, big + 2, 1 | 4)]
+    assert shown(table.handleInputRows((0,), iter([frame(late)]), now(1900))) == sorted([(big + 900, "failed", 3, 1)] + [(big + j, "timed_out", 2, 1) for j in range(0, 801, 2)])
+    assert asked == ["get", "delete", "register", "update"] and held["timers"] == {1901}
+    # The timer comes when all are due: none is kept.
+    held["timers"].clear()
+    assert shown(table.handleExpiredTimer((0,), now(10_000), None)) == [(big + j, "timed_out", 2, 1) for j in range(802, 1000, 2) if j != 900]
+    assert held == {"value": None, "timers": set()}
+
+
+def test_jobs_in_buckets_are_those_of_their_own_states(spark, tmp_path):
+    start, shape = datetime(2024, 1, 1), "job_id long, ts timestamp, total int, chunk long, ok boolean"
+    at = lambda minutes: start + timedelta(minutes=minutes)
+    triggers = [
+        [(1, at(0), 2, None, None), (1, at(1), None, 2**62 + 1, True), (2, at(0), 2, 1, True), (2, at(2), None, 1, False), (3, at(3), None, 5, None), (None, at(3), None, 7, True)],
+        [(1, at(20), None, 2**62, True), (3, at(30), 1, None, None), (None, at(31), 2, 8, True), (5, at(31), 0, None, None)],
+        [(9, at(300), 1, None, None)],  # moves the watermark: 2 times out
+        [(2, at(301), None, 2, True), (1, at(302), None, 9, True), (9, at(303), None, 1, True), (2, at(0), 1, None, None)],  # too late for 2 and 1
+        [(9, at(3000), None, 3, True), (10, at(3000), 1, 1, False)],  # all before are forgotten
+        [(1, at(3010), 1, 1, True)],
+    ]
+    for rows in triggers:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    found = []
+    for n, buckets in enumerate((None, 3)):
+        stream = intake.read(spark, f"{tmp_path}/in", spark.createDataFrame([], shape).schema, files_per_trigger=1)
+        told = jobs.job_table(stream, timeout=3_600_000, keep=86_400_000, late="10 minutes", buckets=buckets)
+        intake.write(told, f"{tmp_path}/out{n}", f"{tmp_path}/c{n}").awaitTermination()
+        found.append(sorted(map(str, spark.read.parquet(f"{tmp_path}/out{n}").collect())))
+    assert found[0] == found[1] and len(found[0]) == 12
